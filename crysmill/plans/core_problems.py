@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import nested
+from ..operators import nested, units
 from ..runtime import table
 
 
@@ -36,7 +36,18 @@ def p2_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.flatten(nested.normalized_results(table(spark, sf_dir, "chgnet_reference")), "key", "step").withColumnRenamed("parent", "artifact_no").withColumnRenamed("child_no", "step_no")
 
 
-QUERIES = {"p2_found": p2_found, "p2_lattice": p2_lattice, "p2_sites": p2_sites, "p2_properties": p2_properties, "p2_steps": p2_steps}
+# --- 6: quantities in different units
+def p6_common(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every property entry that holds a value, in the common unit of its quantity."""
+    return units.convert(units.property_entries(table(spark, sf_dir, "materials_sample")), spark, ("record_no", "prop_no"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    other = p6_common(spark, sf_dir).where("recorded_unit <> common_unit")
+    return other.select("record_no", "prop_no", "recorded_unit")
+
+
+QUERIES = {"p6_found": p6_found, "p6_common": p6_common, "p2_found": p2_found, "p2_lattice": p2_lattice, "p2_sites": p2_sites, "p2_properties": p2_properties, "p2_steps": p2_steps}
 ORACLE: dict[str, str] = {
     "p2_properties": """
 WITH e AS (SELECT record_no, unnest(properties) AS p, generate_subscripts(properties, 1) - 1 AS child_no FROM materials_sample)
