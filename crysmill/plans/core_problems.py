@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import nested, units
+from ..operators import drift, nested, units
 from ..runtime import table
 
 
@@ -47,7 +47,24 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return other.select("record_no", "prop_no", "recorded_unit")
 
 
-QUERIES = {"p6_found": p6_found, "p6_common": p6_common, "p2_found": p2_found, "p2_lattice": p2_lattice, "p2_sites": p2_sites, "p2_properties": p2_properties, "p2_steps": p2_steps}
+# --- 4: schemas that drift between files
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drift.changes(table(spark, sf_dir, "lemat_raw_lines")).select("file_no", "field_name", "change").distinct()
+
+
+def p4_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drift.changes(table(spark, sf_dir, "lemat_raw_lines"))
+
+
+def p4_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drift.consistent(table(spark, sf_dir, "lemat_raw_lines"))
+
+
+def p4_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drift.versions(table(spark, sf_dir, "lemat_raw_lines"))
+
+
+QUERIES = {"p4_found": p4_found, "p4_changes": p4_changes, "p4_table": p4_table, "p4_versions": p4_versions, "p6_found": p6_found, "p6_common": p6_common, "p2_found": p2_found, "p2_lattice": p2_lattice, "p2_sites": p2_sites, "p2_properties": p2_properties, "p2_steps": p2_steps}
 ORACLE: dict[str, str] = {
     "p2_properties": """
 WITH e AS (SELECT record_no, unnest(properties) AS p, generate_subscripts(properties, 1) - 1 AS child_no FROM materials_sample)
