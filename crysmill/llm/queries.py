@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import Scratch, shared_dir, table
+from . import spam
 from .splits import SplitTable, components, material_keys, read_targets
 from .top_groups import top_n
 
@@ -73,7 +74,16 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_top(spark, sf_dir).select("element_set", "material_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_splits": p1_splits, "p1_split_shares": p1_split_shares, "p1_incremental": p1_incremental, "p3_found": p3_found, "p3_top": p3_top}
+# --- 10: keyword-stuffed and link-list pages
+def p10_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spam.judged(table(spark, sf_dir, "documents"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p10_pages(spark, sf_dir).where("is_spam").select("doc_id")
+
+
+QUERIES = {"p10_found": p10_found, "p10_pages": p10_pages, "p1_found": p1_found, "p1_splits": p1_splits, "p1_split_shares": p1_split_shares, "p1_incremental": p1_incremental, "p3_found": p3_found, "p3_top": p3_top}
 
 _P3 = """
 WITH sets AS (
