@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import drift, nested, units
+from ..operators import drift, nested, rejects, units
 from ..runtime import table
 
 
@@ -64,7 +64,26 @@ def p4_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.versions(table(spark, sf_dir, "lemat_raw_lines"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_changes": p4_changes, "p4_table": p4_table, "p4_versions": p4_versions, "p6_found": p6_found, "p6_common": p6_common, "p2_found": p2_found, "p2_lattice": p2_lattice, "p2_sites": p2_sites, "p2_properties": p2_properties, "p2_steps": p2_steps}
+# --- 5: rows that fail to parse
+def _import_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rejects.with_duplicates(rejects.judged(table(spark, sf_dir, "import_lines"), table(spark, sf_dir, "import_report")))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _import_rows(spark, sf_dir).where("code IS NOT NULL").select("import_no", "row_no", "code")
+
+
+def p5_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ("density", "bulk_modulus", "shear_modulus", "energy_above_hull", "band_gap")
+    good = _import_rows(spark, sf_dir).where("code IS NULL")
+    return good.select("import_no", "row_no", "material_id", "formula", *[F.col("numbers")[n].alias(n) for n in names], "structure_json", "notes")
+
+
+def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rejects.report(_import_rows(spark, sf_dir), table(spark, sf_dir, "import_report"))
+
+
+QUERIES = {"p5_found": p5_found, "p5_loaded": p5_loaded, "p5_report": p5_report, "p4_found": p4_found, "p4_changes": p4_changes, "p4_table": p4_table, "p4_versions": p4_versions, "p6_found": p6_found, "p6_common": p6_common, "p2_found": p2_found, "p2_lattice": p2_lattice, "p2_sites": p2_sites, "p2_properties": p2_properties, "p2_steps": p2_steps}
 ORACLE: dict[str, str] = {
     "p2_properties": """
 WITH e AS (SELECT record_no, unnest(properties) AS p, generate_subscripts(properties, 1) - 1 AS child_no FROM materials_sample)
