@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import Scratch, shared_dir, table
-from . import spam
+from . import entity_match, spam
 from .splits import SplitTable, components, material_keys, read_targets
 from .top_groups import top_n
 
@@ -83,7 +83,17 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p10_pages(spark, sf_dir).where("is_spam").select("doc_id")
 
 
-QUERIES = {"p10_found": p10_found, "p10_pages": p10_pages, "p1_found": p1_found, "p1_splits": p1_splits, "p1_split_shares": p1_split_shares, "p1_incremental": p1_incremental, "p3_found": p3_found, "p3_top": p3_top}
+# --- 7: matching entities across sources without keys
+def p7_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = entity_match.match(entity_match.left_side(table(spark, sf_dir, "materials_sample")), entity_match.right_side(table(spark, sf_dir, "jarvis_rows")))
+    return pairs.withColumnRenamed("mid", "material_id")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_matches(spark, sf_dir).select("material_id", "jid")
+
+
+QUERIES = {"p7_found": p7_found, "p7_matches": p7_matches, "p10_found": p10_found, "p10_pages": p10_pages, "p1_found": p1_found, "p1_splits": p1_splits, "p1_split_shares": p1_split_shares, "p1_incremental": p1_incremental, "p3_found": p3_found, "p3_top": p3_top}
 
 _P3 = """
 WITH sets AS (
