@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import Scratch, shared_dir, table
-from . import entity_match, spam
+from . import entity_match, mixing, packing, spam
 from .splits import SplitTable, components, material_keys, read_targets
+from .tokens import default_vocabulary
 from .top_groups import top_n
 
 
@@ -93,7 +94,25 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_matches(spark, sf_dir).select("material_id", "jid")
 
 
-QUERIES = {"p7_found": p7_found, "p7_matches": p7_matches, "p10_found": p10_found, "p10_pages": p10_pages, "p1_found": p1_found, "p1_splits": p1_splits, "p1_split_shares": p1_split_shares, "p1_incremental": p1_incremental, "p3_found": p3_found, "p3_top": p3_top}
+# --- 8: filling containers
+def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), table(spark, sf_dir, "container_sizes"), default_vocabulary())
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill_report(p8_packed(spark, sf_dir))
+
+
+# --- 9: mixing sources
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), default_vocabulary())
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(p9_mix(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
+QUERIES = {"p8_packed": p8_packed, "p8_fill": p8_fill, "p9_mix": p9_mix, "p9_shares": p9_shares, "p7_found": p7_found, "p7_matches": p7_matches, "p10_found": p10_found, "p10_pages": p10_pages, "p1_found": p1_found, "p1_splits": p1_splits, "p1_split_shares": p1_split_shares, "p1_incremental": p1_incremental, "p3_found": p3_found, "p3_top": p3_top}
 
 _P3 = """
 WITH sets AS (
