@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import core_problems
+from . import cookbook, core_problems, screening
 
-MODULES = [core_problems]
+MODULES = [cookbook, screening, core_problems]
 
 
 def queries() -> dict:
