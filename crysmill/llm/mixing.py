@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import Scratch
-from .prefix import hash_order, running_total
+from ..operators.prefix import hash_order, running_total
 from .tokens import counted
 
 BLOCK_TOKENS = 512

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import Scratch
-from .prefix import hash_order
+from ..operators.prefix import hash_order
 from .tokens import encode, encoding
 
 K1, B = 1.2, 0.75

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.formula import composition_key_udf
 from ..runtime import Scratch
-from .prefix import hash_order, running_total
+from ..operators.prefix import hash_order, running_total
 
 QUARANTINE = "quarantine"
 # Texts that stand for a missing key.
