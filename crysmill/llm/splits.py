@@ -92,6 +92,7 @@ def components(rows: DataFrame, scratch: Scratch, known: DataFrame | None = None
     A key's node is the smallest id that names it, or its component in ``known`` (key, component_id). So nodes are
     BIGINT, one row's keys share most nodes already, and only rows whose keys disagree give edges.
     """
+    rows = rows.where("id IS NOT NULL")
     pairs = rows.select("id", F.explode("keys").alias("key"))
     first = pairs.groupBy("key").agg(F.min("id").alias("node"))
     if known is not None:
@@ -99,15 +100,16 @@ def components(rows: DataFrame, scratch: Scratch, known: DataFrame | None = None
         first = first.join(old, "key", "left").select("key", F.coalesce("old", "node").alias("node"))
     first = scratch.put(first)
     # a hot key is one row here and its many rows are split by the skew join
-    named = pairs.join(first, "key").groupBy("id").agg(F.min("node").alias("rep"), F.max("node").alias("last"), F.collect_set("node").alias("nodes"))
+    named = pairs.join(first, "key").select("id", "node")
+    loose = rows.where(F.size("keys") <= 0).select("id", F.lit(None).cast("bigint").alias("node"))
+    named = named.unionByName(loose).groupBy("id").agg(F.coalesce(F.min("node"), "id").alias("rep"), F.max("node").alias("last"), F.collect_set("node").alias("nodes"))
     named = scratch.put(named.select("id", "rep", F.when(F.col("rep") != F.col("last"), F.col("nodes")).alias("nodes")))
     edges = named.where("nodes IS NOT NULL").select(F.col("rep").alias("a"), F.explode("nodes").alias("b"))
     roots = scratch.put(connected(edges, scratch))
     to = roots.select(F.col("node").alias("rep"), "root")
     tied = named.select("id", "rep").join(to, "rep", "left").select("id", F.coalesce("root", "rep").alias("root"))
-    loose = rows.where(F.size("keys") == 0).select("id", F.col("id").alias("root"))
     keys = first.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("root"))
-    return tied.unionByName(loose), keys
+    return tied, keys
 
 
 def fill_deficits(sizes: DataFrame, targets: list[tuple[str, float]], held: dict[str, int], scratch: Scratch, seed: int = 42) -> DataFrame:
