@@ -156,7 +156,9 @@ def child_links(materials: DataFrame, results: DataFrame) -> DataFrame:
     out = None
     for name, df, kinds in (("materials_sample", normalized_materials(materials), ("lattice", "site", "property")), ("chgnet_reference", normalized_results(results), ("lattice", "site", "step"))):
         # one pass over the parents: every list only carries what its child number needs
-        slim = df.select("key", *[F.transform(k, lambda e: F.when(e.isNotNull(), F.struct((e["child_no"] if k == "step" else F.lit(None).cast("int")).alias("child_no")))).alias(k) for k in kinds])
+        # (a step number given twice is one child)
+        once = lambda k, c: F.array_distinct(c) if k == "step" else c
+        slim = df.select("key", *[once(k, F.transform(k, lambda e: F.when(e.isNotNull(), F.struct((e["child_no"] if k == "step" else F.lit(None).cast("int")).alias("child_no"))))).alias(k) for k in kinds])
         links = _links(slim, name, kinds)
         out = links if out is None else out.unionByName(links)
     return out

@@ -11,7 +11,7 @@ from ..runtime import table
 
 # --- 2: deeply nested records
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nested.child_links(table(spark, sf_dir, "materials_sample"), table(spark, sf_dir, "chgnet_reference")).distinct()
+    return nested.child_links(table(spark, sf_dir, "materials_sample"), table(spark, sf_dir, "chgnet_reference"))
 
 
 def _both(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
@@ -49,7 +49,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- 4: schemas that drift between files
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drift.changes(table(spark, sf_dir, "lemat_raw_lines")).select("file_no", "field_name", "change").distinct()
+    return drift.changes(table(spark, sf_dir, "lemat_raw_lines")).select("file_no", "field_name", "change")
 
 
 def p4_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
