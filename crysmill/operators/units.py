@@ -133,6 +133,8 @@ _UNDER = re.compile("(.+?)_(" + "|".join(_TAILS) + ")$", re.IGNORECASE)
 _BRACKET = re.compile(r"(.*?)\s*[(\[]\s*([^()\[\]]+?)\s*[)\]]\s*$", re.DOTALL)
 _SLASH = re.compile(r"(.*?)\s+/\s+(\S.*)$", re.DOTALL)
 _NUMBER = r"[-+]?(?:\d[\d,]*\.?\d*|(?<![a-z])\.\d+)(?:e[-+]?\d+)?"
+# powers of ten that belong to the unit, told by their exponent's mark
+_SCALED = tuple((re.compile(pattern, re.IGNORECASE), word) for pattern, word in ((r"10(?:\^9|⁹)\s*pa\b", " gigapascal"), (r"10(?:\^6|⁶)\s*pa\b", " megapascal"), (r"10(?:\^12|¹²)\s*pa\b", " terapascal"), (r"10(?:\^-3|⁻³)\s*ev\b", " milli-ev")))
 _POWER = re.compile(r"\s*[x×]\s*10\^?([-+]?\d+)")
 _WORDS = "|".join(re.escape(w) for w in sorted({w + t for u, ws in SPELLINGS.items() for w in ws.split() if len(w) > 1 or u == "K" for t in (PER_ATOM if u in ("eV", "meV", "Ry", "Hartree", "kJ/mol", "J/mol") else ("",))}, key=lambda w: (-len(w), w)))
 _BEFORE = re.compile(rf"\[({_WORDS})\]\D{{0,12}}?({_NUMBER})")
@@ -168,7 +170,10 @@ def _spelled(text: str) -> str:
 
 def text_parts(text: str) -> tuple[float | None, str | None]:
     """(number, unit's spelling or None) of texts like "~222.4 GPa", "[g/cm3] 4.567" and "rho = 1,234 kg/m^3"."""
-    s = text.split("=", 1)[-1].lower().translate(_BLANKS_KEPT)
+    s = text.split("=", 1)[-1]
+    for pattern, word in _SCALED:
+        s = pattern.sub(word, s)
+    s = s.lower().translate(_BLANKS_KEPT)
     s = plain(_POWER.sub(r"e\1", s))
     m = _BEFORE.search(s)
     if m:
