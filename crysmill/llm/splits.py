@@ -93,7 +93,9 @@ def components(rows: DataFrame, scratch: Scratch, known: DataFrame | None = None
     BIGINT, one row's keys share most nodes already, and only rows whose keys disagree give edges.
     """
     rows = rows.where("id IS NOT NULL")
-    pairs = rows.select("id", F.explode("keys").alias("key"))
+    # written once, as reading keys out of spellings costs more than all that follows
+    every = scratch.put(rows.select("id", F.explode_outer("keys").alias("key")))
+    pairs = every.where("key IS NOT NULL")
     first = pairs.groupBy("key").agg(F.min("id").alias("node"))
     if known is not None:
         old = known.select("key", F.col("component_id").alias("old"))
@@ -101,7 +103,7 @@ def components(rows: DataFrame, scratch: Scratch, known: DataFrame | None = None
     first = scratch.put(first)
     # a hot key is one row here and its many rows are split by the skew join
     named = pairs.join(first, "key").select("id", "node")
-    loose = rows.where(F.size("keys") <= 0).select("id", F.lit(None).cast("bigint").alias("node"))
+    loose = every.where("key IS NULL").select("id", F.lit(None).cast("bigint").alias("node"))
     named = named.unionByName(loose).groupBy("id").agg(F.coalesce(F.min("node"), "id").alias("rep"), F.max("node").alias("last"), F.collect_set("node").alias("nodes"))
     named = scratch.put(named.select("id", "rep", F.when(F.col("rep") != F.col("last"), F.col("nodes")).alias("nodes")))
     edges = named.where("nodes IS NOT NULL").select(F.col("rep").alias("a"), F.explode("nodes").alias("b"))
