@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..runtime import Scratch
+
 # Columns of the consistent table and their types.
 COLUMNS = {
     "material_id": "string", "formula": "string", "elements": "array<string>", "nelements": "int", "nsites": "int",
@@ -34,7 +36,7 @@ RENAMES = {
     "nsites": "n_sites num_sites number_of_sites",
     "structure": "crystal crystal_structure",
     "immutable_id": "imm_id uid stable_id",
-    "structure_fingerprint": "fp_hash struct_fp sfp fingerprint structure_hash",
+    "structure_fingerprint": "fp_hash struct_fp sfp fingerprint structure_hash col_9",
     "functional": "xc xc_functional dft_functional level",
     "density": "rho mass_density",
     "bulk_modulus": "k_vrh kvrh bulk_modulus_vrh",
@@ -91,11 +93,12 @@ def _content(value: Column) -> Column:
     return F.lower(F.regexp_replace(text, '[\\s"]', ""))
 
 
-def learned(e: DataFrame, fields: DataFrame, chain: DataFrame) -> DataFrame:
+def learned(lines: DataFrame, fields: DataFrame, chain: DataFrame, scratch: Scratch) -> DataFrame:
     """(key, column) for keys without a rule, by records that two files in a row both deliver.
 
-    Only values of such new keys and of column keys that went away in the same step are compared; a key is led to a
-    column when at least 3 records agree and at least 4 of 5 do.
+    Only files with such a new key and the ones before them are read again, and only values of the new keys and of
+    column keys that went away in the same step are compared; a key is led to a column when at least 3 records agree
+    and at least 4 of 5 do.
     """
     keyed = fields.select("file_no", "key", by_rule(F.col("key")).alias("column"))
     step = chain.where("prev_no IS NOT NULL").select("file_no", "prev_no")
@@ -103,8 +106,10 @@ def learned(e: DataFrame, fields: DataFrame, chain: DataFrame) -> DataFrame:
     now = keyed.select("file_no", "key", "column")
     fresh = now.where("column IS NULL").join(before.select("file_no", F.col("old").alias("key")), ["file_no", "key"], "left_anti").select("file_no", "key")
     gone = before.where("column IS NOT NULL").join(now.where("column IS NOT NULL").select("file_no", "column"), ["file_no", "column"], "left_anti").select("file_no", "prev_no", "old", "column")
-    pairs = fresh.join(gone, "file_no")
-    values = e.select("file_no", "key", "id", _content(F.col("value")).alias("content")).where("id IS NOT NULL")
+    pairs = scratch.put(fresh.join(gone, "file_no"))
+    read = pairs.select("file_no", "key").unionByName(pairs.select(F.col("prev_no").alias("file_no"), F.col("old").alias("key"))).distinct()
+    e = entries(lines.join(read.select("file_no").distinct(), "file_no", "left_semi")).join(read, ["file_no", "key"], "left_semi")
+    values = scratch.put(e.select("file_no", "key", "id", _content(F.col("value")).alias("content")).where("id IS NOT NULL"))
     new = pairs.join(values, ["file_no", "key"]).select("file_no", "prev_no", "key", "old", "column", "id", "content")
     old = values.select(F.col("file_no").alias("prev_no"), F.col("key").alias("old"), "id", F.col("content").alias("was"))
     seen = new.join(old, ["prev_no", "old", "id"]).groupBy("key", "column").agg(F.count("*").alias("n"), F.count_if(F.col("content") == F.col("was")).alias("same"))
@@ -114,14 +119,15 @@ def learned(e: DataFrame, fields: DataFrame, chain: DataFrame) -> DataFrame:
 
 def mapped_fields(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((file_no, field, key, type), files) with every key led to its field."""
-    e, chain = entries(lines), files(lines)
-    fields = file_fields(e)
+    scratch = Scratch(lines.sparkSession, "drift")
+    chain = scratch.put(files(lines))
+    fields = scratch.put(file_fields(entries(lines)))  # one row for each file and key
     # names learned from content are a handful of keys, whatever the input's size
-    known = fields.join(learned(e, fields, chain), "key", "left").withColumn("column", F.coalesce(by_rule(F.col("key")), "learned"))
+    known = fields.join(learned(lines, fields, chain, scratch), "key", "left").withColumn("column", F.coalesce(by_rule(F.col("key")), "learned"))
     first = W.partitionBy("file_no", "column").orderBy(F.desc(F.col("key") == F.col("column")), F.desc(F.col("learned").isNull()), "key")
     place = F.when(F.col("column").isNotNull(), F.row_number().over(first))
     named = known.withColumn("place", place).select("file_no", F.when(F.col("place") == 1, F.col("column")).otherwise(F.col("key")).alias("field"), "key", "type")
-    return named, chain
+    return scratch.put(named), chain
 
 
 def changes(lines: DataFrame) -> DataFrame:
