@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,6 +34,12 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def put_counting(self, df: DataFrame, what: Column) -> tuple[DataFrame, int]:
+        """As ``put``, with the number of rows for which ``what`` holds, counted while they are written."""
+        seen = Observation()
+        out = self.put(df.observe(seen, F.count_if(what).alias("n")))
+        return out, seen.get["n"]
+
     def drop(self, df: DataFrame) -> None:
         path = getattr(df, "_scratch_path", None)
         if path:
