@@ -38,7 +38,7 @@ class Scratch:
         """As ``put``, with the number of rows for which ``what`` holds, counted while they are written."""
         seen = Observation()
         out = self.put(df.observe(seen, F.count_if(what).alias("n")))
-        return out, seen.get["n"]
+        return out, (seen.get or {}).get("n") or 0
 
     def drop(self, df: DataFrame) -> None:
         path = getattr(df, "_scratch_path", None)
