@@ -58,23 +58,24 @@ def connected(edges: DataFrame, scratch: Scratch) -> DataFrame:
     the only aggregate is a map-side combined min.
     """
     maps: list[DataFrame] = []
-    live = scratch.put(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    while live.limit(1).count():
+    live, n = scratch.put_counting(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), F.lit(True))
+    while n:
         both = live.select(F.col("a").alias("node"), F.col("b").alias("near")).unionByName(live.select(F.col("b").alias("node"), F.col("a").alias("near")))
         up = scratch.put(both.groupBy("node").agg(F.least(F.col("node"), F.min("near")).alias("root")))
         while True:
             parent = up.select(F.col("node").alias("root"), F.col("root").alias("next")).where("root <> next")
-            jumped = scratch.put(up.join(parent, "root", "left").select("node", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
+            step = up.join(parent, "root", "left").select("node", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved"))
+            jumped, moved = scratch.put_counting(step, F.col("moved"))
             scratch.drop(up)
             up = jumped
-            if not up.where("moved").limit(1).count():
+            if not moved:
                 break
         up = up.select("node", "root")
         maps.append(up)
         a = up.select(F.col("node").alias("a"), F.col("root").alias("ra"))
         b = up.select(F.col("node").alias("b"), F.col("root").alias("rb"))
         rest = live.join(a, "a").join(b, "b").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).where("a <> b").distinct()
-        nxt = scratch.put(rest)
+        nxt, n = scratch.put_counting(rest, F.lit(True))
         scratch.drop(live)
         live = nxt
     if not maps:
