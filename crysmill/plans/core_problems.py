@@ -84,7 +84,39 @@ def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p5_found": p5_found, "p5_loaded": p5_loaded, "p5_report": p5_report, "p4_found": p4_found, "p4_changes": p4_changes, "p4_table": p4_table, "p4_versions": p4_versions, "p6_found": p6_found, "p6_common": p6_common, "p2_found": p2_found, "p2_lattice": p2_lattice, "p2_sites": p2_sites, "p2_properties": p2_properties, "p2_steps": p2_steps}
+_KIDS = """
+WITH r AS (SELECT artifact_no AS no, CAST(result AS JSON) AS j FROM chgnet_reference WHERE json_valid(result) AND json_type(result) = 'OBJECT'),
+s AS (SELECT no, CASE json_type(j, '$.relaxed_structure') WHEN 'OBJECT' THEN json_extract(j, '$.relaxed_structure') WHEN 'VARCHAR' THEN CAST(json_extract_string(j, '$.relaxed_structure') AS JSON) END AS s,
+  CASE json_type(j, '$.trajectory') WHEN 'VARCHAR' THEN CAST(json_extract_string(j, '$.trajectory') AS JSON) ELSE json_extract(j, '$.trajectory') END AS t FROM r),
+a AS (SELECT no, 'lattice' AS kind, CASE json_type(s, '$.lattice') WHEN 'ARRAY' THEN json_extract(s, '$.lattice') WHEN 'OBJECT' THEN coalesce(json_extract(s, '$.lattice.matrix'), json_array(json_extract(s, '$.lattice.a'), json_extract(s, '$.lattice.b'), json_extract(s, '$.lattice.c'))) END AS x FROM s
+  UNION ALL SELECT no, 'site', CASE WHEN json_type(s, '$.coords') = 'ARRAY' THEN json_extract(s, '$.coords') ELSE CAST(to_json(json_extract(s, '$.sites[*].coords')) AS JSON) END FROM s),
+n AS (SELECT no, kind, x, coalesce(json_type(x, '$[0]') NOT IN ('ARRAY', 'OBJECT', 'NULL'), false) AS flat FROM a WHERE json_array_length(x) > 0),
+i AS (SELECT no, kind, x, flat, unnest(range(CAST(CASE WHEN flat THEN json_array_length(x) // 3 ELSE json_array_length(x) END AS BIGINT))) AS k FROM n),
+t AS (SELECT no, t, json_type(t) AS ty, json_type(t, '$.step') AS st FROM s),
+steps AS (SELECT no, CAST(json_extract_string(t, '$[' || k || '].step') AS INTEGER) AS k FROM (SELECT no, t, unnest(range(CAST(json_array_length(t) AS BIGINT))) AS k FROM t WHERE ty = 'ARRAY') WHERE json_type(t, '$[' || k || ']') = 'OBJECT'
+  UNION SELECT no, CAST(unnest(json_extract_string(t, '$.step[*]')) AS INTEGER) FROM t WHERE ty = 'OBJECT' AND st = 'ARRAY'
+  UNION SELECT no, CAST(json_extract_string(t, '$.step') AS INTEGER) FROM t WHERE ty = 'OBJECT' AND st NOT IN ('ARRAY', 'NULL')
+  UNION SELECT no, CAST(unnest(json_keys(t)) AS INTEGER) FROM t WHERE ty = 'OBJECT' AND st IS NULL),
+m AS (SELECT record_no AS no, 'lattice' AS kind, generate_subscripts(structure.lattice, 1) - 1 AS k, unnest(structure.lattice) IS NOT NULL AS ok FROM materials_sample
+  UNION ALL SELECT record_no, 'site', generate_subscripts(structure.coords, 1) - 1, unnest(structure.coords) IS NOT NULL FROM materials_sample
+  UNION ALL SELECT record_no, 'property', generate_subscripts(properties, 1) - 1, unnest(properties) IS NOT NULL FROM materials_sample)
+SELECT 'materials_sample' AS parent_table, no AS parent_no, kind AS child_kind, CAST(k AS INTEGER) AS child_no FROM m WHERE ok
+UNION ALL SELECT 'chgnet_reference', no, kind, CAST(k AS INTEGER) FROM i WHERE flat OR json_type(x, '$[' || k || ']') <> 'NULL'
+UNION ALL SELECT 'chgnet_reference', no, 'step', k FROM steps"""
+_NAMES = "CASE regexp_replace(lower(key), '[^a-z0-9]', '', 'g') " + " ".join(f"WHEN '{k.replace('_', '')}' THEN '{c}'" for c, ws in drift.RENAMES.items() for k in (c, *ws.split())) + " END"
+_DRIFT = f"""
+WITH e AS (SELECT file_no, key, CASE type WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'list' WHEN 'OBJECT' THEN 'object' ELSE 'number' END AS ty FROM lemat_raw_lines, json_each(payload) WHERE type <> 'NULL'),
+c AS (SELECT file_no, key, ty, count(*) AS n FROM e GROUP BY ALL),
+f AS (SELECT file_no, key, ty FROM (SELECT *, row_number() OVER (PARTITION BY file_no, key ORDER BY n DESC, list_position(['string', 'number', 'boolean', 'list', 'object'], ty)) AS p FROM c) WHERE p = 1),
+g AS (SELECT file_no, key, ty, coalesce({_NAMES}, key) AS field FROM f),
+s AS (SELECT file_no, lag(file_no) OVER (PARTITION BY feed ORDER BY written_at, file_no) AS prev_no FROM (SELECT file_no, min(feed) AS feed, min(written_at) AS written_at FROM lemat_raw_lines GROUP BY file_no)),
+x AS (SELECT g.file_no, g.field, g.key, g.ty FROM g JOIN s ON g.file_no = s.file_no WHERE prev_no IS NOT NULL), y AS (SELECT s.file_no, g.field, g.key, g.ty FROM g JOIN s ON g.file_no = s.prev_no),
+z AS (SELECT coalesce(x.file_no, y.file_no) AS file_no, coalesce(x.field, y.field) AS field_name, x.key AS k1, x.ty AS t1, y.key AS k0, y.ty AS t0 FROM x FULL JOIN y ON x.file_no = y.file_no AND x.field = y.field)
+SELECT * FROM (SELECT file_no, field_name, unnest(list_filter([CASE WHEN k0 IS NULL THEN 'added' END, CASE WHEN k1 IS NULL THEN 'removed' END, CASE WHEN k1 <> k0 THEN 'renamed' END, CASE WHEN t1 <> t0 THEN 'retyped' END], lambda c: c IS NOT NULL)) AS change, k0 AS key_before, k1 AS key_now, t0 AS type_before, t1 AS type_now FROM z)"""
 ORACLE: dict[str, str] = {
+    "p2_found": _KIDS,
+    "p4_changes": _DRIFT,
+    "p4_found": f"SELECT file_no, field_name, change FROM ({_DRIFT})",
     "p2_properties": """
 WITH e AS (SELECT record_no, unnest(properties) AS p, generate_subscripts(properties, 1) - 1 AS child_no FROM materials_sample)
 SELECT record_no, CAST(child_no AS INTEGER) AS child_no, p.name AS name, p.value AS value, p.value_text AS value_text, p.unit AS unit, p.source AS source, p.method AS method FROM e WHERE p IS NOT NULL""",
