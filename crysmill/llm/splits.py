@@ -26,17 +26,19 @@ PLACEHOLDERS = ("", "-", "--", "?", ".", "0", "n/a", "na", "nan", "nil", "none",
 
 
 def fingerprint_key(c: Column) -> Column:
-    """Fingerprint by meaning: no scheme prefix, blanks, dashes or letter case; null for placeholders."""
+    """Fingerprint by meaning: no scheme prefix, blanks, dashes or letter case; null for placeholders, all-zero and
+    other one-character fillings among them."""
     plain = F.lower(F.regexp_replace(c, r"\s", ""))
     bare = F.regexp_replace(F.regexp_replace(plain, r"^(fp|sfp|fingerprint)[:=]", ""), r"[-_:]", "")
-    return F.when(~plain.isin(*PLACEHOLDERS) & bare.rlike("^[0-9a-z]+$") & bare.rlike("[0-9]"), bare)
+    return F.when(~plain.isin(*PLACEHOLDERS) & bare.rlike("^[0-9a-z]+$") & bare.rlike("[0-9]") & ~bare.rlike(r"^(.)\1*$"), bare)
 
 
 def immutable_key(c: Column) -> Column:
-    """Immutable id by meaning: separators, blanks and letter case don't count; null for placeholders."""
+    """Immutable id by meaning: separators, blanks and letter case don't count; null for placeholders, all-zero
+    and other one-digit numbers among them."""
     plain = F.lower(F.regexp_replace(c, r"\s", ""))
     bare = F.regexp_replace(plain, r"[^0-9a-z]", "")
-    return F.when(~plain.isin(*PLACEHOLDERS) & bare.rlike("[0-9]"), bare)
+    return F.when(~plain.isin(*PLACEHOLDERS) & bare.rlike("[0-9]") & ~bare.rlike(r"^[a-z]*(0+|([0-9])\2{5,})$"), bare)
 
 
 def material_keys(df: DataFrame, id_col: str = "row_no") -> DataFrame:

@@ -47,8 +47,8 @@ def test_cascade_empty(spark):
 
 PROSE = "The density of TiN stayed near 5.4 g/cm^3 after the second pass, and we do not know why the first attempt failed. "
 SPAM_TAIL = "zinc selenide wafer cheap zinc selenide wafer deal zinc selenide wafer. " * 8
-SPAM = ["Gallium oxide boat powder gallium oxide boat! Gallium oxide boat order now gallium oxide boat price? " * 4, "rod\ndiscount\nboron carbide\nrod\nrod\ndiscount\nboron carbide\nrod\ndiscount", "Tags: #oxide #foil #oxide #foil #powder #target #oxide", "Home > Shop > Hafnium Carbide > Rod > Page 4\nHome / All items / Cerium Oxide / Foil\n" * 3, "https://a-shop.example/foil1 https://b-shop.test/rod2\nhttps://c.example/item?id=3", "SKU 3708; ZrB2 rod; 3 in; 799.00; in stock\nSKU 57180; CeO2 disc; 2 in; 727.00; sale\n" * 2, '<a href="https://x.test/a">tin foil</a> | <a href="https://x.test/b">tin rod</a>', "supplier; powder; powder; in stock; supplier; powder; boron carbide; supplier; boron carbide", PROSE + SPAM_TAIL]
-FINE = [PROSE, "", "   ", "ok", "12 34 56", "B4C data card\nPoisson ratio: 11 % (measured)\ncell volume: 6.16 Å^3 (estimated)\ndensity: 3 g/cm^3 (computed)", "[000] Ga2O3 relax energy=-2.21853 force=0.2030\nstep    1  E = -2.226009 eV  fmax = 0.10521", "material | density | bulk\nSiC | 3.2 | 220\nTiN | 5.4 | 290\nAlN | 3.2 | 200", "* Fixed the relaxation option that ignored the cell volume.\n- Removed the import option that dropped the band gap.", "```\nframe = frame.where('density < 65')\nframe = frame.where('x < 5')\n```", PROSE + "\n\nReferences\n[1] https://a.example/x\n[2] https://b.test/y", "Nach 84 Minuten wurde der Lauf abgebrochen, weil der Druck schwankte.", "Il faudra vérifier l'unité avant de comparer ces valeurs.", PROSE * 3 + "foil foil foil foil foil foil foil foil foil foil"]
+SPAM = ["Keywords: foil, rod, foil, rod, foil, oxide foil, rod, foil, oxide foil, rod, foil, rod", "Gallium oxide boat powder gallium oxide boat! Gallium oxide boat order now gallium oxide boat price? " * 4, "rod\ndiscount\nboron carbide\nrod\nrod\ndiscount\nboron carbide\nrod\ndiscount", "Tags: #oxide #foil #oxide #foil #powder #target #oxide", "Home > Shop > Hafnium Carbide > Rod > Page 4\nHome / All items / Cerium Oxide / Foil\n" * 3, "https://a-shop.example/foil1 https://b-shop.test/rod2\nhttps://c.example/item?id=3", "SKU 3708; ZrB2 rod; 3 in; 799.00; in stock\nSKU 57180; CeO2 disc; 2 in; 727.00; sale\n" * 2, '<a href="https://x.test/a">tin foil</a> | <a href="https://x.test/b">tin rod</a>', "supplier; powder; powder; in stock; supplier; powder; boron carbide; supplier; boron carbide", PROSE + SPAM_TAIL]
+FINE = [PROSE, "", "   ", "ok", "12 34 56", "B4C data card\nPoisson ratio: 11 % (measured)\ncell volume: 6.16 Å^3 (estimated)\ndensity: 3 g/cm^3 (computed)", "[000] Ga2O3 relax energy=-2.21853 force=0.2030\nstep    1  E = -2.226009 eV  fmax = 0.10521", "material | density | bulk\nSiC | 3.2 | 220\nTiN | 5.4 | 290\nAlN | 3.2 | 200", "* Fixed the relaxation option that ignored the cell volume.\n- Removed the import option that dropped the band gap.", "```\nframe = frame.where('density < 65')\nframe = frame.where('x < 5')\n```", PROSE + "\n\nReferences\n[1] https://a.example/x\n[2] https://b.test/y", "Die Dichte von X blieb bei der 2. Messung nahezu unverändert.\n\nKeywords: residual force, density, shear modulus, energy above the hull, bulk modulus", "Nach 84 Minuten wurde der Lauf abgebrochen, weil der Druck schwankte.", "Il faudra vérifier l'unité avant de comparer ces valeurs.", PROSE * 3 + "foil foil foil foil foil foil foil foil foil foil"]
 
 
 @pytest.mark.parametrize("text", SPAM)

@@ -46,11 +46,11 @@ def test_long_chain_and_star(spark):
 
 def test_material_keys_by_meaning(spark):
     rows = [
-        (1, "Al2O3", "LMI000000001", "fp:00aaBBccDDee1122"), (2, " Al4 O6", "lmi-000000001", "00AA-bbcc-ddee-1122"), (3, "n/a", "TBD", "unknown"), (4, "?", "nan", "None"), (5, None, None, None), (6, "", " ", ""),
+        (1, "Al2O3", "LMI000000001", "fp:00aaBBccDDee1122"), (2, " Al4 O6", "lmi-000000001", "00AA-bbcc-ddee-1122"), (3, "n/a", "TBD", "unknown"), (4, "?", "nan", "None"), (5, None, None, None), (6, "", " ", ""), (7, "?", "lmi000000000", "0000000000000000"), (8, None, "LMI-000 000 000", "fp:FFFF-FFFF-FFFF-FFFF"),
     ]
     df = spark.createDataFrame([(*r, "clash", 1) for r in rows], "row_no bigint, formula string, immutable_id string, structure_fingerprint string, key string, root int")
     got = {r["id"]: sorted(r["keys"]) for r in material_keys(df).collect()}
-    assert got[1] == got[2] and len(got[1]) == 3 and all(got[i] == [] for i in (3, 4, 5, 6))
+    assert got[1] == got[2] and len(got[1]) == 3 and all(got[i] == [] for i in range(3, 9))
 
 
 def test_rows_without_id_and_repeated_rows(spark):
