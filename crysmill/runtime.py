@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
 import zipfile
@@ -21,11 +22,16 @@ def ship(spark: SparkSession) -> None:
         return
     _shipped.add(sc.applicationId)
     root = Path(__file__).resolve().parent
-    path = Path(tempfile.mkdtemp(prefix="crysmill-package-")) / "crysmill_package.zip"
-    with zipfile.ZipFile(path, "w") as z:
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
         for f in sorted(root.rglob("*.py")):
             z.write(f, f.relative_to(root.parent).as_posix())
-    sc.addPyFile(str(path))
+    where = f"{shared_dir(spark)}/crysmill/package-{uuid.uuid4().hex[:12]}/crysmill_package.zip"
+    path = sc._jvm.org.apache.hadoop.fs.Path(where)
+    out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path, True)
+    out.write(bytearray(packed.getvalue()))
+    out.close()
+    sc.addPyFile(where)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -36,6 +36,8 @@ def test_slice_report_and_id(spark):
     assert [x["name"] for x in r["filter_steps"]] == ["filter_elements", "filter_complexity"] and r["columns_used"] == ["elements", "nelements", "nsites"]
     assert r["slice_id"] == bulk(spark).filter_elements(include=["N", "Al", "Ti"]).filter_complexity(4, 3).create_slice("other name", target="bulk_modulus").slice_id
     assert r["slice_id"] != d.create_slice("v0").slice_id and len(r["slice_id"]) == 21
+    public = ds.MaterialsDataset.bulk(spark.createDataFrame(rows(), BULK), "LeMaterial/LeMat-Bulk", "compatible_pbesol")
+    assert public.filter_elements(include=["Ti", "Al", "N"]).filter_complexity(4, 3).create_slice("v0", target="bulk_modulus").slice_id == "mg_slice_7329526f63b1"
 
 
 def test_filters_and_missing_values(spark):
