@@ -83,11 +83,25 @@ class Index:
         self.start = np.searchsorted(term[order], np.arange(VOCABULARY + 1))
 
     def scores(self, ids: np.ndarray) -> np.ndarray:
-        out = np.zeros(self.n)
-        for t in np.unique(ids):
-            lo, hi = self.start[t], self.start[t + 1]
-            out[self.owner[lo:hi]] += self.weight[lo:hi]  # an item is in a posting list once
-        return out
+        """BM25 of every item against the terms of ``ids``, from all their posting lists at once."""
+        terms = np.unique(ids).astype(np.int64)
+        lo = self.start[terms]
+        sizes = self.start[terms + 1] - lo
+        ends = np.cumsum(sizes)
+        at = np.repeat(lo - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+        return np.bincount(self.owner[at], weights=self.weight[at], minlength=self.n)
+
+
+def best_first(score: np.ndarray, first: int = 64):
+    """Items of positive score, best first and ties by number; the few best are found without sorting them all."""
+    if len(score) > 4 * first:
+        cut = np.partition(score, -first)[-first]
+        if cut > 0:
+            top = np.flatnonzero(score >= cut)
+            yield from top[np.argsort(-score[top], kind="stable")]
+            score = np.where(score >= cut, 0, score)
+    rest = np.flatnonzero(score > 0)
+    yield from rest[np.argsort(-score[rest], kind="stable")]
 
 
 def pack_shard(sizes: np.ndarray, index: Index, items: list[np.ndarray], capacity: int) -> list[list[int]]:
@@ -104,9 +118,9 @@ def pack_shard(sizes: np.ndarray, index: Index, items: list[np.ndarray], capacit
         by_size.pop(bisect_right(by_size, (int(sizes[seed]), seed)) - 1)
         if room and by_size and by_size[0][0] <= room:
             score = index.scores(items[seed])
-            score[used] = 0
-            for i in np.argsort(-score, kind="stable"):
-                if score[i] <= 0 or not by_size or by_size[0][0] > room:
+            score[used | (sizes > room)] = 0
+            for i in best_first(score):
+                if not by_size or by_size[0][0] > room:
                     break
                 s = int(sizes[i])
                 if s <= room:
