@@ -134,7 +134,8 @@ def match(left: DataFrame, right: DataFrame) -> DataFrame:
     pairs = reduce(DataFrame.unionByName, found)
     traced = left.select("flat", F.col("mid").alias("label"), F.col("comp").alias("lc"), F.col("v").alias("lv"), F.col("rho").alias("lr"))
     labelled = scratch.put(right.where("ref IS NOT NULL").join(traced, (right.flat == traced.flat) & (right.comp == traced.lc)).select(*[right[c] for c in right.columns], "label", "lv", "lr"))
-    tries = [_best(rule, left, labelled.select(*right.columns)) for rule in RULES[1:]]
+    # each written by itself: one plan of all rules would fill the driver's memory with generated code
+    tries = [scratch.put(_best(rule, left, labelled.select(*right.columns))) for rule in RULES[1:]]
     scored = reduce(DataFrame.unionByName, tries).join(labelled.select("jid", "label"), "jid").groupBy("rule").agg(F.count("*").alias("n"), F.count_if(F.col("mid") == F.col("label")).alias("hits"))
     # a trace is judged by what was measured on both sides
     told = labelled.where("(v IS NOT NULL AND lv IS NOT NULL) OR (rho IS NOT NULL AND lr IS NOT NULL)")
