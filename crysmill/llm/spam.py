@@ -1,10 +1,12 @@
 """Pages of stuffed keywords, lists of links or menus, and product tags or offers.
 
-A text is cut into spans (lines, and sentences in them). Spans whose words include function words are sentences; spans
-ruled by numbers, code or log patterns are data; neither can be spam. The other spans, joined, are judged by how terms
-come back: the gaps between repeats of a term, the autocorrelation of the term sequence over lag windows, and how many
-distinct nouns stand in a row without any function word. A text is spam when flagged spans and link spans hold the
-greater part of it.
+A text is cut into spans (lines, and sentences in them). Spans ruled by numbers, code or log patterns are data and are
+never spam. All others but links are judged by how terms come back: the gaps between repeats of a term and their
+evenness, the autocorrelation of the term sequence over lags, and how many distinct nouns stand in a row without any
+function word. Four sequences are measured: lists and tags; phrases with function words, short and without an end
+mark; sentences poor in function words; and all spans with function words, without these words and over short gaps only,
+as a search phrase is short and a sentence that is told again is not. A text is spam when flagged spans and link spans hold
+the greater part of it.
 
 Edge cases: null, empty and blank texts are not flagged; texts of any length are read whole, in linear time; a text
 without any letter is data. Results depend on nothing but the text, so repeated texts share one verdict.
@@ -50,6 +52,11 @@ WORD = re.compile(r"(?<!\w)[^\W\d_]+(?:['’-][^\W\d_]+){0,8}(?!\w)")
 TERM = re.compile(r"[^\W_]+")
 # Marks of an offer in a shop.
 OFFER = re.compile(r"\b(?:sku|add to (?:cart|basket)|ships (?:today|free)|buy now|in den warenkorb|ajouter au panier|añadir al carrito)\b", re.IGNORECASE)
+# A search phrase has at most so many words; prose with a smaller share of function words reads as one.
+PHRASE_WORDS, SPOKEN_SHARE = 8, 0.3
+# Fixed value: so many distinct nouns in a row are a list.
+NOUN_RUN = 12
+END = re.compile(r"[.!?:…][\"'»”)\]]*\s*$")
 NUMBER = re.compile(r"(?<![\w.])[-+]?\d[\d.,]{0,40}(?:[eE][-+]?\d+)?(?![\w])")
 
 
@@ -146,28 +153,70 @@ def _kind(span: str) -> str:
     return "list"
 
 
+def _stuffed(back: float, even: float, peak: float, n: int) -> bool:
+    """Listed terms come back soon and again and again, or less often but at fixed lags or in even gaps."""
+    return n >= 8 and (back >= 0.35 or back >= 0.2 and (peak >= 0.3 or even >= 0.7))
+
+
+def _repeated(terms: list[str], most: float, window: int) -> bool:
+    """Terms of spans with function words: few distinct ones, nearly all of them back within ``window``, or most at fixed lags or in even gaps."""
+    n = len(terms)
+    if n < 16 or len(set(terms)) > most * n:
+        return False
+    back, even, peak = recurrence(terms, window)
+    return back >= 0.75 or back >= 0.5 and (peak >= 0.3 or even >= 0.7)
+
+
 def judge(text: str | None) -> Page:
     """The verdict on one text."""
     if not isinstance(text, str) or not text.strip():
         return Page(False, "none", 0.0, 0.0, 0.0, 0.0)
     size: Counter = Counter()
     listed: list[str] = []
-    lines = 0
+    phrases: list[str] = []
+    poor: list[str] = []
+    content: list[str] = []
+    run: set[str] = set()
+    longest = 0
     for kind, span in spans(text):
-        size[kind] += len(span)
         if kind in ("list", "tag"):
-            listed += [w.lower() for w in TERM.findall(span)]
-            lines += 1
+            for w in TERM.findall(span):
+                w = w.lower()
+                listed.append(w)
+                if w in FUNCTION_WORDS:
+                    run = set()
+                else:
+                    run.add(w)
+                    longest = max(longest, len(run))
+        elif kind == "prose":
+            run = set()
+            words = _terms(span)
+            nouns = [w for w in words if w not in FUNCTION_WORDS]
+            content += nouns
+            if len(words) <= PHRASE_WORDS and not END.search(span):
+                kind = "phrase"
+                phrases += words
+            elif len(nouns) > (1 - SPOKEN_SHARE) * len(words):
+                kind = "poor"
+                poor += words
+        size[kind] += len(span)
     whole = sum(size.values())
+    n = len(listed)
     back, even, peak = recurrence(listed)
+    stuffed = _stuffed(back, even, peak, n)
+    lists = size["list"] + size["tag"] if stuffed or longest >= NOUN_RUN or size["tag"] > size["list"] else 0
+    # sentences may share terms, so each must come back more often in them than in short phrases
+    if _repeated(content, 1 / 8, PHRASE_WORDS):
+        said = size["prose"] + size["phrase"] + size["poor"]
+    else:
+        said = (size["phrase"] if _repeated(phrases, 1 / 4, 24) else 0) + (size["poor"] if _repeated(poor, 1 / 8, 24) else 0)
+    if said > lists:
+        listed = content
+        back, even, peak = recurrence(listed)
     distinct = len(set(listed)) / len(listed) if listed else 0.0
-    n = len(listed)
-    # stuffed: terms come back soon and again and again, or at fixed lags; listed: nouns in a row without a function word
-    stuffed = n >= 8 and (back >= 0.35 or peak >= 0.3 and back >= 0.2)
-    nouns = n >= 12
-    bad = size["link"] + (size["list"] + size["tag"] if stuffed or nouns or size["tag"] > size["list"] else 0)
+    bad = size["link"] + lists + said
     share = bad / whole
-    kinds = {"links": size["link"], "tags": size["tag"], "keywords": size["list"] if stuffed else 0, "offers": size["list"] if not stuffed else 0}
+    kinds = {"links": size["link"], "tags": size["tag"], "keywords": (size["list"] if stuffed else 0) + said, "offers": size["list"] if not stuffed else 0}
     return Page(share > 0.5, max(kinds, key=kinds.get) if bad else "none", share, back, peak, distinct)
 
 

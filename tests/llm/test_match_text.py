@@ -61,6 +61,26 @@ def test_fine(text):
     assert not spam.judge(text).spam
 
 
+MATERIALS = ("titanium nitride", "gallium oxide", "boron carbide", "scandium aluminium nitride", "tin oxide")
+PHRASES = ["buy titanium nitride powder near me\n" * 50, "Buy titanium nitride powder near me! " * 20, "buy titanium nitride powder near me " * 30, "\n".join(f"buy {m} {f} near me" for m in MATERIALS for f in ("powder", "foil", "rod", "wafer", "target", "disc")), "where to buy titanium nitride powder for the best price near me\n" * 30, "Buy cheap titanium nitride sputter target powder from top factory supplier in harbor city near me. " * 20]
+
+
+@pytest.mark.parametrize("text", PHRASES)
+def test_stuffed_phrases_with_function_words(text):
+    assert spam.judge(text).spam
+
+
+def test_told_again_is_no_stuffing():
+    assert not spam.judge("Conviene revisar la unidad antes de comparar los valores. " * 5).spam
+    assert not spam.judge("We do not know why the first attempt failed. " * 6).spam
+
+
+def test_nouns_count_only_in_a_row():
+    # enough terms, but no 12 different ones in a row and none that comes back
+    assert not spam.judge("foil, rod, disc, or oxide, boat, wafer, target or bulk, deal, price, cheap, coast, north").spam
+    assert spam.judge("foil, rod, disc, oxide, boat, wafer, target, bulk, deal, price, cheap, coast, north").spam
+
+
 def test_recurrence_of_regular_and_random_terms():
     back, even, peak = spam.recurrence(["a", "b", "c"] * 20)
     assert back > 0.9 and even == 1.0 and peak == pytest.approx(1.0)
