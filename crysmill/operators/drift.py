@@ -1,15 +1,16 @@
 """Schemas that drift between the files of a feed.
 
 Every file gets a schema: for each key the type of most of its non-null values. Keys are led to columns by explicit
-migration rules (fixed aliases, and the same name in another case or with other separators); a key that no rule knows
-is led to a column when records that were delivered again carry the same content under it as under a column's key that
-went away. A file's schema fingerprint then gets a version in its feed, changes are read off by comparing each file with
+migration rules (fixed aliases, and the same name in another case or with other separators); other names are learned from
+records that were delivered again: a key that appears in a step and one that goes away hold the same field when these
+records carry the same content under both, and such ties carry over from key to key until one is a column's. A file's schema fingerprint then gets a version in its feed, changes are read off by comparing each file with
 the one last written before it in the feed, and all records are read through rename, default and cast rules into one
 table.
 
 Edge cases: payloads that are null, no JSON or no object take no part in schemas and give rows of nulls in the table;
 JSON nulls are no values; files without any value have no fields; ties between types go to the first of string, number,
-boolean, list, object; of two keys for one column in a file, the column's own name wins and the other keeps its name.
+boolean, list, object; of two keys for one column in a file, the column's own name wins and the other keeps its name;
+tied keys of which none is a column's go by the one written first.
 """
 
 from __future__ import annotations
@@ -94,27 +95,55 @@ def _content(value: Column) -> Column:
 
 
 def learned(lines: DataFrame, fields: DataFrame, chain: DataFrame, scratch: Scratch) -> DataFrame:
-    """(key, column) for keys without a rule, by records that two files in a row both deliver.
+    """(key, learned) for keys without a rule, by records that two files in a row both deliver.
 
-    Only files with such a new key and the ones before them are read again, and only values of the new keys and of
-    column keys that went away in the same step are compared; a key is led to a column when at least 3 records agree
-    and at least 4 of 5 do.
+    Only files of steps in which a key appears and one goes away, at least one of them without a rule, are read again,
+    and only values of these keys are compared; two keys (or a key and a column) are tied when at least 3 records agree
+    and at least 4 of 5 do, two keys without a rule also need 3 different contents. Ties are a few names, whatever the
+    input's size, and are followed on the driver.
     """
     keyed = fields.select("file_no", "key", by_rule(F.col("key")).alias("column"))
     step = chain.where("prev_no IS NOT NULL").select("file_no", "prev_no")
-    before = step.join(keyed.select(F.col("file_no").alias("prev_no"), F.col("key").alias("old"), "column"), "prev_no")
-    now = keyed.select("file_no", "key", "column")
-    fresh = now.where("column IS NULL").join(before.select("file_no", F.col("old").alias("key")), ["file_no", "key"], "left_anti").select("file_no", "key")
-    gone = before.where("column IS NOT NULL").join(now.where("column IS NOT NULL").select("file_no", "column"), ["file_no", "column"], "left_anti").select("file_no", "prev_no", "old", "column")
-    pairs = scratch.put(fresh.join(gone, "file_no"))
+    before = step.join(keyed.select(F.col("file_no").alias("prev_no"), "key", "column"), "prev_no").select("file_no", "key", "column", "prev_no")
+    now = keyed.join(step.select("file_no"), "file_no")
+    came = now.join(before, ["file_no", "key"], "left_anti").join(before, ["file_no", "column"], "left_anti").select("file_no", "key", "column")
+    went = before.join(now, ["file_no", "key"], "left_anti").join(now, ["file_no", "column"], "left_anti").select("file_no", "prev_no", F.col("key").alias("old"), F.col("column").alias("old_column"))
+    pairs = scratch.put(came.join(went, "file_no").where("column IS NULL OR old_column IS NULL"))
     read = pairs.select("file_no", "key").unionByName(pairs.select(F.col("prev_no").alias("file_no"), F.col("old").alias("key"))).distinct()
     e = entries(lines.join(read.select("file_no").distinct(), "file_no", "left_semi")).join(read, ["file_no", "key"], "left_semi")
     values = scratch.put(e.select("file_no", "key", "id", _content(F.col("value")).alias("content")).where("id IS NOT NULL"))
-    new = pairs.join(values, ["file_no", "key"]).select("file_no", "prev_no", "key", "old", "column", "id", "content")
+    new = pairs.join(values, ["file_no", "key"])
     old = values.select(F.col("file_no").alias("prev_no"), F.col("key").alias("old"), "id", F.col("content").alias("was"))
-    seen = new.join(old, ["prev_no", "old", "id"]).groupBy("key", "column").agg(F.count("*").alias("n"), F.count_if(F.col("content") == F.col("was")).alias("same"))
-    sure = seen.where("same >= 3 AND same * 5 >= n * 4")
-    return sure.groupBy("key").agg(F.max_by("column", F.struct("same", "column")).alias("learned"))
+    ends = new.join(old, ["prev_no", "old", "id"]).select(F.coalesce("column", "key").alias("a"), F.coalesce("old_column", "old").alias("b"), (F.col("column").isNotNull() | F.col("old_column").isNotNull()).alias("ruled"), F.when(F.col("content") == F.col("was"), F.pmod(F.xxhash64("content"), F.lit(1024))).alias("agreed"))
+    seen = ends.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("n"), F.count("agreed").alias("same"), F.size(F.collect_set("agreed")).alias("kinds"), F.first("ruled").alias("ruled"))
+    ties = seen.where("same >= 3 AND same * 5 >= n * 4 AND (ruled OR kinds >= 3)").select("a", "b", "same").collect()
+    free = {x for t in ties for x in (t["a"], t["b"]) if x not in COLUMNS}
+    written = fields.where(F.col("key").isin(*free)).join(chain, "file_no").groupBy("key").agg(F.min(F.struct("written_at", "file_no")).alias("at")).orderBy("at", "key").collect() if free else []
+    names = follow([(t["a"], t["b"], t["same"]) for t in ties], [r["key"] for r in written])
+    return lines.sparkSession.createDataFrame(sorted(names.items()), "key STRING, learned STRING")
+
+
+def follow(ties: list[tuple[str, str, int]], first: list[str]) -> dict[str, str]:
+    """Field of each tied key that is no column: the column it is tied to by most records, over other keys if need be;
+    else the first, in the order of ``first``, of the keys tied to each other."""
+    near: dict[str, list[tuple[int, str]]] = {}
+    for a, b, same in ties:
+        near.setdefault(a, []).append((same, b))
+        near.setdefault(b, []).append((same, a))
+    names = {c: c for c in near if c in COLUMNS}
+    while True:
+        reached = {k: max((same, names[x]) for same, x in xs if x in names)[1] for k, xs in near.items() if k not in names and any(x in names for _, x in xs)}
+        if not reached:
+            break
+        names |= reached
+    for k in first:
+        todo = [] if k in names else [k]
+        while todo:
+            x = todo.pop()
+            if x not in names:
+                names[x] = k
+                todo += [y for _, y in near[x]]
+    return {k: c for k, c in names.items() if k not in COLUMNS}
 
 
 def mapped_fields(lines: DataFrame) -> tuple[DataFrame, DataFrame]:

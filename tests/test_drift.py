@@ -37,6 +37,19 @@ def test_unknown_name_is_learned_from_repeated_records(spark):
     assert found(lines(spark, {1: ("f", 1, before), 2: ("f", 2, after)})) == [(2, "run_hash", "added"), (2, "structure_fingerprint", "renamed"), (2, "structure_fingerprint", "retyped")]
 
 
+def test_names_are_learned_in_both_directions_and_over_other_names(spark):
+    ids = range(6)
+    print_of = lambda i: f"{i * 7919:016x}"
+    one = [{"material_id": f"m{i}", "zz": print_of(i), "n1": f"note {i}", "flag": "x"} for i in ids]
+    two = [{"material_id": f"m{i}", "yy": print_of(i).upper(), "n2": f"note {i}", "mark": "x"} for i in ids]
+    three = [{"material_id": f"m{i}", "structure_fingerprint": print_of(i), "n2": f"note {i}", "mark": "x", "run_hash": f"{i + 99:016x}"} for i in ids]
+    df = lines(spark, {1: ("f", 1, one), 2: ("f", 2, two), 3: ("f", 3, three)})
+    # a constant alone ties no two unknown names
+    assert found(df) == [(2, "flag", "removed"), (2, "mark", "added"), (2, "n1", "renamed"), (2, "structure_fingerprint", "renamed"), (3, "run_hash", "added"), (3, "structure_fingerprint", "renamed")]
+    kept = {(r["file_no"], r["material_id"]): r["structure_fingerprint"] for r in drift.consistent(df).collect()}
+    assert all(kept[n, f"m{i}"].lower() == print_of(i) for n in (1, 2, 3) for i in ids)
+
+
 def test_consistent_table_and_versions(spark):
     df = lines(spark, {1: ("f", 1, [{"material_id": "a", "chem": {"Ti": 1, "N": 2}, "species_set": "Ti-N", "xc": ["PBE"], "rho": "4.5", "nsites": "n/a"}, None]), 2: ("f", 2, [{"material_id": "b", "formula": ["Ti1", "N1"], "elements": ["Ti"], "functional": {"name": "SCAN"}, "energy_above_hull": {"value": 0.1, "unit": "eV"}}])})
     rows = {r["file_no"] * 10 + r["line_no"]: r for r in drift.consistent(df).collect()}
