@@ -41,14 +41,15 @@ def p1_split_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the older half of the ingestion times first, then the later ones against the persisted table."""
+    """The rows of the older half of the ingestion times first, then the later ones against the persisted table; splits
+    as they stand after both."""
     t = table(spark, sf_dir, "lemat_bulk_sample")
     at = t.agg(F.expr("percentile_approx(ingested_at, 0.5)")).first()[0]
     late = F.col("ingested_at") > F.lit(at).cast(t.schema["ingested_at"].dataType)
     store = _split_table(spark, sf_dir)
-    first = store.add(material_keys(t.where(~F.coalesce(late, F.lit(False)))))
-    second = store.add(material_keys(t.where(late)))
-    return first.select(F.col("id").alias("row_no"), "split", F.lit(1).alias("batch")).unionByName(second.select(F.col("id").alias("row_no"), "split", F.lit(2).alias("batch")))
+    store.add(material_keys(t.where(~F.coalesce(late, F.lit(False)))))
+    store.add(material_keys(t.where(late)))
+    return store.present().select(F.col("id").alias("row_no"), "split", "batch")
 
 
 # --- 3: top N items within every group

@@ -1,8 +1,8 @@
 """Splits that keep tied records together.
 
 Records that share a key (author, source, fingerprint, composition ...) are tied, and ties carry over. The operator
-keeps a *component table* on disk: every key it has ever seen with the component it belongs to, and every component
-with its split. A new batch looks its keys up, merges components by hooking and pointer jumping, lets existing
+keeps a *component table* on disk: every key and record it has ever seen with the component it belongs to, and every
+component with its split. A new batch looks its keys up, merges components by hooking and pointer jumping, lets existing
 components keep their split, fills the splits' deficits with new components, and quarantines a merge of components
 that already sit in different splits.
 
@@ -152,7 +152,7 @@ def fill_deficits(sizes: DataFrame, targets: list[tuple[str, float]], held: dict
 
 
 class SplitTable:
-    """The persisted component table under ``path``: versions of ``keys`` and ``components``, and a pointer to the last."""
+    """The persisted component table under ``path``: versions of ``keys``, ``rows`` and ``components``, and a pointer to the last."""
 
     def __init__(self, spark: SparkSession, path: str, targets: list[tuple[str, float]], seed: int = 42):
         if not targets or abs(sum(s for _, s in targets) - 1) > 1e-6:
@@ -168,7 +168,8 @@ class SplitTable:
 
         A component that was split before keeps its split. Components of different splits that the batch ties are merged
         and set to ``quarantine``, with their old splits in the table's ``was`` column, so no tie ever runs between two
-        splits. ids must not repeat between batches.
+        splits. ids must not repeat between batches. Records of earlier batches may change their split by that: ``present``
+        gives all of them.
         """
         scratch = Scratch(self.spark, "splits")
         old_keys, old = self._read("keys"), self._read("components")
@@ -180,6 +181,7 @@ class SplitTable:
             new = fill_deficits(sizes, self.targets, {}, scratch, self.seed)
             comps = sizes.join(new, "component_id").select("component_id", "split", "n", F.array().cast("array<string>").alias("was"))
             all_keys = keys.select("key", F.col("root").alias("component_id"))
+            earlier = None
         else:
             touched = keys.join(old_keys.select("key", F.col("component_id").alias("prior")), "key").select("prior", "root").distinct()
             touched = scratch.put(touched)
@@ -195,12 +197,21 @@ class SplitTable:
             renamed = old_keys.join(touched.withColumnRenamed("prior", "component_id"), "component_id", "left").select("key", F.coalesce("root", "component_id").alias("component_id"))
             fresh = keys.join(old_keys, "key", "left_anti").select("key", F.col("root").alias("component_id"))
             all_keys = renamed.unionByName(fresh)
+            earlier = self._read("rows").join(touched.withColumnRenamed("prior", "component_id"), "component_id", "left").select("id", F.coalesce("root", "component_id").alias("component_id"), "batch")
         base = f"{self.path}/v{self.version + 1}"
         comps.write.mode("overwrite").parquet(f"{base}/components")
         all_keys.write.mode("overwrite").parquet(f"{base}/keys")
+        added = ids.select("id", F.col("root").alias("component_id"), F.lit(self.version + 1).alias("batch"))
+        (added if earlier is None else earlier.unionByName(added)).write.mode("overwrite").parquet(f"{base}/rows")
         self.version += 1
         return ids.select("id", F.col("root").alias("component_id")).join(self._read("components").select("component_id", "split"), "component_id").select("id", "component_id", "split")
 
+    def present(self) -> DataFrame:
+        """(id, component_id, split, batch) of the records of all batches as they stand after the last one."""
+        if not self.version:
+            return self.spark.createDataFrame([], "id BIGINT, component_id BIGINT, split STRING, batch INT")
+        return self._read("rows").join(self._read("components").select("component_id", "split"), "component_id").select("id", "component_id", "split", "batch")
+
 
 def read_targets(df: DataFrame) -> list[tuple[str, float]]:
     """Splits and shares of a small fixed table, at most 100 rows."""

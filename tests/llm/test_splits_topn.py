@@ -82,6 +82,23 @@ def test_incremental_keeps_fills_and_quarantines(spark, tmp_path):
     assert len(t.add(frame(spark, [])).collect()) == 0
 
 
+def test_early_rows_get_their_present_split(spark, tmp_path):
+    from datetime import datetime
+
+    from crysmill.llm.queries import p1_incremental
+
+    early = [(i, f"fp:{i * 7919 + 4096:016x}", f"lmi-{i + 10:09d}", None, datetime(2024, 1, 1)) for i in range(40)]
+    late = [(100 + i, early[i][1], early[i + 1][2], None, datetime(2024, 1, 2)) for i in range(20)]
+    rows = early + late + [(500, None, None, None, datetime(2024, 1, 2))]
+    spark.createDataFrame(rows, "row_no bigint, structure_fingerprint string, immutable_id string, formula string, ingested_at timestamp").write.parquet(f"{tmp_path}/lemat_bulk_sample.parquet")
+    spark.createDataFrame([("train", 0.5), ("test", 0.5)], "split_name string, target_share double").write.parquet(f"{tmp_path}/split_targets.parquet")
+    out = {r["row_no"]: (r["split"], r["batch"]) for r in p1_incremental(spark, str(tmp_path)).collect()}
+    assert len(out) == len(rows) and {b for i, (_, b) in out.items() if i < 100} == {1}
+    # one late row after the other ties the first 21 early rows, of both splits
+    assert {out[i] for i in range(21)} == {(QUARANTINE, 1)} and {out[100 + i] for i in range(20)} == {(QUARANTINE, 2)}
+    assert {out[i][0] for i in range(21, 40)} | {out[500][0]} <= {"train", "test"}
+
+
 def test_hot_component_and_empty_start(spark, tmp_path):
     t = SplitTable(spark, str(tmp_path), TARGETS)
     assert t.add(frame(spark, [])).count() == 0
