@@ -61,6 +61,28 @@ def flatten(df: DataFrame, key: str, lists: str, fields: dict[str, str] | None =
     return df.select(F.col(key).cast("bigint").alias("parent"), F.col(lists)).mapInArrow(run, schema)
 
 
+def flatten_maps(df: DataFrame, key: str, lists: str, field: str) -> DataFrame:
+    """(parent BIGINT, child_no INT, key, value) of each entry of the map ``field`` in the non-null entries of ``lists``."""
+    kind = df.schema[lists].dataType.elementType[field].dataType
+    if not isinstance(kind, T.MapType):
+        raise TypeError(f"{field} must be a map")
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            parents, place, values = _children(b.column(1))
+            maps = pc.struct_field(values, field)
+            starts = maps.offsets.to_numpy().astype(np.int64)
+            sizes = np.where(pc.is_valid(maps).to_numpy(zero_copy_only=False), np.diff(starts), 0)
+            of = np.repeat(np.arange(len(sizes)), sizes)
+            at = pa.array(np.repeat(starts[:-1] - np.cumsum(sizes) + sizes, sizes) + np.arange(len(of)))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(parents.take(pa.array(of))), pa.array(place[of].astype(np.int32)), maps.keys.take(at), maps.items.take(at)], names=["parent", "child_no", "key", "value"])
+
+    schema = f"parent BIGINT, child_no INT, key {kind.keyType.simpleString()}, value {kind.valueType.simpleString()}"
+    return df.select(F.col(key).cast("bigint").alias("parent"), F.col(lists)).mapInArrow(run, schema)
+
+
 def _vector(v: Column) -> Column:
     """A struct of three numbers, or null unless all three are there."""
     ok = (F.size(v) == 3) & F.forall(v, lambda x: x.isNotNull())

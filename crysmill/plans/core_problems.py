@@ -32,6 +32,11 @@ def p2_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.flatten(nested.normalized_materials(table(spark, sf_dir, "materials_sample")), "key", "property").drop("extra").withColumnRenamed("parent", "record_no")
 
 
+def p2_extras(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entries of each property's map ``extra``, linked to p2_properties by record_no and child_no."""
+    return nested.flatten_maps(nested.normalized_materials(table(spark, sf_dir, "materials_sample")), "key", "property", "extra").withColumnRenamed("parent", "record_no")
+
+
 def p2_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.flatten(nested.normalized_results(table(spark, sf_dir, "chgnet_reference")), "key", "step").withColumnRenamed("parent", "artifact_no").withColumnRenamed("child_no", "step_no")
 
@@ -83,7 +88,7 @@ def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rejects.report(_import_rows(spark, sf_dir), table(spark, sf_dir, "import_report"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_loaded": p5_loaded, "p5_report": p5_report, "p4_found": p4_found, "p4_changes": p4_changes, "p4_table": p4_table, "p4_versions": p4_versions, "p6_found": p6_found, "p6_common": p6_common, "p2_found": p2_found, "p2_lattice": p2_lattice, "p2_sites": p2_sites, "p2_properties": p2_properties, "p2_steps": p2_steps}
+QUERIES = {"p5_found": p5_found, "p5_loaded": p5_loaded, "p5_report": p5_report, "p4_found": p4_found, "p4_changes": p4_changes, "p4_table": p4_table, "p4_versions": p4_versions, "p6_found": p6_found, "p6_common": p6_common, "p2_found": p2_found, "p2_lattice": p2_lattice, "p2_sites": p2_sites, "p2_properties": p2_properties, "p2_extras": p2_extras, "p2_steps": p2_steps}
 _KIDS = """
 WITH r AS (SELECT artifact_no AS no, CAST(result AS JSON) AS j FROM chgnet_reference WHERE json_valid(result) AND json_type(result) = 'OBJECT'),
 s AS (SELECT no, CASE json_type(j, '$.relaxed_structure') WHEN 'OBJECT' THEN json_extract(j, '$.relaxed_structure') WHEN 'VARCHAR' THEN CAST(json_extract_string(j, '$.relaxed_structure') AS JSON) END AS s,

@@ -50,6 +50,16 @@ def test_child_tables_carry_values(spark):
     assert nested.flatten(n, "key", "property").first()["value"] == 4.0
 
 
+def test_maps_of_properties_have_rows_of_their_own(spark, tmp_path):
+    from crysmill.plans.core_problems import QUERIES
+
+    kinds = "record_no bigint, structure struct<lattice: array<array<double>>, species: array<string>, coords: array<array<double>>, site_properties: string>, properties array<struct<name: string, extra: map<string, double>>>"
+    rows = [(1, None, [("d", {"a": 1.0, "b": None}), None, ("e", None), ("f", {})]), (2, None, None), (3, None, []), (4, None, [("g", None), ("h", {"c": 2.5})])]
+    spark.createDataFrame(rows, kinds).write.parquet(f"{tmp_path}/materials_sample.parquet")
+    got = sorted((r["record_no"], r["child_no"], r["key"], r["value"]) for r in QUERIES["p2_extras"](spark, str(tmp_path)).collect())
+    assert got == [(1, 0, "a", 1.0), (1, 0, "b", None), (4, 1, "c", 2.5)]
+
+
 def test_offsets_hold_in_large_batches(spark):
     df = spark.range(30_000).selectExpr("id AS key", "transform(sequence(1, int(id % 4)), x -> named_struct('v', id * 10 + x)) AS xs", "1 AS one").selectExpr("key", "CASE WHEN key % 4 = 0 THEN NULL ELSE xs END AS xs")
     out = nested.flatten(df, "key", "xs")
