@@ -1,9 +1,9 @@
 """Packing texts into containers of fixed capacity, neighbours by content first.
 
 Texts are cut into tokens once. A text longer than the capacity fills whole containers with its own pieces; what is
-left of it, and every other text, is an item that is never split. Items are laid out in shards of a bounded number of
-tokens, near ones together (language, source, then a hash, so one huge source is cut into many shards). Each shard has
-a BM25 inverted index over token ids with document frequencies of the whole corpus, a vector as long as the fixed
+left of it, and every other text, is an item that is never split. Items are laid out by language, source and a hash in
+shards of about as many texts each, which hold ``shard_tokens`` tokens on average, but not at most; one huge source is cut
+into many shards, and a seed's neighbours in other shards are not found. Each shard has a BM25 inverted index over token ids with document frequencies of the whole corpus, a vector as long as the fixed
 vocabulary. The longest open item of a shard seeds a container; the index returns its unused neighbours, best first,
 and those that still fit are put in; the rest of the window is filled with the largest items that fit.
 
