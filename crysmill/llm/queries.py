@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import Scratch, shared_dir, table
+from ..runtime import shared_dir, table
 from . import entity_match, mixing, packing, spam
-from .splits import SplitTable, components, material_keys, read_targets
+from .splits import SplitTable, material_keys, read_targets
 from .tokens import default_vocabulary
 from .top_groups import top_n
 
@@ -21,9 +21,7 @@ def _split_table(spark: SparkSession, sf_dir: str) -> SplitTable:
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = material_keys(table(spark, sf_dir, "lemat_bulk_sample"))
-    ids, _ = components(rows, Scratch(spark, "p1"))
-    return ids.where("id <> root").select(F.col("root").alias("first_row_no"), F.col("id").alias("row_no"))
+    return p1_splits(spark, sf_dir).where("row_no <> first_row_no").select("first_row_no", "row_no")
 
 
 def p1_splits(spark: SparkSession, sf_dir: str) -> DataFrame:

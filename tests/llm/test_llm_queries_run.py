@@ -20,6 +20,17 @@ def test_found_columns_are_as_defined(spark):
         assert dict(queries.QUERIES[name](spark, SMALL).dtypes) == kinds
 
 
+def test_groups_come_from_the_split_table(spark):
+    from crysmill.runtime import shared_dir
+
+    where = Path(shared_dir(spark)) / "crysmill"
+    had = set(where.glob("split-table-*"))
+    found = {(r["first_row_no"], r["row_no"]) for r in queries.p1_found(spark, SMALL).collect()}
+    (new,) = set(where.glob("split-table-*")) - had
+    rows = spark.read.parquet(f"{new}/v1/rows").where("id <> component_id").collect()
+    assert found == {(r["component_id"], r["id"]) for r in rows} and found
+
+
 def test_no_split_parts_a_group(spark):
     splits = queries.p1_splits(spark, SMALL)
     assert splits.groupBy("first_row_no").agg({"split": "max", "row_no": "count"}).count() == splits.select("first_row_no", "split").distinct().count()
