@@ -1,15 +1,21 @@
 """Pages of stuffed keywords, lists of links or menus, and product tags or offers.
 
-A text is cut into spans (lines, and sentences in them). Spans ruled by numbers, code or log patterns are data and are
-never spam. All others but links are judged by how terms come back: the gaps between repeats of a term and their
-evenness, the autocorrelation of the term sequence over lags, and how many distinct nouns stand in a row without any
-function word. Four sequences are measured: lists and tags; phrases with function words, short and without an end
-mark; sentences poor in function words; and all spans with function words, without these words and over short gaps only,
-as a search phrase is short and a sentence that is told again is not. A text is spam when flagged spans and link spans hold
-the greater part of it.
+The corpus says which words are plain: by language, words of many texts whose repeats lie no closer together than chance
+lets them (``plain_words``); names, goods and search terms come in bursts instead. A text is then cut into spans (lines,
+and sentences in them). Spans ruled by numbers, code or log patterns are data and never spam. All others are judged by
+how their terms come back: the gaps between repeats and their evenness, the autocorrelation of the sequence over lags,
+and how many distinct nouns stand in a row without any plain word. Measured are the shapes of the spans (a list of links
+or of tags is one shape that comes back at once, all the time), the terms of lists and tags, of these with phrases
+(without an end mark) and sentences poor in plain words, and of all sentences. A text is spam when flagged spans hold
+the greater part of it; without recurrence or a run of nouns nothing is flagged.
+
+Spans in a language that the corpus does not know, with mostly words it has not seen often, have no plain words: what ends
+like a sentence, has short words among its words and does not repeat itself counts as a sentence there, and only its
+recurrence can flag it.
+Scripts without blanks count by character.
 
 Edge cases: null, empty and blank texts are not flagged; texts of any length are read whole, in linear time; a text
-without any letter is data. Results depend on nothing but the text, so repeated texts share one verdict.
+without any letter is data; repeated texts share one verdict; without ``words`` ``judge`` takes every language for unknown.
 """
 
 from __future__ import annotations
@@ -21,42 +27,31 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-# Frequent function words of the languages in use (English, German, French, Spanish).
-FUNCTION_WORDS = frozenset(
-    "a about after all an and any are as asked at be because been before below both but by can could did do does each for from had has have "
-    "he her his how i if in into is it its just may me more most my near no nobody not of on once one only or other our out over own please same "
-    "she should so some still than that the their them then there these they this those to too under unless until up us use very was "
-    "we were what when where whether which while who why will with within without would yet you your "
-    "aber als am auf aus bei beim bis da das dass dem den der des deshalb die dies diese doch durch ein eine einem einen einer es etwas für hat "
-    "haben hatte ich im in ist kann keine man mit nach nicht noch nur oder ohne sehr sein sich sie sind so über um und uns unter vom von vor "
-    "war warum nahezu weil wenn werden wie wieder wir wird wo wurde wurden zu zum zur zunächst danach davon "
-    "au aux avec avant ce ces cette comme dans de des deux du elle en encore entre est et été faute il ils je l la le les leur mais même n ne "
-    "nous on ont ou où par pas plus pour qu que qui sa sans ses si son sont sur un une vous ici reste après "
-    "al antes aquí como con cuando del donde dos el ella en entre era es esta está este esto fue ha han hasta hay la las lo los más muy no "
-    "nos o para pero por porque qué que se según ser si sin sobre su sus también todavía tras un una unas uno y ya otra".split()
-)
-# Set phrases of offers and of the field whose words would pass for function words.
-OFFERS = re.compile(r"\b(?:in stock|for sale|on sale|order now|buy now|free shipping|top quality|best price|old town|east side|west side|pas cher|en stock|auf lager|all items|per page|energy[-_ ]?above[-_ ]?the[-_ ]?hull)\b", re.IGNORECASE)
 URL = re.compile(r"(?:https?://|www\.)\S+|\b[a-z0-9-]{1,63}(?:\.[a-z0-9-]{1,63}){0,8}\.(?:example|test|com|org|net|io|de|fr|es|eu)(?:/[^\s\"'<>)\]|]*)?", re.IGNORECASE)
-ANCHOR = re.compile(r"<a\s[^>]{0,2000}>(.{0,500}?)</a>|\[([^\]\n]{1,200})\]\(\s*\S+?\s*\)", re.IGNORECASE)
+MARKDOWN = re.compile(r"\[[^\[\]\n]*\]\(\s*[^()\s]*\s*\)")
 TAG = re.compile(r"(?:^|\s|,)(?:#|tag:)[^\s,]+", re.IGNORECASE)
 CRUMB = re.compile(r"\s[>»›/→]\s")
 FIELD = re.compile(r"^[^:]{1,60}:\s*[-+~]?\d")
 REFERENCE = re.compile(r"^\s*(?:\[\d+\]|\(\d+\)|\d+[.)]|[-*•]\s*\d+|[-*•]?\s*\[\d+\])\s")
 # a number and a point are an ordinal, not an end
-SENTENCE = re.compile(r"(?<=[.!?])(?<!\d\.)\s+")
-# Headings of an article's list of keywords.
-KEYWORDS = re.compile(r"^\s*(?:keywords?|key words|index terms|schlagw(?:ö|oe)rter|stichw(?:ö|oe)rter|mots[- ]cl(?:é|e)s|palabras clave)\s*:\s*(.{1,400})$", re.IGNORECASE)
-WORD = re.compile(r"(?<!\w)[^\W\d_]+(?:['’-][^\W\d_]+){0,8}(?!\w)")
+SENTENCE = re.compile(r"(?<=[.!?])(?<!\d\.)\s+|(?<=[。！？])")
+_UNSPACED = "฀-໿က-႟ក-៿぀-ヿ㐀-鿿"
+WORD = re.compile(rf"[{_UNSPACED}]|(?<!\w)[^\W\d_{_UNSPACED}]+(?:['’-][^\W\d_]+){{0,8}}(?!\w)")
 TERM = re.compile(r"[^\W_]+")
 # Marks of an offer in a shop.
 OFFER = re.compile(r"\b(?:sku|add to (?:cart|basket)|ships (?:today|free)|buy now|in den warenkorb|ajouter au panier|añadir al carrito)\b", re.IGNORECASE)
-# A search phrase has at most so many words; prose with a smaller share of function words reads as one.
-PHRASE_WORDS, SPOKEN_SHARE = 8, 0.3
-# Fixed value: so many distinct nouns in a row are a list.
-NOUN_RUN = 12
-END = re.compile(r"[.!?:…][\"'»”)\]]*\s*$")
+# So large a share of plain words makes a span prose, so large a one rich prose.
+PLAIN_SHARE, RICH_SHARE = 0.25, 0.45
+# So many distinct nouns in a row are a list; a repeat within so many terms is near.
+NOUN_RUN, WINDOW, NEAR = 12, 24, 8
+# A plain word is in so large a share of its language's texts, in so many at least, and its near repeats
+# are at most so many times those that chance gives.
+TEXT_SHARE, LEAST_TEXTS, BURST = 0.01, 5, 2.0
+# between the items of a list in one line
+ITEMS = re.compile(r"\s*[;|·•,]\s*|\s[-–/]\s")
+END = re.compile(r"[.!?:…。！？][\"'»”)\]]*\s*$")
 NUMBER = re.compile(r"(?<![\w.])[-+]?\d[\d.,]{0,40}(?:[eE][-+]?\d+)?(?![\w])")
 
 
@@ -69,7 +64,59 @@ class Page(NamedTuple):
     distinct: float
 
 
-def recurrence(terms: list[str], window: int = 24) -> tuple[float, float, float]:
+def _language(c):
+    """Label of two letters, or empty: at most 677 kinds."""
+    two = F.lower(F.substring(F.trim(c), 1, 2))
+    return F.when(two.rlike("^[a-z]{2}$"), two).otherwise("")
+
+
+def word_gaps(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """(terms, texts that hold each, occurrences, near repeats, all occurrences) of a batch of texts."""
+    words, owner = [], []
+    for i, t in enumerate(texts):
+        w = [x.lower() for x in WORD.findall(t)] if isinstance(t, str) else []
+        words += w
+        owner.append(np.full(len(w), i))
+    if not words:
+        return np.zeros(0, object), *[np.zeros(0, np.int64)] * 3, 0
+    terms, codes = np.unique(np.asarray(words, dtype=object).astype(str), return_inverse=True)
+    owner = np.concatenate(owner)
+    order = np.lexsort((np.arange(len(codes)), owner, codes))
+    c, o = codes[order], owner[order]
+    again = (c[1:] == c[:-1]) & (o[1:] == o[:-1])
+    near = again & (order[1:] - order[:-1] <= NEAR)
+    n = len(terms)
+    held = np.bincount(c, minlength=n) - np.bincount(c[1:][again], minlength=n)
+    return terms.astype(object), held, np.bincount(c, minlength=n), np.bincount(c[1:][near], minlength=n), len(codes)
+
+
+def plain_words(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, bool]:
+    """Frequent words of the corpus, and whether they are even, in the language that uses them most; counted over all texts.
+
+    A word is in at least TEXT_SHARE of its language's texts, so there are at most 100 times as many words as a text has
+    different ones, whatever the input's size.
+    """
+
+    def run(batches):
+        for pdf in batches:
+            for lang, g in pdf.groupby("lang", sort=False):
+                terms, held, times, near, _ = word_gaps(g["text"])
+                yield pd.DataFrame({"lang": lang, "term": terms, "held": held, "times": times, "near": near})
+                yield pd.DataFrame({"lang": [lang], "term": [None], "held": [len(g)], "times": [int(times.sum())], "near": [0]})
+
+    lang = _language(F.col(lang_col)) if lang_col in docs.columns else F.lit("")
+    slim = docs.select(lang.alias("lang"), F.col(text_col).alias("text")).where(F.length(F.trim("text")) > 0)
+    counts = slim.mapInPandas(run, "lang STRING, term STRING, held BIGINT, times BIGINT, near BIGINT").groupBy("lang", "term").agg(*[F.sum(c).alias(c) for c in ("held", "times", "near")])
+    # one row for each language is carried along with each word, so the corpus is counted once
+    home = counts.groupBy("term").agg(F.max_by(F.struct("lang", "held", "times", "near"), F.struct("times", "lang")).alias("w"))
+    whole = counts.where("term IS NULL").select("lang", F.col("held").alias("texts"), F.col("times").alias("all_times"))
+    words = home.where("term IS NOT NULL").select("term", "w.*").where(F.col("held") >= LEAST_TEXTS).join(F.broadcast(whole), "lang")
+    chance = 1 - F.pow(1 - F.col("times") / F.col("all_times"), F.lit(NEAR))
+    often = words.where(F.col("held") >= TEXT_SHARE * F.col("texts"))
+    return {r["term"]: r["even"] for r in often.select("term", (F.col("near") <= BURST * chance * F.col("times")).alias("even")).collect()}
+
+
+def recurrence(terms: list[str], window: int = WINDOW) -> tuple[float, float, float]:
     """(share of terms that come back within ``window``, evenness of their gaps, highest autocorrelation over lags)."""
     n = len(terms)
     if n < 2:
@@ -87,145 +134,163 @@ def recurrence(terms: list[str], window: int = 24) -> tuple[float, float, float]
     return back, even, max(0.0, (peak - chance) / (1 - chance)) if chance < 1 else 1.0
 
 
-def _terms(text: str) -> list[str]:
+def _words(text: str) -> list[str]:
     return [w.lower() for w in WORD.findall(text)]
 
 
-def spans(text: str):
-    """(kind, span) for each line or sentence: prose, data, link, tag, list or other."""
+def _without_anchors(span: str) -> tuple[str, int]:
+    """(span without its anchors, how many there were); anchors of any length, in linear time."""
+    bare, links = MARKDOWN.subn(" ", span)
+    low, parts, at = bare.lower(), [], 0
+    while True:
+        start = low.find("<a ", at)
+        end = low.find("</a>", start) if start >= 0 else -1
+        if end < 0:
+            parts.append(bare[at:])
+            return " ".join(parts), links
+        parts.append(bare[at:start])
+        at = end + 4
+        links += 1
+
+
+def spans(text: str, plain: dict[str, bool] = {}):  # noqa: B006
+    """(kind, span, its words, things in it) for each line or sentence: prose, foreign, data, link, tag, list or other."""
     code = False
     for line in text.split("\n"):
         if line.lstrip().startswith("```"):
             code = not code
-            yield "data", line
+            yield "data", line, [], 1
             continue
         if not line.strip():
             continue
         if code:
-            yield "data", line
+            yield "data", line, [], 1
             continue
+        cited = REFERENCE.match(line) is not None
         for piece in SENTENCE.split(line):
             if piece.strip():
-                yield _kind(piece), piece
+                kind, words, things = _kind(piece, plain, cited)
+                yield kind, piece, words, things
 
 
-def _kind(span: str) -> str:
+def _kind(span: str, plain: dict[str, bool], cited: bool) -> tuple[str, list[str], int]:
     # every pattern is bounded in length, so a span takes linear time; cheap tests spare most spans the costly ones
-    reference = REFERENCE.match(span) is not None
     bare, links = span, 0
     if "](" in span or "<a" in span or "<A" in span:
-        links = len(ANCHOR.findall(span))
-        bare = ANCHOR.sub(" ", span)
+        bare, links = _without_anchors(span)
     if "." in bare[:-1] or "http" in bare.lower():
         bare, urls = URL.subn(" ", bare)
         links += urls
-    all_words = words = _terms(bare)
-    plain, offers = OFFERS.subn(" ", bare)
-    if offers:
-        words = _terms(plain)
-    spoken = sum(w in FUNCTION_WORDS or ("'" in w or "’" in w) and (w.split("'")[0] in FUNCTION_WORDS or w.split("’")[0] in FUNCTION_WORDS) for w in words)
-    share = spoken / max(1, len(all_words))
+    words = _words(bare)
+    known = sum(plain.get(w, False) for w in words)
+    share = known / max(1, len(words))
     tags = len(TAG.findall(span)) if "#" in span or ":" in span else 0
     if tags and tags * 2 >= len(span.split()) - 1:
-        return "tag"
+        return "tag", words, tags
     if OFFER.search(span) and (span.count(";") >= 2 or span.count("|") >= 2 or re.search(r"\bsku\b", span, re.IGNORECASE)):
-        return "tag"
-    if len(all_words) >= 4 and spoken >= 2 and share >= 0.15:
-        return "prose"
+        return "tag", words, 1
+    ended = END.search(span) is not None
+    if links > 1 and len(words) <= 4 * links:
+        return "link", words, links
+    if not links and FIELD.match(span):
+        return "data", words, 1
+    items = 0 if ended or links else len(ITEMS.findall(bare)) + 1
+    if items < 5 or len(words) > 3 * items:
+        items = 0
+    if not items and len(words) >= (4 if ended else 5) and known >= 2 and share >= PLAIN_SHARE:
+        return "prose", words, 1
     if links:
-        return "other" if reference or spoken and links == 1 else "link"
-    if FIELD.match(span):
-        return "data"
-    named = KEYWORDS.match(span)
-    if named:  # a few different ones are an article's, many or repeated ones are stuffing
-        items = [x.strip().lower() for x in re.split(r"[,;]", named[1]) if x.strip()]
-        if len(items) <= 10 and len(set(items)) == len(items):
-            return "other"
+        cited = cited or len(words) >= 4 and (ended or known and links == 1)
+        return ("other", words, 1) if cited else ("link", words, links)
     if any(c in span for c in ">»›/→") and len(CRUMB.findall(span)) >= 2 and not NUMBER.search(span.split("Page")[0]):
-        return "link"
+        return "link", words, len(CRUMB.findall(span))
     numbers = len(NUMBER.findall(re.sub(r"\d[\d.]*\s*%", " ", bare)))
-    if numbers and numbers >= 0.2 * (numbers + len(all_words)):
-        return "data"
-    if not all_words:
-        return "data" if numbers else "other"
-    if spoken and share >= 0.15:
-        return "prose"
-    return "list"
+    if numbers and numbers >= 0.2 * (numbers + len(words)):
+        return "data", words, 1
+    if not words:
+        return ("data" if numbers else "other"), words, 1
+    if not items and known and share >= PLAIN_SHARE and (ended or len(words) >= 5):
+        return "prose", words, 1
+    if ended and len(words) >= 5 and 2 * sum(w in plain for w in words) < len(words) <= 10 * sum(len(w) <= 3 for w in words):
+        return "foreign" if 4 * len(set(words)) > 3 * len(words) else "list", words, 1
+    return "list", words, 1
 
 
-def _stuffed(back: float, even: float, peak: float, n: int) -> bool:
-    """Listed terms come back soon and again and again, or less often but at fixed lags or in even gaps."""
-    return n >= 8 and (back >= 0.35 or back >= 0.2 and (peak >= 0.3 or even >= 0.7))
+def _regular(back: float, even: float, peak: float) -> bool:
+    """Terms come back soon and again and again, or less often but at fixed lags or in even gaps."""
+    return back >= 0.35 or back >= 0.2 and (peak >= 0.3 or even >= 0.7)
 
 
-def _repeated(terms: list[str], most: float, window: int) -> bool:
-    """Terms of spans with function words: few distinct ones, nearly all of them back within ``window``, or most at fixed lags or in even gaps."""
+def _repeated(terms: list[str], most: float, few: int, window: int) -> bool:
+    """Terms with plain words among them: ``few`` distinct ones or a share of ``most``, nearly all back within ``window``."""
     n = len(terms)
-    if n < 16 or len(set(terms)) > most * n:
+    if n < 12 or len(set(terms)) > max(few, most * n):
         return False
     back, even, peak = recurrence(terms, window)
-    return back >= 0.75 or back >= 0.5 and (peak >= 0.3 or even >= 0.7)
+    return back >= 0.6 or back >= 0.5 and (peak >= 0.3 or even >= 0.7)
 
 
-def judge(text: str | None) -> Page:
-    """The verdict on one text."""
+def judge(text: str | None, plain: dict[str, bool] = {}) -> Page:  # noqa: B006
+    """The verdict on one text, given the frequent words of its corpus and which of them are plain."""
     if not isinstance(text, str) or not text.strip():
         return Page(False, "none", 0.0, 0.0, 0.0, 0.0)
     size: Counter = Counter()
-    listed: list[str] = []
-    phrases: list[str] = []
-    poor: list[str] = []
-    content: list[str] = []
+    listed, suspect, content, shapes = [], [], [], []
     run: set[str] = set()
     longest = 0
-    for kind, span in spans(text):
+    for kind, span, words, things in spans(text, plain):
+        shapes += [kind] * min(things, len(span)) if kind in ("link", "tag") else [f"{kind}{len(shapes)}"]
         if kind in ("list", "tag"):
             for w in TERM.findall(span):
                 w = w.lower()
                 listed.append(w)
-                if w in FUNCTION_WORDS:
+                suspect.append(w)
+                if plain.get(w):
                     run = set()
                 else:
                     run.add(w)
                     longest = max(longest, len(run))
-        elif kind == "prose":
+        elif kind in ("prose", "foreign"):
             run = set()
-            words = _terms(span)
-            nouns = [w for w in words if w not in FUNCTION_WORDS]
-            content += nouns
-            if len(words) <= PHRASE_WORDS and not END.search(span):
-                kind = "phrase"
-                phrases += words
-            elif len(nouns) > (1 - SPOKEN_SHARE) * len(words):
+            content += words
+            if kind == "foreign":
+                kind = "prose"
+            elif not END.search(span) or sum(plain.get(w, False) for w in words) < RICH_SHARE * len(words):
                 kind = "poor"
-                poor += words
+                suspect += words
         size[kind] += len(span)
     whole = sum(size.values())
-    n = len(listed)
+    # links and tags are lists only where one follows the other
+    rows = recurrence(shapes)[0] > 0 or len(shapes) == 1 and recurrence(listed)[0] > 0
     back, even, peak = recurrence(listed)
-    stuffed = _stuffed(back, even, peak, n)
-    lists = size["list"] + size["tag"] if stuffed or longest >= NOUN_RUN or size["tag"] > size["list"] else 0
-    # sentences may share terms, so each must come back more often in them than in short phrases
-    if _repeated(content, 1 / 8, PHRASE_WORDS):
-        said = size["prose"] + size["phrase"] + size["poor"]
+    stuffed = len(listed) > 1 and _regular(back, even, peak)
+    tags = size["tag"] if rows or stuffed or longest >= NOUN_RUN else 0
+    links = size["link"] if rows else 0
+    lists = tags + (size["list"] if stuffed or longest >= NOUN_RUN or tags > size["list"] else 0)
+    # sentences may share terms, so they must come back more often in them than in lists
+    if _repeated(content, 1 / 8, 0, NEAR):
+        said = size["prose"] + size["poor"]
     else:
-        said = (size["phrase"] if _repeated(phrases, 1 / 4, 24) else 0) + (size["poor"] if _repeated(poor, 1 / 8, 24) else 0)
+        said = size["poor"] if _repeated(suspect, 1 / 2, 20, WINDOW) else 0
+    if said:
+        lists = tags + size["list"]
     if said > lists:
         listed = content
         back, even, peak = recurrence(listed)
     distinct = len(set(listed)) / len(listed) if listed else 0.0
-    bad = size["link"] + lists + said
+    bad = links + lists + said
     share = bad / whole
-    kinds = {"links": size["link"], "tags": size["tag"], "keywords": (size["list"] if stuffed else 0) + said, "offers": size["list"] if not stuffed else 0}
+    kinds = {"links": links, "tags": tags, "keywords": (lists - tags if stuffed else 0) + said, "offers": 0 if stuffed else lists - tags}
     return Page(share > 0.5, max(kinds, key=kinds.get) if bad else "none", share, back, peak, distinct)
 
 
-def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(id, is_spam, kind, spam_share, recurrence, regularity, distinct_share) of every document, in Arrow batches."""
+    plain = plain_words(docs, text_col, lang_col)
 
     def run(batches):
         for pdf in batches:
-            pages = [judge(t) for t in pdf["text"]]
+            pages = [judge(t, plain) for t in pdf["text"]]
             yield pd.DataFrame({"id": pdf["id"], "is_spam": [p.spam for p in pages], "kind": [p.kind for p in pages], "spam_share": [p.share for p in pages], "recurrence": [p.recurrence for p in pages], "regularity": [p.regularity for p in pages], "distinct_share": [p.distinct for p in pages]})
 
     slim = docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text")

@@ -67,7 +67,7 @@ PHRASES = ["buy titanium nitride powder near me\n" * 50, "Buy titanium nitride p
 
 @pytest.mark.parametrize("text", PHRASES)
 def test_stuffed_phrases_with_function_words(text):
-    assert spam.judge(text).spam
+    assert spam.judge(text, {w: True for w in ("from", "in", "near", "me", "the", "for", "my", "of", "and")}).spam
 
 
 def test_told_again_is_no_stuffing():
@@ -89,6 +89,47 @@ def test_recurrence_of_regular_and_random_terms():
     assert back == 0.0 and peak == 0.0 and spam.recurrence([]) == (0.0, 0.0, 0.0)
 
 
+# prose of languages that no corpus here knows
+FOREIGN = (
+    "De onderzoekers hebben vorig jaar een nieuwe methode ontwikkeld om de sterkte van het materiaal te meten. Daarna is het monster opnieuw verwarmd en langzaam afgekoeld.",
+    "Badacze opracowali w zeszłym roku nową metodę pomiaru wytrzymałości materiału. Następnie próbka została ponownie podgrzana i powoli schłodzona.",
+    "Исследователи в прошлом году разработали новый метод измерения прочности материала. Затем образец был снова нагрет и медленно охлаждён.",
+    "Forskarna utvecklade förra året en ny metod för att mäta materialets styrka. Sedan värmdes provet igen och kyldes långsamt.",
+    "Araştırmacılar geçen yıl malzemenin dayanıklılığını ölçmek için yeni bir yöntem geliştirdi. Ardından numune tekrar ısıtıldı ve yavaşça soğutuldu.",
+    "I ricercatori hanno sviluppato l'anno scorso un nuovo metodo per misurare la resistenza del materiale. Poi il campione è stato riscaldato di nuovo.",
+    "Tutkijat kehittivät viime vuonna uuden menetelmän materiaalin lujuuden mittaamiseen. Sen jälkeen näyte kuumennettiin uudelleen ja jäähdytettiin hitaasti.",
+    "研究人员去年开发了一种测量材料强度的新方法。随后样品再次加热并缓慢冷却。结果比预期好，但并非在所有情况下都如此。",
+    "Os pesquisadores desenvolveram no ano passado um novo método para medir a resistência do material. Depois a amostra foi aquecida de novo.",
+    "Vědci loni vyvinuli novou metodu měření pevnosti materiálu. Poté byl vzorek znovu zahřát a pomalu ochlazen.",
+)
+
+
+@pytest.mark.parametrize("text", FOREIGN)
+def test_prose_of_unknown_languages_stays(text):
+    for words in ({}, {"the": True, "of": True, "and": True, "de": True, "oxide": False}):
+        assert not spam.judge(text, words).spam
+
+
+def test_stuffing_of_unknown_languages_is_found():
+    assert spam.judge("goedkope schoenen kopen goedkope schoenen online goedkope schoenen winkel goedkope schoenen korting").spam
+
+
+def test_recurrence_decides(monkeypatch):
+    stuffed = "silicon carbide powder cheap silicon carbide powder best silicon carbide powder online silicon carbide cheap"
+    links = "\n".join(f'<a href="x{i}">{"word " * 150}{i}</a>' for i in range(9))
+    assert spam.judge(stuffed).spam and spam.judge(links).spam and spam.judge(links).kind == "links"
+    monkeypatch.setattr(spam, "recurrence", lambda *a: (0.0, 0.0, 0.0))
+    assert not spam.judge(stuffed).spam and not spam.judge(links).spam
+
+
+def test_plain_words_are_learned(spark):
+    rows = [(i, f"the band of item {i % 7} was wide, so it went to the shelf and a note was kept", "en") for i in range(60)]
+    rows += [(100 + i, "zinc rod zinc rod cheap zinc rod zinc rod", "en") for i in range(20)] + [(200, None, "en"), (201, "", "xx")]
+    words = spam.plain_words(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert words["was"] and words["shelf"] and not words["zinc"] and not words["rod"] and "cheap" in words
+    assert spam.plain_words(spark.createDataFrame([], "text string")) == {}
+
+
 def test_spam_operator(spark):
     rows = [(1, None), (2, ""), (3, SPAM[0]), (4, SPAM[0]), (5, PROSE * 20_000), (6, SPAM[1] * 20_000)]
     df = spark.createDataFrame([(*r, "clash", True) for r in rows], "doc_id bigint, text string, id string, is_spam boolean")
