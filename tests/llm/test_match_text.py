@@ -123,8 +123,8 @@ def test_recurrence_decides(monkeypatch):
 
 
 def test_plain_words_are_learned(spark):
-    rows = [(i, f"the band of item {i % 7} was wide, so it went to the shelf and a note was kept", "en") for i in range(60)]
-    rows += [(100 + i, "zinc rod zinc rod cheap zinc rod zinc rod", "en") for i in range(20)] + [(200, None, "en"), (201, "", "xx")]
+    rows = [(i, f"the band of item {i % 7} was wide, so it went to the shelf and a note was kept", "en") for i in range(400)]
+    rows += [(1000 + i, "zinc rod zinc rod cheap zinc rod zinc rod", "en") for i in range(20)] + [(2000, None, "en"), (2001, "", "xx")]
     words = spam.plain_words(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
     assert words["was"] and words["shelf"] and not words["zinc"] and not words["rod"] and "cheap" in words
     assert spam.plain_words(spark.createDataFrame([], "text string")) == {}
