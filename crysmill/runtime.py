@@ -26,29 +26,66 @@ def ship(spark: SparkSession) -> None:
     with zipfile.ZipFile(packed, "w") as z:
         for f in sorted(root.rglob("*.py")):
             z.write(f, f.relative_to(root.parent).as_posix())
-    where = f"{shared_dir(spark)}/crysmill/package-{uuid.uuid4().hex[:12]}/crysmill_package.zip"
-    path = sc._jvm.org.apache.hadoop.fs.Path(where)
-    out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path, True)
-    out.write(bytearray(packed.getvalue()))
-    out.close()
+    where = temporary(spark, f"{shared_dir(spark)}/crysmill/package-{uuid.uuid4().hex[:12]}") + "/crysmill_package.zip"
+    write_bytes(spark, where, packed.getvalue())
     sc.addPyFile(where)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors share, from ``spark.checkpoint.dir``; only where that is unset a local one is made (tests)."""
+    """Folder all executors share, from ``spark.checkpoint.dir``; where that is unset, local sessions get one of their own."""
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         where = tempfile.mkdtemp(prefix="crysmill-shared-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
+def _fs(spark: SparkSession, where: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def delete(spark: SparkSession, where: str) -> None:
+    fs, path = _fs(spark, where)
+    fs.delete(path, True)
+
+
+def temporary(spark: SparkSession, where: str) -> str:
+    """``where``, which is deleted when the application ends."""
+    fs, path = _fs(spark, where)
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return where
+
+
+def write_bytes(spark: SparkSession, where: str, data: bytes) -> None:
+    fs, path = _fs(spark, where)
+    out = fs.create(path, True)
+    out.write(bytearray(data))
+    out.close()
+
+
+def read_bytes(spark: SparkSession, where: str) -> bytes | None:
+    """A small file's content, or None where there is none."""
+    fs, path = _fs(spark, where)
+    if not fs.exists(path):
+        return None
+    stream = fs.open(path)
+    try:
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+    finally:
+        stream.close()
+
+
 class Scratch:
-    """Tables written to the shared folder to cut lineage; superseded ones can be dropped while the job runs."""
+    """Tables written to the shared folder to cut lineage; superseded ones can be dropped while the job runs, the rest
+    goes with the application or by ``close``."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
-        self.base = f"{shared_dir(spark)}/crysmill/{label}-{uuid.uuid4().hex[:12]}"
+        self.base = temporary(spark, f"{shared_dir(spark)}/crysmill/{label}-{uuid.uuid4().hex[:12]}")
         self._n = 0
 
     def put(self, df: DataFrame) -> DataFrame:
@@ -68,9 +105,10 @@ class Scratch:
     def drop(self, df: DataFrame) -> None:
         path = getattr(df, "_scratch_path", None)
         if path:
-            jvm = self.spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            delete(self.spark, path)
+
+    def close(self) -> None:
+        delete(self.spark, self.base)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
