@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import shared_dir, table
+from ..runtime import shared_dir, table, temporary
 from . import entity_match, mixing, packing, spam
 from .splits import SplitTable, material_keys, read_targets
 from .tokens import default_vocabulary
@@ -16,7 +16,7 @@ from .top_groups import top_n
 
 # --- 1: splits that keep related records together
 def _split_table(spark: SparkSession, sf_dir: str) -> SplitTable:
-    where = f"{shared_dir(spark)}/crysmill/split-table-{uuid.uuid4().hex[:12]}"
+    where = temporary(spark, f"{shared_dir(spark)}/crysmill/split-table-{uuid.uuid4().hex[:12]}")
     return SplitTable(spark, where, read_targets(table(spark, sf_dir, "split_targets")))
 
 
@@ -46,6 +46,8 @@ def p1_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     late = F.col("ingested_at") > F.lit(at).cast(t.schema["ingested_at"].dataType)
     store = _split_table(spark, sf_dir)
     store.add(material_keys(t.where(~F.coalesce(late, F.lit(False)))))
+    # opened again, as the next day's job would
+    store = SplitTable(spark, store.path, store.targets)
     store.add(material_keys(t.where(late)))
     return store.present().select(F.col("id").alias("row_no"), "split", "batch")
 

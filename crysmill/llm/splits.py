@@ -13,11 +13,13 @@ the id and the keys are read.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.formula import composition_key_udf
-from ..runtime import Scratch
+from ..runtime import Scratch, delete, read_bytes, write_bytes
 from ..operators.prefix import hash_order, running_total
 
 QUARANTINE = "quarantine"
@@ -152,16 +154,33 @@ def fill_deficits(sizes: DataFrame, targets: list[tuple[str, float]], held: dict
 
 
 class SplitTable:
-    """The persisted component table under ``path``: versions of ``keys``, ``rows`` and ``components``, and a pointer to the last."""
+    """The persisted component table under ``path``.
+
+    ``keys`` and ``rows`` hold, for each batch, the component that a key or record was given when it was first seen, and
+    are only added to. ``components`` has every component ever given with the one it points to now (itself, or what it was
+    merged into), the split, and for those that point to themselves the number of records and earlier splits; a merge only
+    moves these pointers. A file names the last version; it is written last, so a batch that dies half-way leaves the
+    table as it was, and a table opened again goes on from it.
+    """
 
     def __init__(self, spark: SparkSession, path: str, targets: list[tuple[str, float]], seed: int = 42):
         if not targets or abs(sum(s for _, s in targets) - 1) > 1e-6:
             raise ValueError("the targets' shares must add up to 1")
         self.spark, self.path, self.targets, self.seed = spark, path.rstrip("/"), targets, seed
-        self.version = 0
+        self.version = int(read_bytes(spark, f"{self.path}/CURRENT") or 0)
 
-    def _read(self, name: str) -> DataFrame | None:
-        return self.spark.read.parquet(f"{self.path}/v{self.version}/{name}") if self.version else None
+    def _batches(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(*[f"{self.path}/{name}/b{k}" for k in range(1, self.version + 1)])
+
+    def components(self) -> DataFrame | None:
+        """(component_id, root, split, n, was) after the last batch."""
+        return self.spark.read.parquet(f"{self.path}/components/v{self.version}") if self.version else None
+
+    def keys(self) -> DataFrame | None:
+        """(key, component_id) as they stand after the last batch."""
+        if not self.version:
+            return None
+        return self._batches("keys").join(self.components().select("component_id", "root"), "component_id").select("key", F.col("root").alias("component_id"))
 
     def add(self, rows: DataFrame) -> DataFrame:
         """Takes a batch (id BIGINT, keys ARRAY<STRING>); gives (id, component_id, split) of its records.
@@ -169,48 +188,58 @@ class SplitTable:
         A component that was split before keeps its split. Components of different splits that the batch ties are merged
         and set to ``quarantine``, with their old splits in the table's ``was`` column, so no tie ever runs between two
         splits. ids must not repeat between batches. Records of earlier batches may change their split by that: ``present``
-        gives all of them.
+        gives all of them, and what ``add`` gave before is superseded.
         """
         scratch = Scratch(self.spark, "splits")
-        old_keys, old = self._read("keys"), self._read("components")
-        ids, keys = components(rows, scratch, None if old_keys is None else old_keys)
+        none = F.array().cast("array<string>")
+        old, known = self.components(), self.keys()
+        known = None if known is None else scratch.put(known)
+        ids, keys = components(rows, scratch, known)
         ids = scratch.put(ids)
         counts = ids.groupBy(F.col("root").alias("component_id")).agg(F.count("*").alias("n"))
         if old is None:
             sizes = scratch.put(counts)
             new = fill_deficits(sizes, self.targets, {}, scratch, self.seed)
-            comps = sizes.join(new, "component_id").select("component_id", "split", "n", F.array().cast("array<string>").alias("was"))
-            all_keys = keys.select("key", F.col("root").alias("component_id"))
-            earlier = None
+            roots = sizes.join(new, "component_id").select("component_id", "split", "n", none.alias("was"))
+            comps = roots.select("component_id", F.col("component_id").alias("root"), "split", "n", "was")
+            fresh = keys
         else:
-            touched = keys.join(old_keys.select("key", F.col("component_id").alias("prior")), "key").select("prior", "root").distinct()
-            touched = scratch.put(touched)
-            moved = old.join(touched, old.component_id == touched.prior, "left").select(F.coalesce("root", "component_id").alias("component_id"), "split", "n", "was")
+            # what an earlier component points to now, by the keys that name it
+            touched = scratch.put(keys.join(known.select("key", F.col("component_id").alias("prior")), "key").select("prior", F.col("root").alias("now")).distinct())
+            moved = old.where("component_id = root").join(touched, F.col("component_id") == F.col("prior"), "left").select(F.coalesce("now", "component_id").alias("component_id"), "split", "n", "was")
             merged = moved.groupBy("component_id").agg(F.collect_set("split").alias("splits"), F.sum("n").alias("m"), F.array_distinct(F.flatten(F.collect_set("was"))).alias("earlier"))
             state = scratch.put(counts.join(merged, "component_id", "full").select(
-                "component_id", (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("n"), F.coalesce("n", F.lit(0)).alias("fresh"),
+                "component_id", (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("n"),
                 F.when(F.size("splits") == 1, F.col("splits")[0]).when(F.size("splits") > 1, F.lit(QUARANTINE)).alias("split"),
-                F.when(F.size("splits") > 1, F.array_distinct(F.concat("splits", "earlier"))).otherwise(F.coalesce("earlier", F.array().cast("array<string>"))).alias("was")))
+                F.when(F.size("splits") > 1, F.array_remove(F.array_distinct(F.concat("splits", "earlier")), QUARANTINE)).otherwise(F.coalesce("earlier", none)).alias("was")))
             held = {r["split"]: r["n"] for r in state.where("split IS NOT NULL").groupBy("split").agg(F.sum("n").alias("n")).collect() if r["split"] != QUARANTINE}
             new = fill_deficits(state.where("split IS NULL").select("component_id", "n"), self.targets, held, scratch, self.seed)
-            comps = state.join(new.withColumnRenamed("split", "given"), "component_id", "left").select("component_id", F.coalesce("split", "given").alias("split"), "n", "was")
-            renamed = old_keys.join(touched.withColumnRenamed("prior", "component_id"), "component_id", "left").select("key", F.coalesce("root", "component_id").alias("component_id"))
-            fresh = keys.join(old_keys, "key", "left_anti").select("key", F.col("root").alias("component_id"))
-            all_keys = renamed.unionByName(fresh)
-            earlier = self._read("rows").join(touched.withColumnRenamed("prior", "component_id"), "component_id", "left").select("id", F.coalesce("root", "component_id").alias("component_id"), "batch")
-        base = f"{self.path}/v{self.version + 1}"
-        comps.write.mode("overwrite").parquet(f"{base}/components")
-        all_keys.write.mode("overwrite").parquet(f"{base}/keys")
-        added = ids.select("id", F.col("root").alias("component_id"), F.lit(self.version + 1).alias("batch"))
-        (added if earlier is None else earlier.unionByName(added)).write.mode("overwrite").parquet(f"{base}/rows")
-        self.version += 1
-        return ids.select("id", F.col("root").alias("component_id")).join(self._read("components").select("component_id", "split"), "component_id").select("id", "component_id", "split")
+            roots = scratch.put(state.join(new.withColumnRenamed("split", "given"), "component_id", "left").select("component_id", F.coalesce("split", "given").alias("split"), "n", "was"))
+            pointers = old.select("component_id", "root").join(touched, F.col("root") == F.col("prior"), "left").select("component_id", F.coalesce("now", "root").alias("root")).where("component_id <> root")
+            pointed = pointers.join(roots.select(F.col("component_id").alias("root"), "split"), "root").select("component_id", "root", "split", F.lit(None).cast("bigint").alias("n"), none.alias("was"))
+            comps = roots.select("component_id", F.col("component_id").alias("root"), "split", "n", "was").unionByName(pointed)
+            fresh = keys.join(known, "key", "left_anti")
+        v = self.version + 1
+        comps.write.mode("overwrite").parquet(f"{self.path}/components/v{v}")
+        fresh.select("key", F.col("root").alias("component_id")).write.mode("overwrite").parquet(f"{self.path}/keys/b{v}")
+        ids.select("id", F.col("root").alias("component_id")).write.mode("overwrite").parquet(f"{self.path}/rows/b{v}")
+        write_bytes(self.spark, f"{self.path}/CURRENT", str(v).encode())
+        self.version = v
+        if v > 2:
+            delete(self.spark, f"{self.path}/components/v{v - 2}")
+        scratch.close()
+        return self._split_rows(v)
+
+    def _split_rows(self, batch: int) -> DataFrame:
+        rows = self.spark.read.parquet(f"{self.path}/rows/b{batch}")
+        return rows.join(self.components().select("component_id", "root", "split"), "component_id").select("id", F.col("root").alias("component_id"), "split")
 
     def present(self) -> DataFrame:
         """(id, component_id, split, batch) of the records of all batches as they stand after the last one."""
         if not self.version:
             return self.spark.createDataFrame([], "id BIGINT, component_id BIGINT, split STRING, batch INT")
-        return self._read("rows").join(self._read("components").select("component_id", "split"), "component_id").select("id", "component_id", "split", "batch")
+        rows = reduce(DataFrame.unionByName, [self.spark.read.parquet(f"{self.path}/rows/b{k}").withColumn("batch", F.lit(k)) for k in range(1, self.version + 1)])
+        return rows.join(self.components().select("component_id", "root", "split"), "component_id").select("id", F.col("root").alias("component_id"), "split", "batch")
 
 
 def read_targets(df: DataFrame) -> list[tuple[str, float]]:

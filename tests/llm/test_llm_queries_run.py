@@ -27,10 +27,20 @@ def test_groups_come_from_the_split_table(spark):
     had = set(where.glob("split-table-*"))
     found = {(r["first_row_no"], r["row_no"]) for r in queries.p1_found(spark, SMALL).collect()}
     (new,) = set(where.glob("split-table-*")) - had
-    rows = spark.read.parquet(f"{new}/v1/rows").where("id <> component_id").collect()
+    rows = spark.read.parquet(f"{new}/rows/b1").where("id <> component_id").collect()
     assert found == {(r["component_id"], r["id"]) for r in rows} and found
 
 
 def test_no_split_parts_a_group(spark):
     splits = queries.p1_splits(spark, SMALL)
     assert splits.groupBy("first_row_no").agg({"split": "max", "row_no": "count"}).count() == splits.select("first_row_no", "split").distinct().count()
+
+
+def test_no_component_of_two_batches_lies_in_two_splits(spark):
+    from crysmill.llm.splits import components, material_keys
+    from crysmill.runtime import Scratch, table
+
+    splits = queries.p1_incremental(spark, SMALL)
+    ids, _ = components(material_keys(table(spark, SMALL, "lemat_bulk_sample")), Scratch(spark, "t"))
+    both = splits.join(ids, splits.row_no == ids.id).groupBy("root").agg({"split": "approx_count_distinct"}).toDF("root", "n")
+    assert splits.count() == ids.count() and both.where("n > 1").count() == 0

@@ -75,13 +75,33 @@ def test_incremental_keeps_fills_and_quarantines(spark, tmp_path):
     batch = [(1000, [f"a{a}", f"a{b}"]), (1001, [f"a{c}"]), (1002, [f"a{c}", "new"])] + [(2000 + i, [f"b{i}"]) for i in range(100)]
     second = {r["id"]: r["split"] for r in t.add(frame(spark, batch)).collect()}
     assert second[1000] == QUARANTINE and second[1001] == second[1002] == "train"
-    comps = {r["component_id"]: r for r in t._read("components").collect()}
-    keys = {r["key"]: r["component_id"] for r in t._read("keys").collect()}
+    comps = {r["component_id"]: r for r in t.components().collect()}
+    keys = {r["key"]: r["component_id"] for r in t.keys().collect()}
     assert keys[f"a{a}"] == keys[f"a{b}"] and comps[keys[f"a{a}"]]["split"] == QUARANTINE and sorted(comps[keys[f"a{a}"]]["was"]) == ["test", "train"]
     assert keys["new"] == keys[f"a{c}"] and len(set(second.values()) - {"train", "test", QUARANTINE}) == 0
     assert len(t.add(frame(spark, [])).collect()) == 0
 
 
+def test_reopened_table_goes_on(spark, tmp_path):
+    first = {r["id"]: (r["component_id"], r["split"]) for r in SplitTable(spark, str(tmp_path), TARGETS).add(frame(spark, [(i, [f"k{i // 2}"]) for i in range(200)])).collect()}
+    again = SplitTable(spark, str(tmp_path), TARGETS)
+    assert again.version == 1
+    train = next(i for i in range(0, 200, 2) if first[i][1] == "train")
+    test = next(i for i in range(0, 200, 2) if first[i][1] == "test")
+    second = {r["id"]: (r["component_id"], r["split"]) for r in again.add(frame(spark, [(500, [f"k{train // 2}"]), (501, ["fresh"])])).collect()}
+    assert second[500] == first[train] and second[501][0] == 501
+    third = SplitTable(spark, str(tmp_path), TARGETS)
+    assert third.version == 2
+    assert {r["split"] for r in third.add(frame(spark, [(600, [f"k{train // 2}", f"k{test // 2}"])])).collect()} == {QUARANTINE}
+    fourth = SplitTable(spark, str(tmp_path), TARGETS)
+    now = {r["id"]: (r["component_id"], r["split"], r["batch"]) for r in fourth.present().collect()}
+    assert len(now) == 203 and {now[i][:2] for i in (train, train + 1, test, test + 1, 500, 600)} == {(min(train, test), QUARANTINE)}
+    assert all(now[i][:2] == first[i] for i in range(200) if i not in (train, train + 1, test, test + 1))
+    # a merge of a component that is quarantined stays so, and pointers are followed at once
+    assert {r["split"] for r in fourth.add(frame(spark, [(700, [f"k{test // 2}", "fresh"])])).collect()} == {QUARANTINE}
+    assert {r["split"] for r in fourth.present().where("id IN (501, 600, 700)").collect()} == {QUARANTINE}
+
+
 def test_early_rows_get_their_present_split(spark, tmp_path):
     from datetime import datetime
 
