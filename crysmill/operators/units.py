@@ -36,6 +36,12 @@ EDGES = (
     ("Mbar", "kbar", 1e3, 0.0),
     ("Mbar", "TPa", 0.1, 0.0),
     ("kbar", "MPa", 100.0, 0.0),
+    ("bar", "Pa", 1e5, 0.0),
+    ("mbar", "bar", 1e-3, 0.0),
+    ("mPa", "Pa", 1e-3, 0.0),
+    ("kPa", "Pa", 1e3, 0.0),
+    ("mg/m^3", "kg/m^3", 1e-6, 0.0),
+    ("MeV", "eV", 1e6, 0.0),
     ("meV", "eV", 1e-3, 0.0),
     ("kJ/mol", "eV", 1 / 96.485332123, 0.0),
     ("J/mol", "kJ/mol", 1e-3, 0.0),
@@ -58,6 +64,11 @@ SPELLINGS = {
     "g/cm^3": "g/cm3 gcm-3 g/ml gml-1 g/cc gcc-1 kg/l kgl-1 mg/m3 mgm-3 gram/cubiccentimetre gram/cubiccentimeter grams/cubiccentimetre grams/cubiccentimeter g_cm3 t/m3",
     "kg/m^3": "kg/m3 kgm-3 g/l gl-1 mg/cm3 mgcm-3 mg/ml kilogram/cubicmetre kilogram/cubicmeter kilograms/cubicmetre kilograms/cubicmeter kg_m3",
     "lb/ft^3": "lb/ft3 lbft-3 lbs/ft3 lbs/cubicfoot lb/cubicfoot pound/cubicfoot pounds/cubicfoot pcf lb_ft3",
+    "mg/m^3": "milligram/m3 milligramm-3",
+    "mPa": "millipascal millipascals",
+    "kPa": "kpa kilopascal kilopascals",
+    "mbar": "millibar millibars hpa hectopascal hectopascals",
+    "bar": "bar bars",
     "GPa": "gpa gigapascal gigapascals 109pa kn/mm2 knmm-2",
     "MPa": "mpa megapascal megapascals 106pa n/mm2 nmm-2",
     "kbar": "kbar kilobar kilobars",
@@ -66,6 +77,7 @@ SPELLINGS = {
     "Mbar": "mbar megabar megabars",
     "eV": "ev electronvolt electronvolts",
     "meV": "mev milli-ev millielectronvolt millielectronvolts milli-electronvolt 10-3ev",
+    "MeV": "megaelectronvolt megaelectronvolts",
     "kJ/mol": "kj/mol kjmol-1 kj_mol kilojoule/mole",
     "J/mol": "j/mol jmol-1 j_mol joule/mole",
     "Ry": "ry rydberg rydbergs",
@@ -80,8 +92,28 @@ SPELLINGS = {
 PER_ATOM = ("", "/atom", "atom-1", "_atom", "/at", "_per_atom")
 
 
+# Spellings whose letter case tells a prefix apart; in one case throughout ("mpa", "MEV") it tells nothing,
+# and the prefix that the quantity is recorded with holds.
+PREFIXES = (
+    (r"(?<![A-Za-z])mPa(?![A-Za-z])", "millipascal"),
+    (r"(?<![A-Za-z])m[bB]ar(?![A-Za-z])", "millibar"),
+    (r"(?<![A-Za-z])MeV(?![A-Za-z])", "megaelectronvolt"),
+    (r"(?<![A-Za-z])mg(?=\s*(?:/|per |[·⋅* ])\s*m\s*[\^³3⁻-])", "milligram"),
+)
+_PREFIXES = tuple((re.compile(p), word) for p, word in PREFIXES)
+
+
+def marked(text: str) -> str:
+    """The text with the prefixes that only letter case tells apart written out."""
+    for p, word in _PREFIXES:
+        text = p.sub(word, text)
+    return text
+
+
 def normal(text: Column) -> Column:
     """Normal form of a unit's spelling: lower case, plain digits, no blanks, "^" or dots, "/" for "per"."""
+    for p, word in PREFIXES:
+        text = F.regexp_replace(text, p, word)
     plain = F.translate(F.lower(text), "⁰¹²³⁴⁵⁶⁷⁸⁹⁻−·⋅*^ \t\n ", "0123456789--")
     return F.regexp_replace(F.regexp_replace(plain, "(?<=[a-z0-9-])per(?=[a-z])", "/"), r"^\[(.*)\]$", "$1")
 
@@ -136,14 +168,14 @@ _NUMBER = r"[-+]?(?:\d[\d,]*\.?\d*|(?<![a-z])\.\d+)(?:e[-+]?\d+)?"
 # powers of ten that belong to the unit, told by their exponent's mark
 _SCALED = tuple((re.compile(pattern, re.IGNORECASE), word) for pattern, word in ((r"10(?:\^9|⁹)\s*pa\b", " gigapascal"), (r"10(?:\^6|⁶)\s*pa\b", " megapascal"), (r"10(?:\^12|¹²)\s*pa\b", " terapascal"), (r"10(?:\^-3|⁻³)\s*ev\b", " milli-ev")))
 _POWER = re.compile(r"\s*[x×]\s*10\^?([-+]?\d+)")
-_WORDS = "|".join(re.escape(w) for w in sorted({w + t for u, ws in SPELLINGS.items() for w in ws.split() if len(w) > 1 or u == "K" for t in (PER_ATOM if u in ("eV", "meV", "Ry", "Hartree", "kJ/mol", "J/mol") else ("",))}, key=lambda w: (-len(w), w)))
+_WORDS = "|".join(re.escape(w) for w in sorted({w + t for u, ws in SPELLINGS.items() for w in ws.split() if len(w) > 1 or u == "K" for t in (PER_ATOM if u in ("eV", "meV", "MeV", "Ry", "Hartree", "kJ/mol", "J/mol") else ("",))}, key=lambda w: (-len(w), w)))
 _BEFORE = re.compile(rf"\[({_WORDS})\]\D{{0,12}}?({_NUMBER})")
 _AFTER = re.compile(rf"({_NUMBER}?)(?:(?:±|\+/-|\+-){_NUMBER}?|\({_NUMBER}\))?({_WORDS})(?![a-z/0-9])")
 _ALONE = re.compile(rf"^\D{{0,16}}?({_NUMBER})")
 
 
 def plain(text: str) -> str:
-    """``normal`` for one text."""
+    """``normal`` for one text whose prefixes are marked."""
     s = re.sub(r"(?<=[a-z0-9-])per(?=[a-z])", "/", text.lower().translate(_BLANKS))
     return s[1:-1] if s.startswith("[") and s.endswith("]") and "[" not in s[1:] else s
 
@@ -155,7 +187,8 @@ def name_parts(name: str) -> tuple[str, str | None]:
     if _spelled(text) not in ALIASES:
         m = _BRACKET.match(text) or _SLASH.match(text) or _UNDER.match(text)
         if m and m[1].strip():
-            text, unit = m[1], plain(m[2])
+            # names with underscores are in lower case throughout
+            text, unit = m[1], plain(m[2] if m.re is _UNDER else marked(m[2]))
     key = _spelled(text)
     return ALIASES.get(key, key), unit
 
@@ -170,7 +203,7 @@ def _spelled(text: str) -> str:
 
 def text_parts(text: str) -> tuple[float | None, str | None]:
     """(number, unit's spelling or None) of texts like "~222.4 GPa", "[g/cm3] 4.567" and "rho = 1,234 kg/m^3"."""
-    s = text.split("=", 1)[-1]
+    s = marked(text.split("=", 1)[-1])
     for pattern, word in _SCALED:
         s = pattern.sub(word, s)
     s = s.lower().translate(_BLANKS_KEPT)

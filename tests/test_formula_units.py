@@ -81,3 +81,16 @@ def test_convert(spark):
     assert got[3]["common_value"] == pytest.approx(200.0) and got[4]["common_value"] == pytest.approx(1.0) and got[7]["quantity"] == "pressure"
     assert got[8]["recorded_unit"] == "unknown" and got[8]["common_value"] is None
     assert units.convert(df.limit(0), spark, ("record_no", "prop_no")).count() == 0
+
+
+def test_letter_case_tells_prefixes(spark):
+    rows = [(1, i, "bulk_modulus", 5.0, None, u) for i, u in enumerate(("mbar", "Mbar", "MBAR", "mPa", "MPa", "mpa", "kPa", "hPa", "bar"))]
+    rows += [(2, i, "density", 5.0, None, u) for i, u in enumerate(("mg/m3", "Mg/m^3", "mg/cm^3", "mg m-3", "MG/M3"))]
+    rows += [(3, i, "band_gap", 5.0, None, u) for i, u in enumerate(("MeV", "meV", "mev", "MEV"))]
+    rows += [(4, 0, "bulk_modulus", None, "5 mPa", None), (4, 1, "bulk_modulus", None, "5 mbar", None), (4, 2, "density", None, "5 mg/m^3", None), (4, 5, "bulk_modulus", None, "5 Mbar", None), (4, 6, "density", None, "5 Mg/m^3", None), (4, 3, "K (mPa)", 5.0, None, None), (4, 4, "kvrh_mpa", 5.0, None, None)]
+    df = spark.createDataFrame(rows, "record_no int, prop_no int, name string, value double, value_text string, unit string")
+    got = {(r["record_no"], r["prop_no"]): r["common_value"] for r in units.convert(df, spark, ("record_no", "prop_no")).collect()}
+    want = [(1, (5e-7, 500.0, 500.0, 5e-12, 5e-3, 5e-3, 5e-6, 5e-7, 5e-4)), (2, (5e-9, 5.0, 5e-3, 5e-9, 5.0)), (3, (5e6, 5e-3, 5e-3, 5e-3)), (4, (5e-12, 5e-7, 5e-9, 5e-12, 5e-3, 500.0, 5.0))]
+    for no, values in want:
+        for i, v in enumerate(values):
+            assert got[no, i] == pytest.approx(v), (no, i)
