@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import drift, nested, rejects, units
-from ..runtime import table
+from ..runtime import Scratch, table
 
 
 # --- 2: deeply nested records
@@ -71,7 +71,9 @@ def p4_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- 5: rows that fail to parse
 def _import_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rejects.with_duplicates(rejects.judged(table(spark, sf_dir, "import_lines"), table(spark, sf_dir, "import_report")))
+    # written once, as both the first rows of each id and the rows themselves are read from it
+    rows = Scratch(spark, "rejects").put(rejects.judged(table(spark, sf_dir, "import_lines"), table(spark, sf_dir, "import_report")))
+    return rejects.with_duplicates(rows)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +90,12 @@ def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rejects.report(_import_rows(spark, sf_dir), table(spark, sf_dir, "import_report"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_loaded": p5_loaded, "p5_report": p5_report, "p4_found": p4_found, "p4_changes": p4_changes, "p4_table": p4_table, "p4_versions": p4_versions, "p6_found": p6_found, "p6_common": p6_common, "p2_found": p2_found, "p2_lattice": p2_lattice, "p2_sites": p2_sites, "p2_properties": p2_properties, "p2_extras": p2_extras, "p2_steps": p2_steps}
+def p5_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows each code has, by who told it: the CSV reader's reject table or the exact check."""
+    return _import_rows(spark, sf_dir).where("code IS NOT NULL").groupBy("code", "told_by").agg(F.count("*").alias("n"))
+
+
+QUERIES = {"p5_reasons": p5_reasons, "p5_found": p5_found, "p5_loaded": p5_loaded, "p5_report": p5_report, "p4_found": p4_found, "p4_changes": p4_changes, "p4_table": p4_table, "p4_versions": p4_versions, "p6_found": p6_found, "p6_common": p6_common, "p2_found": p2_found, "p2_lattice": p2_lattice, "p2_sites": p2_sites, "p2_properties": p2_properties, "p2_extras": p2_extras, "p2_steps": p2_steps}
 _KIDS = """
 WITH r AS (SELECT artifact_no AS no, CAST(result AS JSON) AS j FROM chgnet_reference WHERE json_valid(result) AND json_type(result) = 'OBJECT'),
 s AS (SELECT no, CASE json_type(j, '$.relaxed_structure') WHEN 'OBJECT' THEN json_extract(j, '$.relaxed_structure') WHEN 'VARCHAR' THEN CAST(json_extract_string(j, '$.relaxed_structure') AS JSON) END AS s,
