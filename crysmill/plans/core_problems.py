@@ -69,6 +69,16 @@ def p4_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.versions(table(spark, sf_dir, "lemat_raw_lines"))
 
 
+def p4_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The migration steps of every version of every feed."""
+    return drift.steps(table(spark, sf_dir, "lemat_raw_lines"))
+
+
+def p4_odd_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of files with values of another type or values lost by a cast."""
+    return drift.odd_values(table(spark, sf_dir, "lemat_raw_lines"))
+
+
 # --- 5: rows that fail to parse
 def _import_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     # written once, as both the first rows of each id and the rows themselves are read from it
@@ -95,7 +105,7 @@ def p5_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _import_rows(spark, sf_dir).where("code IS NOT NULL").groupBy("code", "told_by").agg(F.count("*").alias("n"))
 
 
-QUERIES = {"p5_reasons": p5_reasons, "p5_found": p5_found, "p5_loaded": p5_loaded, "p5_report": p5_report, "p4_found": p4_found, "p4_changes": p4_changes, "p4_table": p4_table, "p4_versions": p4_versions, "p6_found": p6_found, "p6_common": p6_common, "p2_found": p2_found, "p2_lattice": p2_lattice, "p2_sites": p2_sites, "p2_properties": p2_properties, "p2_extras": p2_extras, "p2_steps": p2_steps}
+QUERIES = {"p5_reasons": p5_reasons, "p5_found": p5_found, "p5_loaded": p5_loaded, "p5_report": p5_report, "p4_found": p4_found, "p4_changes": p4_changes, "p4_table": p4_table, "p4_versions": p4_versions, "p4_steps": p4_steps, "p4_odd_values": p4_odd_values, "p6_found": p6_found, "p6_common": p6_common, "p2_found": p2_found, "p2_lattice": p2_lattice, "p2_sites": p2_sites, "p2_properties": p2_properties, "p2_extras": p2_extras, "p2_steps": p2_steps}
 _KIDS = """
 WITH r AS (SELECT artifact_no AS no, CAST(result AS JSON) AS j FROM chgnet_reference WHERE json_valid(result) AND json_type(result) = 'OBJECT'),
 s AS (SELECT no, CASE json_type(j, '$.relaxed_structure') WHEN 'OBJECT' THEN json_extract(j, '$.relaxed_structure') WHEN 'VARCHAR' THEN CAST(json_extract_string(j, '$.relaxed_structure') AS JSON) END AS s,
@@ -115,7 +125,14 @@ m AS (SELECT record_no AS no, 'lattice' AS kind, generate_subscripts(structure.l
 SELECT 'materials_sample' AS parent_table, no AS parent_no, kind AS child_kind, CAST(k AS INTEGER) AS child_no FROM m WHERE ok
 UNION ALL SELECT 'chgnet_reference', no, kind, CAST(k AS INTEGER) FROM i WHERE flat OR json_type(x, '$[' || k || ']') <> 'NULL'
 UNION ALL SELECT 'chgnet_reference', no, 'step', k FROM steps"""
-_NAMES = "CASE regexp_replace(lower(key), '[^a-z0-9]', '', 'g') " + " ".join(f"WHEN '{k.replace('_', '')}' THEN '{c}'" for c, ws in drift.RENAMES.items() for k in (c, *ws.split())) + " END"
+_NAMES = """CASE regexp_replace(lower(key), '[^a-z0-9]', '', 'g')
+  WHEN 'materialid' THEN 'material_id' WHEN 'formula' THEN 'formula' WHEN 'chemicalformula' THEN 'formula' WHEN 'formulapretty' THEN 'formula' WHEN 'composition' THEN 'formula' WHEN 'chem' THEN 'formula'
+  WHEN 'elements' THEN 'elements' WHEN 'elementlist' THEN 'elements' WHEN 'speciesset' THEN 'elements' WHEN 'elementset' THEN 'elements' WHEN 'numelements' THEN 'nelements' WHEN 'numberofelements' THEN 'nelements' WHEN 'numberofsites' THEN 'nsites' WHEN 'nelements' THEN 'nelements' WHEN 'nsites' THEN 'nsites' WHEN 'numsites' THEN 'nsites'
+  WHEN 'immutableid' THEN 'immutable_id' WHEN 'immid' THEN 'immutable_id' WHEN 'uid' THEN 'immutable_id' WHEN 'stableid' THEN 'immutable_id'
+  WHEN 'structurefingerprint' THEN 'structure_fingerprint' WHEN 'fingerprint' THEN 'structure_fingerprint' WHEN 'sfp' THEN 'structure_fingerprint' WHEN 'structfp' THEN 'structure_fingerprint' WHEN 'fphash' THEN 'structure_fingerprint' WHEN 'col9' THEN 'structure_fingerprint'
+  WHEN 'functional' THEN 'functional' WHEN 'xc' THEN 'functional' WHEN 'xcfunctional' THEN 'functional' WHEN 'dftfunctional' THEN 'functional' WHEN 'level' THEN 'functional'
+  WHEN 'density' THEN 'density' WHEN 'rho' THEN 'density' WHEN 'massdensity' THEN 'density' WHEN 'bulkmodulus' THEN 'bulk_modulus' WHEN 'kvrh' THEN 'bulk_modulus'
+  WHEN 'energyabovehull' THEN 'energy_above_hull' WHEN 'hulldistance' THEN 'energy_above_hull' WHEN 'eabovehull' THEN 'energy_above_hull' WHEN 'bulkmodulusvrh' THEN 'bulk_modulus' WHEN 'epersite' THEN 'energy_per_site' WHEN 'forcemax' THEN 'max_force' WHEN 'fmax' THEN 'max_force' WHEN 'crystal' THEN 'structure' WHEN 'crystalstructure' THEN 'structure' WHEN 'modifiedat' THEN 'last_modified' WHEN 'updatedat' THEN 'last_modified' WHEN 'matid' THEN 'material_id' WHEN 'entryid' THEN 'material_id' WHEN 'prettyformula' THEN 'formula' WHEN 'reducedformula' THEN 'formula' WHEN 'ehull' THEN 'energy_above_hull' WHEN 'energypersite' THEN 'energy_per_site' WHEN 'maxforce' THEN 'max_force' WHEN 'structure' THEN 'structure' WHEN 'lastmodified' THEN 'last_modified' END"""
 _DRIFT = f"""
 WITH e AS (SELECT file_no, key, CASE type WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'list' WHEN 'OBJECT' THEN 'object' ELSE 'number' END AS ty FROM lemat_raw_lines, json_each(payload) WHERE type <> 'NULL'),
 c AS (SELECT file_no, key, ty, count(*) AS n FROM e GROUP BY ALL),
@@ -125,7 +142,12 @@ s AS (SELECT file_no, lag(file_no) OVER (PARTITION BY feed ORDER BY written_at,
 x AS (SELECT g.file_no, g.field, g.key, g.ty FROM g JOIN s ON g.file_no = s.file_no WHERE prev_no IS NOT NULL), y AS (SELECT s.file_no, g.field, g.key, g.ty FROM g JOIN s ON g.file_no = s.prev_no),
 z AS (SELECT coalesce(x.file_no, y.file_no) AS file_no, coalesce(x.field, y.field) AS field_name, x.key AS k1, x.ty AS t1, y.key AS k0, y.ty AS t0 FROM x FULL JOIN y ON x.file_no = y.file_no AND x.field = y.field)
 SELECT * FROM (SELECT file_no, field_name, unnest(list_filter([CASE WHEN k0 IS NULL THEN 'added' END, CASE WHEN k1 IS NULL THEN 'removed' END, CASE WHEN k1 <> k0 THEN 'renamed' END, CASE WHEN t1 <> t0 THEN 'retyped' END], lambda c: c IS NOT NULL)) AS change, k0 AS key_before, k1 AS key_now, t0 AS type_before, t1 AS type_now FROM z)"""
+_FIELDS = _DRIFT[: _DRIFT.index("\nx AS (")].rstrip(",")
 ORACLE: dict[str, str] = {
+    "p4_versions": f"""{_FIELDS}, p AS (SELECT file_no, string_agg(field || ':' || key || ':' || ty, ';' ORDER BY encode(field || ':' || key || ':' || ty)) AS d FROM g GROUP BY file_no),
+v AS (SELECT feed, l.file_no, written_at, CASE WHEN d IS NULL THEN NULL ELSE sha256(d) END AS fingerprint FROM (SELECT file_no, min(feed) AS feed, min(written_at) AS written_at FROM lemat_raw_lines GROUP BY file_no) l LEFT JOIN p USING (file_no)),
+n AS (SELECT *, CASE WHEN fingerprint IS DISTINCT FROM lag(fingerprint) OVER w OR lag(file_no) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM v WINDOW w AS (PARTITION BY feed ORDER BY written_at, file_no))
+SELECT feed, file_no, fingerprint, CAST(sum(new) OVER (PARTITION BY feed ORDER BY written_at, file_no) AS BIGINT) AS version FROM n""",
     "p2_found": _KIDS,
     "p4_changes": _DRIFT,
     "p4_found": f"SELECT file_no, field_name, change FROM ({_DRIFT})",

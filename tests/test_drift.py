@@ -58,6 +58,26 @@ def test_consistent_table_and_versions(spark):
     assert sorted((r["file_no"], r["version"]) for r in drift.versions(df).collect()) == [(1, 1), (2, 2)]
 
 
+def test_content_beats_other_names(spark):
+    # "level" and "rho" carry something else here; content tells what, and nothing is led to a column by name alone
+    one = [{"material_id": f"m{i}", "functional": f"F{i}", "nsites": i + 3} for i in range(6)]
+    two = [{"material_id": f"m{i}", "rho": f"F{i}", "level": i + 3} for i in range(6)]
+    assert found(lines(spark, {1: ("f", 1, one), 2: ("f", 2, two)})) == [(2, "functional", "renamed"), (2, "nsites", "renamed")]
+    rows = drift.consistent(lines(spark, {1: ("f", 1, one), 2: ("f", 2, two)})).where("file_no = 2").collect()
+    assert {(r["functional"], r["nsites"], r["density"]) for r in rows} == {(f"F{i}", i + 3, None) for i in range(6)}
+
+
+def test_steps_by_version_and_lost_values(spark):
+    one = [{"material_id": f"m{i}", "density": 1.0 + i, "nsites": 4} for i in range(5)]
+    two = [{"material_id": f"m{i}", "mass": str(1.0 + i), "nsites": 4} for i in range(4)] + [{"material_id": "m9", "mass": "heavy", "nsites": "n/a"}]
+    df = lines(spark, {1: ("f", 1, one), 2: ("f", 2, one), 3: ("f", 3, two), 4: ("g", 1, two)})
+    assert sorted((r["file_no"], r["version"]) for r in drift.versions(df).collect()) == [(1, 1), (2, 1), (3, 2), (4, 1)]
+    got = sorted((r["feed"], r["version"], r["field_name"], r["step"], r["key_before"], r["key_now"]) for r in drift.steps(df).collect())
+    assert got == [("f", 2, "density", "cast", "density", "mass"), ("f", 2, "density", "rename", "density", "mass")]
+    odd = {(r["file_no"], r["field_name"]): (r["n_values"], r["n_odd_type"], r["n_failed"]) for r in drift.odd_values(df).collect()}
+    assert odd == {(3, "density"): (5, 0, 1), (3, "nsites"): (5, 1, 0), (4, "density"): (5, 0, 1), (4, "nsites"): (5, 1, 0)}
+
+
 def test_empty(spark):
     df = lines(spark, {})
-    assert found(df) == [] and drift.consistent(df).count() == 0 and drift.versions(df).count() == 0
+    assert found(df) == [] and drift.consistent(df).count() == 0 and drift.versions(df).count() == drift.steps(df).count() == drift.odd_values(df).count() == 0
