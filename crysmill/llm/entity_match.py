@@ -3,15 +3,19 @@
 Each rule is an equi-join on a combination of attributes, from strong to weak: a trace of the other source's id, cell
 volume, reported density, the tail of an id, density of one side against the cell of the other, elastic moduli. All
 need the same composition. Numbers are joined on logarithmic buckets, with the neighbouring ones probed, so no rule
-compares all pairs of a group. A pair that any measured attribute contradicts is dropped by every rule; of several
-partners the nearest one stays, then the smaller id; records resolved by one rule are anti-joined before the next.
+compares all pairs of a group; records of a side with the same evidence are one in these joins, so copies are never paired
+with copies. A pair that any measured attribute contradicts is dropped by every rule; of several partners the nearest one
+stays, then the smaller id; right records resolved by one rule are anti-joined before the next. Left records are not, as one
+may be the partner of many.
 
-A rule's confidence is its precision on labelled records, those with a trusted trace, smoothed by one hit and one miss:
-(hits + 1) / (labels + 2).
+Records with a trusted trace (one that nothing measured contradicts) are the labelled ones. They run through the other
+rules beside the open records, under the same anti-joins; a rule's confidence is its precision on the labelled records
+that were left when its turn came, that of the trace is how often the other rules find the same partner for them. Both
+are smoothed by one hit and one miss: (hits + 1) / (labels + 2).
 
 Edge cases: null, NaN and sentinel attributes give no evidence and contradict nothing; a record without composition is
-matched by a full trace and agreeing density only; repeated deliveries of a left record are one; a right record has one
-partner at most, a left one any number; ties go to the smaller id; empty tables give no pairs.
+matched by a full trace and agreeing density only; of repeated deliveries of a left record the first counts, whole; a right
+record has one partner at most, a left one any number; ties go to the smaller id; empty tables give no pairs.
 """
 
 from __future__ import annotations
@@ -51,7 +55,8 @@ def left_side(materials: DataFrame) -> DataFrame:
     props = convert(property_entries(one), one.sparkSession, ("record_no", "prop_no"))
     wide = props.where(F.col("property").isin("density", "bulk_modulus", "shear_modulus")).groupBy("record_no").agg(*[F.expr(f"percentile_approx(CASE WHEN property = '{p}' THEN common_value END, 0.5)").alias(n) for p, n in (("density", "rho"), ("bulk_modulus", "k"), ("shear_modulus", "g"))])
     cells = one.select("record_no", "material_id", composition_key_udf("formula").alias("comp"), (volume(F.col("structure.lattice")) / F.nullif(F.size("structure.species"), F.lit(0))).alias("v"), F.array_sort(F.array(*cosines(F.col("structure.lattice")))).alias("angles"))
-    per = cells.join(wide, "record_no", "left").groupBy(F.col("material_id").alias("mid")).agg(F.min("comp").alias("comp"), *[F.min(c).alias(c) for c in ("v", "angles", "rho", "k", "g")])
+    whole = F.struct("comp", "v", "angles", "rho", "k", "g")
+    per = cells.join(wide, "record_no", "left").groupBy(F.col("material_id").alias("mid")).agg(F.min_by(whole, "record_no").alias("w")).select("mid", "w.*")
     return _finish(per, F.col("mid"))
 
 
@@ -60,7 +65,8 @@ def right_side(rows: DataFrame) -> DataFrame:
     num = lambda c: F.col(c).try_cast("double")
     atoms = F.array_join(F.transform("atoms.elements", lambda e: F.trim(e)), "")
     base = rows.where("jid IS NOT NULL").select("jid", F.coalesce(composition_key_udf("formula"), composition_key_udf(atoms)).alias("comp"), (volume(F.col("atoms.lattice_mat")) / F.nullif(F.size("atoms.elements"), F.lit(0))).alias("v"), F.array_sort(F.array(*cosines(F.col("atoms.lattice_mat")))).alias("angles"), F.col("density").cast("double").alias("rho"), num("bulk_modulus_kv").alias("k"), num("shear_modulus_gv").alias("g"), F.col("legacy_ref").alias("ref"))
-    per = base.groupBy("jid").agg(*[F.min(c).alias(c) for c in ("comp", "v", "angles", "rho", "k", "g", "ref")])
+    # ids are unique; of equal ones one record counts, whole
+    per = base.groupBy("jid").agg(F.max(F.struct("comp", "v", "angles", "rho", "k", "g", "ref")).alias("w")).select("jid", "w.*")
     return _finish(per, F.col("ref"))
 
 
@@ -116,31 +122,44 @@ RULES = (
 )
 
 
-def _best(rule, left: DataFrame, right: DataFrame) -> DataFrame:
-    name, pairs, distance = rule
-    kept = pairs(left, right).where(~_contradicted()).select(F.col("l.mid").alias("mid"), F.col("r.jid").alias("jid"), distance().alias("d"))
-    return kept.groupBy("jid").agg(F.min_by("mid", F.struct("d", "mid")).alias("mid")).withColumn("rule", F.lit(name))
+EVIDENCE = ("comp", "v", "angles", "rho", "k", "g", "rhoc")
+
+
+def _print(*cols: str) -> Column:
+    """128 bits that stand for the values of the columns."""
+    text = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols]
+    return F.concat(F.hex(F.xxhash64(*text)), F.lit("-"), F.hex(F.xxhash64(F.lit(1), *text)))
+
+
+def _best(rule, left: DataFrame, right: DataFrame, item: str) -> DataFrame:
+    """(item, mid) with the nearest left partner of each right item that has one."""
+    _, pairs, distance = rule
+    kept = pairs(left, right).where(~_contradicted()).select(F.col("l.mid").alias("mid"), F.col(f"r.{item}").alias(item), distance().alias("d"))
+    return kept.groupBy(item).agg(F.min_by("mid", F.struct("d", "mid")).alias("mid"))
 
 
 def match(left: DataFrame, right: DataFrame) -> DataFrame:
     """(mid, jid, rule, confidence) from prepared sides."""
     scratch = Scratch(left.sparkSession, "match")
     left, right = scratch.put(left), scratch.put(right)
-    found, open_ = [], right
-    for rule in RULES:
-        hit = scratch.put(_best(rule, left, open_))
+    trace, *rules = RULES
+    traced = scratch.put(_best(trace, left, right, "jid").withColumnRenamed("mid", "label"))
+    # copies are one: the smallest id of left records with the same evidence, and a number for such right records
+    one = left.groupBy(*EVIDENCE, "tail").agg(F.min("mid").alias("mid"))
+    one = scratch.put(one)
+    told = right.join(traced, "jid", "left").withColumn("copy", _print(*EVIDENCE, "tail"))
+    told = scratch.put(told.select("jid", "label", "copy", *EVIDENCE, "tail"))
+    open_ = scratch.put(told.groupBy("copy", *EVIDENCE, "tail").agg(F.lit(1).alias("_n")).drop("_n"))
+    found = []
+    for rule in rules:
+        hit = scratch.put(_best(rule, one, open_, "copy").withColumn("rule", F.lit(rule[0])))
         found.append(hit)
-        open_ = open_.join(hit.select("jid"), "jid", "left_anti")
-    pairs = reduce(DataFrame.unionByName, found)
-    traced = left.select("flat", F.col("mid").alias("label"), F.col("comp").alias("lc"), F.col("v").alias("lv"), F.col("rho").alias("lr"))
-    labelled = scratch.put(right.where("ref IS NOT NULL").join(traced, (right.flat == traced.flat) & (right.comp == traced.lc)).select(*[right[c] for c in right.columns], "label", "lv", "lr"))
-    # each written by itself: one plan of all rules would fill the driver's memory with generated code
-    tries = [scratch.put(_best(rule, left, labelled.select(*right.columns))) for rule in RULES[1:]]
-    scored = reduce(DataFrame.unionByName, tries).join(labelled.select("jid", "label"), "jid").groupBy("rule").agg(F.count("*").alias("n"), F.count_if(F.col("mid") == F.col("label")).alias("hits"))
-    # a trace is judged by what was measured on both sides
-    told = labelled.where("(v IS NOT NULL AND lv IS NOT NULL) OR (rho IS NOT NULL AND lr IS NOT NULL)")
-    agree = F.coalesce(F.abs(F.ln(F.col("v") / F.col("lv"))) <= STEP, F.abs(F.ln(F.col("rho") / F.col("lr"))) <= STEP)
-    own = told.agg(F.count("*").alias("n"), F.count_if(agree).alias("hits")).select(F.lit("trace").alias("rule"), "n", "hits")
-    precision = scored.unionByName(own).select("rule", ((F.col("hits") + 1) / (F.col("n") + 2)).alias("confidence"))
+        open_ = open_.join(hit.select("copy"), "copy", "left_anti")
+    hits = scratch.put(told.select("jid", "label", "copy").join(reduce(DataFrame.unionByName, found), "copy"))
+    labelled = hits.where("label IS NOT NULL").withColumn("hit", (F.col("mid") == F.col("label")).cast("int"))
+    precision = labelled.groupBy(F.col("rule")).agg(F.count("*").alias("n"), F.sum("hit").alias("hits"))
+    own = labelled.agg(F.count("*").alias("n"), F.coalesce(F.sum("hit"), F.lit(0)).alias("hits")).select(F.lit(trace[0]).alias("rule"), "n", "hits")
     # one row for each rule
-    return pairs.join(F.broadcast(precision), "rule", "left").select("mid", "jid", "rule", F.coalesce("confidence", F.lit(0.5)).alias("confidence"))
+    confidence = F.broadcast(precision.unionByName(own).select("rule", ((F.col("hits") + 1) / (F.col("n") + 2)).alias("confidence")))
+    pairs = traced.select("jid", F.col("label").alias("mid"), F.lit(trace[0]).alias("rule")).unionByName(hits.where("label IS NULL").select("jid", "mid", "rule"))
+    return pairs.join(confidence, "rule", "left").select("mid", "jid", "rule", F.coalesce("confidence", F.lit(0.5)).alias("confidence"))

@@ -41,6 +41,23 @@ def test_cascade(spark):
     assert got == {"by_cell": ("demo-nti-cf-00000001", "cell_volume"), "by_density": ("demo-nti-op-00000003", "density"), "by_trace": ("demo-nti-hp-00000002", "trace"), "by_moduli": ("demo-x-00000005", "bulk_modulus"), "atoms_only": ("demo-nti-cf-00000001", "cell_volume")}
 
 
+def test_confidence_is_precision_on_what_is_left(spark):
+    mats = [mat(i, f"demo-tin-cf-{i:08d}", "TiN", 4.0 * 1.05**i if i < 4 else None, None if i < 4 else 5.0 * 1.1**i) for i in range(8)]
+    ref = lambda i: f"demo-tin-cf-{i:08d}"
+    jars = [jar(f"a{i}", "TiN", 4.0 * 1.05**i, ref=ref(i)) for i in range(4)]
+    # labelled, without a cell: left when the density's turn comes; nothing measured contradicts the wrong trace of w
+    jars += [jar(f"b{i}", "TiN", None, 5.0 * 1.1**i, ref=ref(i)) for i in (4, 5)] + [jar("w", "TiN", None, None, ref=ref(3)), jar("open", "TiN", None, 5.01 * 1.1**6)]
+    out = {r["jid"]: r for r in em.match(em.left_side(spark.createDataFrame(mats, MAT)), em.right_side(spark.createDataFrame(jars, JAR))).collect()}
+    assert len(out) == 8 and {r["rule"] for j, r in out.items() if j != "open"} == {"trace"}
+    assert out["a0"]["confidence"] == pytest.approx(8 / 9) and (out["open"]["mid"], out["open"]["rule"]) == (ref(6), "density") and out["open"]["confidence"] == pytest.approx(3 / 4)
+
+
+def test_copies_are_matched_as_one(spark):
+    mats = [mat(i, f"m-{i:03d}", "TiN", 4.0) for i in range(60)]
+    got = matched(spark, mats, [jar(f"j{i}", "TiN", 4.01) for i in range(60)])
+    assert len(got) == 60 and set(got.values()) == {("m-000", "cell_volume")}
+
+
 def test_cascade_empty(spark):
     assert matched(spark, [], []) == {} and matched(spark, [mat(1, "a", "TiN", 4.0)], []) == {}
 
@@ -77,7 +94,7 @@ def test_told_again_is_no_stuffing():
 
 def test_nouns_count_only_in_a_row():
     # enough terms, but no 12 different ones in a row and none that comes back
-    assert not spam.judge("foil, rod, disc, or oxide, boat, wafer, target or bulk, deal, price, cheap, coast, north").spam
+    assert not spam.judge("foil, rod, disc, or oxide, boat, wafer, target or bulk, deal, price, cheap, coast, north", {"or": True}).spam
     assert spam.judge("foil, rod, disc, oxide, boat, wafer, target, bulk, deal, price, cheap, coast, north").spam
 
 
