@@ -18,6 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..runtime import Scratch
+
+FIELDS = ["part", "g", "n", "k", "item", "score"]
+
 
 def top_n(df: DataFrame, group: str, score: str, item: str, n: int, ties: tuple[str, ...] = ()) -> DataFrame:
     """(group, item, score, place 1..n) of ``df``; ``ties`` are ascending DOUBLE columns, group and item are strings."""
@@ -26,43 +30,46 @@ def top_n(df: DataFrame, group: str, score: str, item: str, n: int, ties: tuple[
     slim = df.select(F.col(group).cast("string").alias("g"), F.col(score).cast("double").alias("s"), F.col(item).cast("string").alias("i"), *[F.nanvl(F.col(t).cast("double"), F.lit(None)).alias(f"t{k}") for k, t in enumerate(ties)])
     slim = slim.where("g IS NOT NULL AND i IS NOT NULL AND s IS NOT NULL AND NOT isnan(s)")
     order = [F.asc("g"), F.desc("s"), *[F.asc_nulls_last(f"t{k}") for k in range(len(ties))], F.asc("i")]
+    # written once: the range sort reads its input twice, to sample the cuts and to lay the rows out
+    slim = Scratch(df.sparkSession, "top").put(slim)
     ranged = slim.repartitionByRange(*order).sortWithinPartitions(*order).select("g", "i", "s")
 
     def heads(batches):
-        """One row for each group of the partition: its count there and its first n items."""
+        """Of each group of the partition its first n items with their local places, and one row with its count there."""
         part = TaskContext.get().partitionId()
-        group_now, count, items, scores = None, 0, [], []
+        last, seen = None, 0
 
-        def flush(rows):
-            return pa.RecordBatch.from_pydict({"part": pa.array([r[0] for r in rows], pa.int32()), "g": pa.array([r[1] for r in rows], pa.string()), "n": pa.array([r[2] for r in rows], pa.int64()), "items": pa.array([r[3] for r in rows], pa.list_(pa.string())), "scores": pa.array([r[4] for r in rows], pa.list_(pa.float64()))})
+        def counts(names: list, sizes: list):
+            none = pa.nulls(len(names))
+            return pa.RecordBatch.from_arrays([pa.array([part] * len(names), pa.int32()), pa.array(names, pa.string()), pa.array(sizes, pa.int64()), none.cast(pa.int64()), none.cast(pa.string()), none.cast(pa.float64())], names=FIELDS)
 
         for b in batches:
-            if not b.num_rows:
+            m = b.num_rows
+            if not m:
                 continue
             g = b.column("g").dictionary_encode()
             codes = g.indices.to_numpy()
-            cuts = np.flatnonzero(np.diff(codes)) + 1
-            starts, ends = [0, *cuts.tolist()], [*cuts.tolist(), b.num_rows]
-            out = []
-            for lo, hi in zip(starts, ends):
-                name = g.dictionary[int(codes[lo])].as_py()
-                if name != group_now:
-                    if group_now is not None:
-                        out.append((part, group_now, count, items, scores))
-                    group_now, count, items, scores = name, 0, [], []
-                want = n - count
-                if want > 0:
-                    items = items + b.column("i").slice(lo, min(want, hi - lo)).to_pylist()
-                    scores = scores + b.column("s").slice(lo, min(want, hi - lo)).to_pylist()
-                count += hi - lo
-            if out:
-                yield flush(out)
-        if group_now is not None:
-            yield flush([(part, group_now, count, items, scores)])
+            starts = np.concatenate([[0], np.flatnonzero(np.diff(codes)) + 1])
+            sizes = np.diff(np.append(starts, m))
+            place = np.arange(m) - np.repeat(starts, sizes)
+            names = g.dictionary.take(pa.array(codes[starts]))
+            goes_on = names[0].as_py() == last
+            if goes_on:  # the first group began in an earlier batch
+                place[: sizes[0]] += seen
+            keep = np.flatnonzero(place < n)
+            at = pa.array(keep)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keep), part, np.int32)), b.column("g").take(at), pa.nulls(len(keep)).cast(pa.int64()), pa.array(place[keep].astype(np.int64)), b.column("i").take(at), b.column("s").take(at)], names=FIELDS)
+            if not goes_on and last is not None:
+                yield counts([last], [seen])
+            sizes[0] += seen if goes_on else 0
+            if len(sizes) > 1:
+                yield counts(names.slice(0, len(sizes) - 1).to_pylist(), sizes[:-1].tolist())
+            last, seen = names[len(sizes) - 1].as_py(), int(sizes[-1])
+        if last is not None:
+            yield counts([last], [seen])
 
-    counted = ranged.mapInArrow(heads, "part INT, g STRING, n BIGINT, items ARRAY<STRING>, scores ARRAY<DOUBLE>")
-    ahead = W.partitionBy("g").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    offset = counted.withColumn("ahead", F.coalesce(F.sum("n").over(ahead), F.lit(0))).where(F.col("ahead") < n)
-    flat = offset.select("g", "ahead", F.posexplode(F.arrays_zip("items", "scores")).alias("k", "x"))
-    placed = flat.select(F.col("g").alias(group), F.col("x.items").alias(item), F.col("x.scores").alias(score), (F.col("ahead") + F.col("k") + 1).cast("int").alias("place"))
-    return placed.where(F.col("place") <= n)
+    flat = ranged.mapInArrow(heads, "part INT, g STRING, n BIGINT, k BIGINT, item STRING, score DOUBLE")
+    # a group's rows of earlier partitions come before; at most n + 1 rows of each partition it lies in
+    ahead = W.partitionBy("g").orderBy("part").rangeBetween(W.unboundedPreceding, -1)
+    placed = flat.withColumn("place", (F.coalesce(F.sum("n").over(ahead), F.lit(0)) + F.col("k") + 1).cast("int")).where(F.col("k").isNotNull() & (F.col("place") <= n))
+    return placed.select(F.col("g").alias(group), F.col("item").alias(item), F.col("score").alias(score), "place")
