@@ -59,9 +59,10 @@ def shard_quotas(blocks: list[int], quota: int, repeats: int) -> list[int]:
     return out
 
 
-def laid_out(docs: DataFrame, vocabulary: str, block_tokens: int, seed: int) -> DataFrame:
+def laid_out(docs: DataFrame, vocabulary: str, block_tokens: int, seed: int, scratch: Scratch) -> DataFrame:
     """(doc_id, source, n_tokens, block): documents by source, in seeded order, cut into blocks."""
-    sized = counted(docs.where("source IS NOT NULL"), ["doc_id", "source"], "text", vocabulary).where("n_tokens > 0")
+    # written once, as the running total reads it twice
+    sized = scratch.put(counted(docs.where("source IS NOT NULL"), ["doc_id", "source"], "text", vocabulary).where("n_tokens > 0"))
     o = running_total(sized.withColumn("_o", hash_order("doc_id", "source", seed=seed)), ["source"], "_o", "n_tokens")
     return o.select("doc_id", "source", "n_tokens", F.floor(F.col("before") / block_tokens).alias("block"))
 
@@ -77,7 +78,7 @@ def mix(docs: DataFrame, targets: DataFrame, vocabulary: str, block_tokens: int
     """(mix_name, source, doc_id, repeat_no, n_tokens) of every document drawn; repeat_no counts from 1."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
-    laid = scratch.put(laid_out(docs, vocabulary, block_tokens, seed))
+    laid = scratch.put(laid_out(docs, vocabulary, block_tokens, seed, scratch))
     wanted = targets.where("target_share > 0 AND max_repeats >= 1 AND source IS NOT NULL AND mix_name IS NOT NULL").collect()
     names = sorted({r["source"] for r in wanted})
     blocks = laid.where(F.col("source").isin(names)).groupBy("source", "block").agg(F.sum("n_tokens").alias("t"))

@@ -1,9 +1,9 @@
 """Packing texts into containers of fixed capacity, neighbours by content first.
 
 Texts are cut into tokens once. A text longer than the capacity fills whole containers with its own pieces; what is
-left of it, and every other text, is an item that is never split. Items are laid out by language, source and a hash in
-shards of about as many texts each, which hold ``shard_tokens`` tokens on average, but not at most; one huge source is cut
-into many shards, and a seed's neighbours in other shards are not found. Each shard has a BM25 inverted index over token ids with document frequencies of the whole corpus, a vector as long as the fixed
+left of it, and every other text, is an item that is never split. Items are laid out by language, source and a hash, and cut
+into shards of ``shard_tokens`` tokens, and one text more at most, by exact running totals; one huge source is cut into many shards, and a
+seed's neighbours in other shards are not found. Each shard has a BM25 inverted index over token ids with document frequencies of the whole corpus, a vector as long as the fixed
 vocabulary. The longest open item of a shard seeds a container; the index returns its unused neighbours, best first,
 and those that still fit are put in; the rest of the window is filled with the largest items that fit.
 
@@ -18,12 +18,12 @@ from bisect import bisect_right
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..runtime import Scratch
-from ..operators.prefix import hash_order
+from ..operators.prefix import hash_order, running_total
 from .tokens import encode, encoding
 
 K1, B = 1.2, 0.75
@@ -137,25 +137,42 @@ def pack_shard(sizes: np.ndarray, index: Index, items: list[np.ndarray], capacit
     return out
 
 
+def placed(tokens: DataFrame, scratch: Scratch, seed: int) -> DataFrame:
+    """(no, ahead): the tokens that come before each text by language, source and hash."""
+    slim = tokens.select("no", "n", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), hash_order(F.col("doc_id"), F.col("no"), seed=seed).alias("_o"))
+    inside = running_total(slim, ["lang", "source"], "_o", "n", "inside")
+    # groups are sources by language; what lies before a group is a running total over their few rows
+    whole = slim.groupBy("lang", "source").agg(F.sum("n").alias("t"))
+    before = whole.withColumn("before", F.coalesce(F.sum("t").over(W.orderBy("lang", "source").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    return inside.join(before.select("lang", "source", "before"), ["lang", "source"]).select("no", (F.col("inside") + F.col("before")).alias("ahead"))
+
+
 def pack(docs: DataFrame, containers: DataFrame, vocabulary: str, shard_tokens: int = SHARD_TOKENS, seed: int = 42) -> DataFrame:
     """(container_kind, container_id, place, doc_id, piece_no, n_tokens, capacity_tokens) of every text and kind."""
-    kinds = [(r["container_kind"], r["capacity_tokens"]) for r in containers.where("capacity_tokens >= 1 AND container_kind IS NOT NULL").orderBy("container_kind").limit(1000).collect()]
+    kinds = [(r["container_kind"], r["capacity_tokens"]) for r in containers.where("capacity_tokens >= 1 AND container_kind IS NOT NULL").distinct().orderBy("container_kind", "capacity_tokens").collect()]
     scratch = Scratch(docs.sparkSession, "pack")
-    tokens = scratch.put(tokenized(docs, vocabulary))
+    # a number of its own for each text, fixed by being written: repeated ids are told apart
+    tokens = scratch.put(tokenized(docs, vocabulary).withColumn("no", F.monotonically_increasing_id()))
     df, n_docs, mean = document_frequencies(tokens)
     total = tokens.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     shards = max(1, -(-total // shard_tokens))
-    order = [F.asc_nulls_first("lang"), F.asc_nulls_first("source"), hash_order(F.col("doc_id"), F.col("n"), seed=seed)]
-    laid = tokens.repartitionByRange(int(shards), *order)
+    laid = tokens.join(placed(tokens, scratch, seed), "no").withColumn("shard", F.floor(F.col("ahead") / shard_tokens).cast("int"))
+    laid = laid.repartition(int(shards), "shard").sortWithinPartitions("shard", "no")
 
     def run(batches):
-        shard = TaskContext.get().partitionId()
-        ids, raw = [], []
+        now, ids, raw = None, [], []
         for pdf in batches:
-            ids += pdf["doc_id"].tolist()
-            raw += [np.frombuffer(x, np.uint16) for x in pdf["ids"]]
-        if not ids:
-            return
+            for shard, g in pdf.groupby("shard", sort=False):
+                if shard != now and ids:
+                    yield from packed(now, ids, raw)
+                    ids, raw = [], []
+                now = shard
+                ids += g["doc_id"].tolist()
+                raw += [np.frombuffer(x, np.uint16) for x in g["ids"]]
+        if ids:
+            yield from packed(now, ids, raw)
+
+    def packed(shard, ids, raw):
         order = sorted(range(len(ids)), key=lambda i: (ids[i] if ids[i] == ids[i] else -1, len(raw[i])))
         for kind, capacity in kinds:
             rows, items, owners = [], [], []
@@ -175,7 +192,7 @@ def pack(docs: DataFrame, containers: DataFrame, vocabulary: str, shard_tokens:
                 boxes += 1
             yield pd.DataFrame(rows, columns=["container_kind", "container_id", "place", "doc_id", "piece_no", "n_tokens", "capacity_tokens"])
 
-    return laid.select("doc_id", "ids").mapInPandas(run, "container_kind STRING, container_id STRING, place INT, doc_id BIGINT, piece_no INT, n_tokens INT, capacity_tokens INT")
+    return laid.select("shard", "doc_id", "ids").mapInPandas(run, "container_kind STRING, container_id STRING, place INT, doc_id BIGINT, piece_no INT, n_tokens INT, capacity_tokens INT")
 
 
 def fill_report(packed: DataFrame) -> DataFrame:
