@@ -28,6 +28,15 @@ ELECTRONEGATIVITY = dict(zip(SYMBOLS, map(float, (
     "1.3 1.3 1.3"
 ).split())))
 
+# Empirical atomic radii in angstrom, of the elements that have one.
+RADIUS = {s: float(r) for s, r in (pair.split(":") for pair in (
+    "H:0.25 Li:1.45 Be:1.05 B:0.85 C:0.7 N:0.65 O:0.6 F:0.5 Na:1.8 Mg:1.5 Al:1.25 Si:1.1 P:1.0 S:1.0 Cl:1.0 K:2.2 Ca:1.8 "
+    "Sc:1.6 Ti:1.4 V:1.35 Cr:1.4 Mn:1.4 Fe:1.4 Co:1.35 Ni:1.35 Cu:1.35 Zn:1.35 Ga:1.3 Ge:1.25 As:1.15 Se:1.15 Br:1.15 "
+    "Rb:2.35 Sr:2.0 Y:1.8 Zr:1.55 Nb:1.45 Mo:1.45 Tc:1.35 Ru:1.3 Rh:1.35 Pd:1.4 Ag:1.6 Cd:1.55 In:1.55 Sn:1.45 Sb:1.45 Te:1.4 I:1.4 "
+    "Cs:2.6 Ba:2.15 La:1.95 Ce:1.85 Pr:1.85 Nd:1.85 Pm:1.85 Sm:1.85 Eu:1.85 Gd:1.8 Tb:1.75 Dy:1.75 Ho:1.75 Er:1.75 Tm:1.75 Yb:1.75 Lu:1.75 "
+    "Hf:1.55 Ta:1.45 W:1.35 Re:1.35 Os:1.3 Ir:1.35 Pt:1.35 Au:1.35 Hg:1.5 Tl:1.9 Pb:1.8 Bi:1.6 Po:1.9 Ra:2.15 Ac:1.95 Th:1.8 Pa:1.8 U:1.75 Np:1.75 Pu:1.75 Am:1.75"
+).split())}
+
 KNOWN = frozenset(SYMBOLS)
 NUMBER = {s: i + 1 for i, s in enumerate(SYMBOLS)}
 

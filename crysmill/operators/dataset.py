@@ -15,7 +15,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .normalize import coerce_elements
+from . import graph
+from .normalize import coerce_elements, structure_faults
+
+STRUCTURE = "struct<lattice: array<array<double>>, species: array<string>, coords: array<array<double>>, site_properties: string>"
 
 BASES = ("immutable_id", "structure_fingerprint", "formula_only", "none", "custom", "unknown")
 OPTIONAL = {"reduced_formula": "string", "elements": "array<string>", "nelements": "int", "nsites": "int", "structure": "string", "immutable_id": "string", "structure_fingerprint": "string", "functional": "string"}
@@ -31,6 +34,7 @@ ALIASES = {
     "functional": ("functional", "xc_functional", "dft_functional"),
     "structure_fingerprint": ("structure_fingerprint", "entalpic_fingerprint", "bawl_id", "fingerprint"),
 }
+# Units that columns of a bulk source are in.
 UNITS = {"density": "g/cm^3", "bulk_modulus": "GPa", "shear_modulus": "GPa", "energy_above_hull": "eV/atom", "formation_energy_per_atom": "eV/atom", "band_gap": "eV", "energy_per_site": "eV/site", "max_force": "eV/angstrom", "energy": "eV"}
 
 
@@ -61,6 +65,9 @@ def normalized(df: DataFrame) -> DataFrame:
         if name not in df.columns:
             df = df.withColumn(name, F.col("formula") if name == "reduced_formula" else F.lit(None).cast(kind))
     df = df.withColumn("elements", coerce_elements(F.col("elements")))
+    if isinstance(df.schema["structure"].dataType, T.StringType):  # JSON text; what is no structure is none
+        read = F.from_json("structure", STRUCTURE)
+        df = df.withColumn("structure", F.when(F.coalesce(F.size(structure_faults(read)) == 0, F.lit(False)), read))
     sites = F.size("structure.species") if isinstance(df.schema["structure"].dataType, T.StructType) else F.lit(None).cast("int")
     return df.withColumns({"nelements": F.coalesce("nelements", F.nullif(F.size("elements"), F.lit(0))), "nsites": F.coalesce("nsites", F.when(sites >= 0, sites))})
 
@@ -77,14 +84,16 @@ def record_digest(df: DataFrame, leave_out: tuple[str, ...] = ()) -> Column:
 
 
 def duplicate_signals(df: DataFrame, leave_out: tuple[str, ...] = ()) -> DataFrame:
-    """One row: the four duplicate counts. Each is a group-by with map-side partial counts."""
+    """One row: the four duplicate counts, by 128-bit keys."""
     text = lambda c: F.when(present(c), F.col(c).cast("string"))
     keys = {
         "exact_record_duplicate_count": record_digest(df, leave_out), "formula_multiplicity_count": text("reduced_formula"),
         "immutable_id_collision_count": text("immutable_id"), "structure_fingerprint_collision_count": text("structure_fingerprint"),
     }
-    ones = [collisions(df, k).withColumnRenamed("n", name) for name, k in keys.items()]
-    return reduce(lambda a, b: a.crossJoin(b), ones)  # one row each
+    # one scan: a row gives one hashed key of each kind, counted in two steps that both combine on the map side
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("kind"), F.when(k.isNotNull(), F.struct(F.xxhash64(k), F.xxhash64(F.lit(1), k))).alias("key")) for i, k in enumerate(keys.values())])).alias("x")
+    sizes = df.select(each).where("x.key IS NOT NULL").groupBy("x.kind", "x.key").agg(F.count("*").alias("n")).where("n > 1")
+    return sizes.agg(*[F.coalesce(F.sum(F.when(F.col("kind") == i, F.col("n"))), F.lit(0)).cast("bigint").alias(name) for i, name in enumerate(keys)])
 
 
 def element_counts(df: DataFrame) -> DataFrame:
@@ -216,6 +225,52 @@ class MaterialsDataset:
         guard = {"allow_mixed_functionals": allow_mixed_functionals, "allow_duplicate_records": allow_duplicate_records, "strict_guardrails": self.strict}
         return CandidateSlice(self, name, guard, used, target, signals)
 
+    def to_pandas(self, max_rows: int | None = None):
+        """A copy of the rows on the driver; with ``max_rows`` more of them raise ValueError."""
+        if max_rows is not None and self.df.limit(max_rows + 1).count() > max_rows:
+            raise ValueError(f"more than {max_rows} rows")
+        return self.df.toPandas()
+
+    def to_materials(self, columns: list[str] | None = None) -> DataFrame:
+        """Nested records: material_id, formula, reduced_formula, elements, structure, properties of the present scalars, metadata."""
+        df = self.df
+        names = columns or scalar_columns(df)
+        method = F.when(present("functional"), "dft").otherwise("unknown")
+        units = self.property_units or UNITS
+
+        def entry(c: str) -> Column:
+            kind = df.schema[c].dataType
+            numeric = isinstance(kind, T.NumericType)
+            value = F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None)) if numeric else F.lit(None).cast("double")
+            text = F.lit(None).cast("string") if numeric else F.initcap(F.col(f"`{c}`").cast("string")) if isinstance(kind, T.BooleanType) else F.nullif(F.trim(F.col(f"`{c}`").cast("string")), F.lit(""))
+            derived = c in ("density", "max_force")
+            fields = (F.lit(c).alias("name"), value.alias("value"), text.alias("value_text"), F.lit(units.get(c)).alias("unit"), F.lit("crysmill" if derived else self.source_dataset).alias("source"), (F.lit("derived") if derived else method).alias("method"))
+            return F.when(value.isNotNull() | text.isNotNull(), F.struct(*fields))
+
+        kept = [c for c in ("functional", "immutable_id", "structure_fingerprint") if c in df.columns]
+        told = F.map_filter(F.create_map(*[x for c in kept for x in (F.lit(c), F.col(c).cast("string"))]), lambda k, v: v.isNotNull())
+        return df.select("material_id", "formula", "reduced_formula", "elements", "structure", F.array_compact(F.array(*map(entry, names))).alias("properties") if names else F.array().alias("properties"), told.alias("metadata"))
+
+    def to_graphs(self, cutoff: float = 5.0, k: int = 12, builder=None) -> tuple[DataFrame, int]:
+        """(edges of every record with a structure, how many records have none). A structure whose sites share an atom
+        (disordered) raises ValueError. ``builder(structures, key, cutoff, k)`` takes the place of the own one."""
+        df = self.df
+        kind = df.schema["structure"].dataType
+        disordered = F.exists("structure.species", lambda s: F.size(F.map_keys(s)) != 1) if isinstance(kind, T.StructType) and not isinstance(kind["species"].dataType.elementType, T.StringType) else F.lit(False)
+        ok = F.coalesce(F.size(structure_faults(F.col("structure"))) == 0, F.lit(False))
+        one = df.agg(F.count_if(~ok), F.count_if(F.coalesce(disordered, F.lit(False)))).first()
+        if one[1]:
+            raise ValueError(f"{one[1]} disordered structures")
+        return (builder or graph.edges)(df.where(ok).select("material_id", "structure"), "material_id", cutoff, k), one[0]
+
+    def export(self, path: str) -> dict:
+        """Canonical lines under ``path`` with a manifest of id, checksum and count."""
+        from ..sources.readers import canonical_lines, lines_digest
+
+        canonical_lines(self.df).write.mode("overwrite").text(path)
+        count, digest = lines_digest(self.df.sparkSession.read.text(path))
+        return {"dataset_id": f"mg_ds_{digest[:16]}", "sha256": digest, "count": count}
+
     def to_benchmark_frame(self, target: str | None = None) -> DataFrame:
         """Adds the source columns, the structure as JSON text and a copy of the target."""
         df = self.df
@@ -243,6 +298,16 @@ def property_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType) and f.name not in reserved]
 
 
+def scalar_columns(df: DataFrame) -> list[str]:
+    """Columns of plain values that are no part of a record's identity or shape and hold a value in some row."""
+    reserved = {"material_id", "formula", "reduced_formula", "functional", "immutable_id", "structure_fingerprint", "last_modified", "source_dataset", "source_subset", "nelements", "nsites", "row_no", "record_no", "dimensionality"}
+    plain = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.NumericType, T.StringType, T.BooleanType)) and f.name not in reserved]
+    if not plain:
+        return []
+    held = df.agg(*[F.bool_or(present(c) & ~F.isnan(F.col(f"`{c}`").try_cast("double")) if isinstance(df.schema[c].dataType, T.FractionalType) else present(c)).alias(c) for c in plain]).first()
+    return [c for c in plain if held[c]]
+
+
 def pivot_properties(long: DataFrame, names: list[str]) -> DataFrame:
     """One column for each name, the last value by ``prop_no``; from (material_id, record_no, prop_no, name, value)."""
     return long.groupBy("material_id").agg(*[F.max_by(F.when(F.col("name") == n, F.col("value")), F.when((F.col("name") == n) & F.col("value").isNotNull(), F.struct("record_no", "prop_no"))).alias(n) for n in names])
@@ -271,10 +336,10 @@ class CandidateSlice:
     def report(self) -> dict:
         whole, steps = self.dataset.audited_steps
         out = steps[-1]["output_count"] if steps else whole
-        row = self.df.agg(F.count_if(F.col("structure").isNull()), F.count_distinct(F.when(present("functional"), F.col("functional")))).first()
+        row = self.df.agg(F.count_if(F.col("structure").isNull()), F.count_distinct(F.when(present("functional"), F.col("functional"))), F.count_if(~F.coalesce(F.size(structure_faults(F.col("structure"))) == 0, F.lit(False)) if isinstance(self.df.schema["structure"].dataType, T.StructType) else F.lit(True))).first()
         return {
             "slice_id": self.slice_id, "slice_name": self.slice_name, "source_dataset": self.dataset.source_dataset, "source_subset": self.dataset.source_subset,
             "input_count": whole, "output_count": out, "removed_count": whole - out, "filter_steps": steps, "columns_used": sorted({c for s in steps for c in s["columns_used"]}),
             "mixed_functionals": row[1] > 1, "duplicate_policy": "allow_duplicate_records" if self.guardrail_config["allow_duplicate_records"] else "disallow_duplicate_records",
-            "deduplication_basis": self.deduplication_basis, "provenance_fields_preserved": self.dataset.provenance_fields, "missing_structure_count": row[0], "graph_export_excluded_count": 0, "duplicate_signals": self.signals,
+            "deduplication_basis": self.deduplication_basis, "provenance_fields_preserved": self.dataset.provenance_fields, "missing_structure_count": row[0], "graph_export_excluded_count": row[2], "duplicate_signals": self.signals,
         }

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.elements import ELECTRONEGATIVITY, NUMBER, group_of
+from ..functions.elements import ELECTRONEGATIVITY, NUMBER, RADIUS, group_of
 from ..functions.lattice import at, inverse, volume
 from ..runtime import Scratch
 from .normalize import cell_density, structure_faults
@@ -75,6 +75,16 @@ def edges(structures: DataFrame, key: str = "material_id", cutoff: float = 5.0,
     return closed(nearest(candidates(structures, key, cutoff), k)).withColumnRenamed("key", key)
 
 
+def numbered(e: DataFrame, key: str = "material_id") -> DataFrame:
+    """Adds edge_no from 0 in the order of a structure's edges: source, distance, target, image."""
+    return e.withColumn("edge_no", F.row_number().over(W.partitionBy(key).orderBy("src", "dist", "dst", "ia", "ib", "ic")) - 1)
+
+
+def builder_info(cutoff: float = 5.0, k: int = 12) -> dict:
+    """How a graph is made: k is a soft target, as a shell of tied distances is never cut."""
+    return {"cutoff_radius": cutoff, "max_neighbors": k, "max_neighbors_is_soft": True, "tied_shells": "kept whole", "tolerance": TOLERANCE}
+
+
 def truncated_sources(structures: DataFrame, key: str = "material_id", cutoff: float = 5.0, k: int = 12) -> DataFrame:
     return nearest(candidates(structures, key, cutoff), k).where("truncated").groupBy(F.col("key").alias(key)).agg(F.array_sort(F.collect_set("src")).alias("truncated_sources"))
 
@@ -99,12 +109,26 @@ def shells(e: DataFrame, key: str = "material_id", value: str = "dist") -> DataF
     return numbered.groupBy(key, "shell_no").agg(F.avg(value).alias("mean_distance"), F.count("*").alias("n"))
 
 
+FEATURE_LABELS = (*(f"Z_{z}" for z in range(1, 101)), "electronegativity", "atomic_radius", "group")
+
+
 def nodes(structures: DataFrame, key: str = "material_id") -> DataFrame:
-    """(key, idx, species, atomic_number, electronegativity, group): features of every site; unknown symbols give 0."""
+    """(key, idx, species, atomic_number, electronegativity, atomic_radius, group) of every site; unknown symbols and missing values give 0."""
     lookup = lambda table: F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
     s = structures.select(key, F.posexplode("structure.species").alias("idx", "species"))
-    value = lambda t: F.coalesce(F.try_element_at(lookup(t), F.col("species")), F.lit(0))
-    return s.select(key, "idx", "species", value(NUMBER).alias("atomic_number"), value(ELECTRONEGATIVITY).alias("electronegativity"), value({x: group_of(x) for x in NUMBER}).alias("group"))
+    value = lambda t, zero=0.0: F.coalesce(F.try_element_at(lookup(t), F.col("species")), F.lit(zero))
+    return s.select(key, "idx", "species", value(NUMBER, 0).alias("atomic_number"), value(ELECTRONEGATIVITY).alias("electronegativity"), value(RADIUS).alias("atomic_radius"), value({x: group_of(x) for x in NUMBER}, 0).alias("group"))
+
+
+def node_features(structures: DataFrame, key: str = "material_id") -> DataFrame:
+    """(key, idx, features ARRAY<DOUBLE>): the 103 values of FEATURE_LABELS of every site."""
+    rest = F.array(F.col("electronegativity"), F.col("atomic_radius"), F.col("group").cast("double"))
+    return nodes(structures, key).select(key, "idx", F.concat(one_hot(F.col("atomic_number")), rest).alias("features"))
+
+
+def covalent_radius(structures: DataFrame, key: str = "material_id") -> DataFrame:
+    """(key, idx, radius) of every site, 0 where none is known."""
+    return nodes(structures, key).select(key, "idx", F.col("atomic_radius").alias("radius"))
 
 
 def one_hot(number: Column, width: int = 100) -> Column:
@@ -117,10 +141,40 @@ def global_features(structures: DataFrame, key: str = "material_id") -> DataFram
     return structures.select(key, cell_density(F.col("structure.lattice"), F.col("structure.species")).alias("density"), F.size("structure.species").alias("n_sites"), volume(F.col("structure.lattice")).alias("volume"), F.lit(None).cast("int").alias("space_group"), F.lit("unknown").alias("space_group_status"))
 
 
-def summary(structures: DataFrame, key: str = "material_id", cutoff: float = 5.0, k: int = 12) -> DataFrame:
-    """One row a structure: edges, reciprocity, zero distances, mean coordination, density and sites."""
-    e = edges(structures, key, cutoff, k)
-    per = e.groupBy(key).agg(F.count("*").alias("edge_count"), F.count_if(F.col("added")).alias("added_edges"), F.count_if(F.col("dist") <= 1e-8).alias("zero_distances"), F.min("dist").alias("shortest"))
+def displacement_error() -> Column:
+    """How far an edge's distance is from the length of its displacement."""
+    return F.abs(F.col("dist") - F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz")))
+
+
+def summary(structures: DataFrame, key: str = "material_id", cutoff: float = 5.0, k: int = 12, max_edges: int = 256) -> DataFrame:
+    """One row a structure: nodes, its first ``max_edges`` edges, shells, coordination, global features, validation and warnings.
+
+    Records without a valid structure have no edges and the state ``excluded``.
+    """
+    ranked = numbered(edges(structures, key, cutoff, k), key)
+    # written once, as six aggregates read it; a structure's edges are bounded by its sites and k
+    e = Scratch(structures.sparkSession, "summary").put(ranked)
+    per = e.groupBy(key).agg(
+        F.count("*").alias("edge_count"), F.count_if(F.col("added")).alias("added_edges"), F.count_if(F.col("dist") <= 1e-8).alias("zero_distances"), F.min("dist").alias("shortest"),
+        (F.max(displacement_error()) <= 1e-8).alias("displacement_consistent"),
+        F.array_sort(F.collect_list(F.when(F.col("edge_no") < max_edges, F.struct("edge_no", F.col("src").alias("source"), F.col("dst").alias("target"), F.col("dist").alias("distance"), F.array("ia", "ib", "ic").alias("image"), F.array("dx", "dy", "dz").alias("displacement_cartesian"))))).alias("edges"))
     lone = one_way(e, key).groupBy(key).agg(F.count("*").alias("one_way_edges"))
-    mean = coordination(e, key).groupBy(key).agg(F.avg("coordination").alias("mean_coordination"))
-    return global_features(structures, key).join(per, key, "left").join(lone, key, "left").join(mean, key, "left").select(key, "n_sites", "density", "edge_count", "added_edges", "zero_distances", F.coalesce("one_way_edges", F.lit(0)).alias("one_way_edges"), "shortest", "mean_coordination", "space_group_status")
+    mean = coordination(e, key).groupBy(key).agg(F.avg("coordination").alias("mean_coordination"), F.transform(F.array_sort(F.collect_list(F.struct("src", "coordination"))), lambda x: x["coordination"]).alias("coordination_numbers"))
+    rings = shells(e, key).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("shell_no", "mean_distance", "n"))).alias("distance_shells"))
+    cut = truncated_sources(structures, key, cutoff, k)
+    cell = F.col("structure.lattice")
+    place = lambda f: F.array(*[sum((F.get(f, i) * at(cell, i, j) for i in range(1, 3)), F.get(f, 0) * at(cell, 0, j)) for j in range(3)])
+    sites = F.transform(F.arrays_zip(F.col("structure.species").alias("species"), F.col("structure.coords").alias("coords")), lambda p, i: F.struct(i.alias("index"), p["species"].alias("species"), p["coords"].alias("fractional_coordinates"), place(p["coords"]).alias("cartesian_coordinates")))
+    base = global_features(structures, key).join(structures.select(key, F.when(F.size(structure_faults(F.col("structure"))) == 0, sites).alias("nodes"), cell.alias("lattice_vectors")), key)
+    out = base.join(per, key, "left").join(lone, key, "left").join(mean, key, "left").join(rings, key, "left").join(cut, key, "left")
+    one_ways, truncated = F.coalesce("one_way_edges", F.lit(0)), F.coalesce(F.size("truncated_sources"), F.lit(0)) > 0
+    capped = F.coalesce(F.col("edge_count") > max_edges, F.lit(False))
+    warnings = F.array_compact(F.array(
+        F.when(one_ways > 0, "graph is not reciprocal"), F.when(F.col("zero_distances") > 0, F.concat(F.col("zero_distances").cast("string"), F.lit(" edges of no length"))),
+        F.when(truncated, "neighbour lists were cut after a whole shell"), F.when(capped, F.concat(F.lit(f"only the first {max_edges} edges are shown")))))
+    good = (one_ways == 0) & (F.coalesce("zero_distances", F.lit(0)) == 0) & F.coalesce("displacement_consistent", F.lit(True))
+    state = F.when(F.col("nodes").isNull(), "excluded").when(good, "valid").otherwise("invalid")
+    return out.select(
+        key, "n_sites", "density", "volume", "nodes", "lattice_vectors", "edges", "edge_count", capped.alias("edges_truncated"), F.coalesce("added_edges", F.lit(0)).alias("added_edges"), F.coalesce("zero_distances", F.lit(0)).alias("zero_distances"),
+        one_ways.alias("one_way_edges"), F.coalesce("displacement_consistent", F.lit(True)).alias("displacement_consistent"), "shortest", "mean_coordination", "coordination_numbers", "distance_shells", F.coalesce("truncated_sources", F.array().cast("array<int>")).alias("truncated_sources"),
+        F.array(F.coalesce("n_sites", F.lit(0)), F.lit(len(FEATURE_LABELS))).alias("node_feature_shape"), F.array(F.coalesce("edge_count", F.lit(0)).cast("int"), F.lit(1)).alias("edge_feature_shape"), "space_group_status", state.alias("state"), warnings.alias("warnings"))

@@ -33,11 +33,34 @@ def interval_coverage(df: DataFrame, y: str, lo: str, hi: str) -> DataFrame:
     return df.agg(F.coalesce(F.avg(F.coalesce(inside, F.lit(0.0))), F.lit(0.0)).alias("coverage"))
 
 
+def exact_quantiles(df: DataFrame, value: str, shares: list[float], ranges: int = 512) -> DataFrame:
+    """(share, quantile): exact linear quantiles of the present values, none of them in one task.
+
+    Equal values are counted first. Approximate quantiles, a sketch of bounded size, cut the values into ranges; counts are
+    summed within a range and the few totals of the ranges over all, which gives every distinct value its exact places.
+    """
+    v = F.nanvl(F.col(value).cast("double"), F.lit(None))
+    counts = df.select(v.alias("v")).where("v IS NOT NULL").groupBy("v").agg(F.count("*").alias("n"))
+    cuts = counts.agg(F.percentile_approx("v", [i / ranges for i in range(1, ranges)], 10_000).alias("cuts"))
+    ranged = counts.crossJoin(F.broadcast(cuts)).select("v", "n", F.size(F.filter("cuts", lambda c: c < F.col("v"))).alias("r"))  # one row of cuts
+    inside = ranged.withColumn("upto", F.sum("n").over(W.partitionBy("r").orderBy("v")))
+    totals = ranged.groupBy("r").agg(F.sum("n").alias("t"))
+    ahead = totals.withColumn("ahead", F.coalesce(F.sum("t").over(W.orderBy("r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))  # at most ``ranges`` rows
+    whole = F.sum("t").over(W.orderBy("r").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    placed = inside.join(F.broadcast(ahead.withColumn("whole", whole)), "r").select("v", (F.col("ahead") + F.col("upto") - F.col("n")).alias("first"), (F.col("ahead") + F.col("upto") - 1).alias("last"), "whole")
+    at = F.explode(F.array(*[F.lit(float(s)) for s in shares])).alias("share")
+    rank = F.col("share") * (F.col("whole") - 1)
+    near = placed.select("*", at).withColumns({"lo": F.floor(rank), "hi": F.ceil(rank), "part": rank - F.floor(rank)})
+    low = F.max(F.when(F.col("lo").between(F.col("first"), F.col("last")), F.col("v")))
+    high = F.max(F.when(F.col("hi").between(F.col("first"), F.col("last")), F.col("v")))
+    return near.groupBy("share").agg(low.alias("a"), high.alias("b"), F.max("part").alias("part")).select("share", (F.col("a") + (F.col("b") - F.col("a")) * F.col("part")).alias("quantile"))
+
+
 def quantile_bins(df: DataFrame, value: str, n: int = 8) -> DataFrame:
     """Adds ``bin``: right-closed bins at exact linear quantiles, repeated edges dropped; null and NaN go to bin 0."""
     v = F.nanvl(F.col(value).cast("double"), F.lit(None))
-    qs = ", ".join(str(i / n) for i in range(n + 1))
-    edges = df.select(v.alias("v")).agg(F.array_distinct(F.expr(f"percentile(v, array({qs}))")).alias("_e"))
+    found = exact_quantiles(df, value, [i / n for i in range(n + 1)])
+    edges = found.agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("share", "quantile"))), lambda x: x["quantile"])).alias("_e"))
     inner = F.slice("_e", 2, F.greatest(F.size("_e") - 2, F.lit(0)))
     placed = F.size(F.filter(inner, lambda e: e < v))
     # one row of at most n + 1 edges
@@ -56,3 +79,12 @@ def stratified_split(df: DataFrame, key: str, value: str, test_share: float, n:
 def union_splits(train: DataFrame, test: DataFrame) -> DataFrame:
     """Both frames with a ``split`` column."""
     return train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
+
+
+def regression_arrays(both: DataFrame, target: str = "target") -> dict[str, DataFrame]:
+    """train_X, train_y, test_X and test_y of a frame with ``split``; the features are all other columns."""
+    out = {}
+    for name in ("train", "test"):
+        part = both.where(F.col("split") == name)
+        out |= {f"{name}_X": part.drop(target, "split"), f"{name}_y": part.select(target)}
+    return out

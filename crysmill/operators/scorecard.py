@@ -11,6 +11,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions.names import canonical_name
+from .normalize import number
 
 FILL = {"worst": 0.0, "neutral": 0.5, "exclude": None}
 
@@ -39,23 +43,43 @@ class Scorecard:
         return out
 
     def value(self, df: DataFrame, name: str) -> Column:
+        if name not in df.columns and "properties" in df.columns:
+            return number(self.listed(name))
         c = F.col(f"`{name}`").cast("double")
         return F.nanvl(c, F.lit(None))
 
     def passes(self, df: DataFrame) -> Column:
         """The hard constraints; a missing value fails its own."""
-        tests = []
+        tests, plain = [], []
         for name, c in self.constraints.items():
-            if name not in df.columns:
+            listed = name not in df.columns and "properties" in df.columns
+            if name not in df.columns and not listed and not ("equals" in c and "metadata" in df.columns):
                 return F.lit(False)
             if "min" in c or "max" in c:
                 v = self.value(df, name)
                 tests += [v >= float(c["min"])] if "min" in c else []
                 tests += [v <= float(c["max"])] if "max" in c else []
+                if name in df.columns:  # the plain comparison is weaker on NaN only, and reaches the scan
+                    plain.append(reduce(lambda a, b: a & b, [F.col(f"`{name}`") >= F.lit(float(c["min"])) if k == "min" else F.col(f"`{name}`") <= F.lit(float(c["max"])) for k in ("min", "max") if k in c]))
             if "equals" in c:
-                raw = F.col(f"`{name}`")
-                tests.append(raw.cast("boolean") == F.lit(c["equals"]) if isinstance(c["equals"], bool) else raw == F.lit(c["equals"]))
-        return reduce(lambda a, b: a & b, [F.coalesce(t, F.lit(False)) for t in tests], F.lit(True))
+                # a property first, then the metadata
+                raw = F.col(f"`{name}`") if name in df.columns else self.listed(name) if listed else F.lit(None).cast("string")
+                if "metadata" in df.columns and isinstance(df.schema["metadata"].dataType, T.MapType):
+                    raw = F.coalesce(raw.cast("string"), F.try_element_at("metadata", F.lit(name)).cast("string"))
+                want = c["equals"]
+                tests.append(self.truth(raw) == F.lit(want) if isinstance(want, bool) else raw == F.lit(want))
+        return reduce(lambda a, b: a & b, [*plain, *[F.coalesce(t, F.lit(False)) for t in tests]], F.lit(True))
+
+    @staticmethod
+    def listed(name: str) -> Column:
+        """The first property of a name in the list ``properties``, as text."""
+        p = F.get(F.filter("properties", lambda x: x.isNotNull() & (canonical_name(x["name"]) == canonical_name(F.lit(name)))), 0)
+        return F.coalesce(F.nanvl(p["value"], F.lit(None)).cast("string"), p["value_text"])
+
+    @staticmethod
+    def truth(raw: Column) -> Column:
+        """Truth of a value by its text: nothing, zero and words for no are false."""
+        return F.when(raw.isNotNull(), ~F.lower(F.trim(raw.cast("string"))).isin("", "0", "0.0", "false", "no", "none"))
 
     def kept(self, df: DataFrame, policy: bool = True) -> DataFrame:
         """Rows that pass and have an objective; under ``exclude`` (with ``policy``) all of them."""
@@ -135,8 +159,6 @@ def mixed_markers(df: DataFrame, names: list[str]) -> dict[str, dict[str, list[s
 
 def mixed_conventions(df: DataFrame, names: list[str]) -> DataFrame:
     """(objective, marker, conventions) of the first property of each name in every record."""
-    from ..functions.names import canonical_name
-
     p = df.select(F.transform(F.filter("properties", lambda x: x.isNotNull()), lambda x: F.struct(canonical_name(x["name"]).alias("name"), x["method"].alias("method"), x["extra"].alias("extra"))).alias("ps"))
     wanted = F.explode(F.array(*[F.struct(F.lit(n).alias("objective"), canonical_name(F.lit(n)).alias("name")) for n in names])).alias("w")
     first = p.select("ps", wanted).select("w.objective", F.get(F.filter("ps", lambda x: x["name"] == F.col("w.name")), 0).alias("p")).where("p IS NOT NULL")

@@ -1,6 +1,6 @@
 """Records of remote sources from saved pages: a page reader and a Column-expression mapper for each source.
 
-Transport is out of scope of an offline engine. Pages are JSON files; ``PageSource`` is a Python data source whose
+``fetch`` has the loops that bring pages in. Saved pages are JSON files; ``PageSource`` is a Python data source whose
 partitions are the pages. Bad rows are left out by the mappers and told by ``skipped``.
 """
 
@@ -64,6 +64,12 @@ def _prop(name: str, value: Column, unit: str | None, source: str, method: str,
     return F.when(value.isNotNull(), F.struct(F.lit(name).alias("name"), value.alias("value"), F.lit(unit).alias("unit"), F.lit(source).alias("source"), F.lit(method).alias("method"), tags.alias("extra")))
 
 
+def provenance(source: str, source_id: Column | None = None, method: str = "dft", notes: str | None = None, parameters: dict | None = None) -> Column:
+    """STRUCT(source, method, source_id, notes, parameters): where a record comes from."""
+    told = F.create_map(*[F.lit(str(x)) for kv in parameters.items() for x in kv]) if parameters else F.create_map().cast("map<string,string>")
+    return F.struct(F.lit(source).alias("source"), F.lit(method).alias("method"), (F.lit(None).cast("string") if source_id is None else source_id).alias("source_id"), F.lit(notes).cast("string").alias("notes"), told.alias("parameters"))
+
+
 def _list(*props: Column) -> Column:
     return F.array_compact(F.array(*props)).cast(PROPERTIES)
 

@@ -14,9 +14,23 @@ PROPERTY = "struct<name: string, value: string, unit: string, source: string, me
 PROPERTY_KEYS = ("name", "value", "unit", "source", "method", "confidence", "uncertainty", "source_id", "extra", "context", "source_artifact")
 
 
-def jsonl_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of text files, blank ones left out."""
-    return spark.read.text(path).where(F.trim("value") != "").withColumnRenamed("value", "line")
+def jsonl_lines(spark: SparkSession, path: str, max_rows: int | None = None) -> DataFrame:
+    """Lines of text files, blank ones left out; ``max_rows`` counts physical lines, blank ones included, in file order."""
+    lines = spark.read.text(path)
+    if max_rows is not None:
+        lines = lines.limit(max_rows)
+    return lines.where(F.trim("value") != "").withColumnRenamed("value", "line")
+
+
+def demo_lines(spark: SparkSession, *paths: str) -> DataFrame:
+    """Records of the first path that is there; none of them gives an empty table."""
+    from ..runtime import _fs
+
+    for p in paths:
+        fs, where = _fs(spark, p)
+        if fs.exists(where):
+            return from_jsonl(spark, p)
+    return decode_materials(spark.createDataFrame([], "line string"))
 
 
 def text_lines(spark: SparkSession, content: str, max_rows: int | None = None) -> DataFrame:
@@ -41,8 +55,8 @@ def decode_materials(lines: DataFrame, line: str = "line") -> DataFrame:
     return doc.withColumns({"properties": F.transform("properties", entry), "reduced_formula": F.when(F.coalesce(F.trim(text), F.lit("")) == "", F.col("formula")).otherwise(text)})
 
 
-def from_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    return decode_materials(jsonl_lines(spark, path))
+def from_jsonl(spark: SparkSession, path: str, max_rows: int | None = None) -> DataFrame:
+    return decode_materials(jsonl_lines(spark, path, max_rows))
 
 
 def from_csv(spark: SparkSession, path: str, id_col: str = "material_id", formula_col: str = "formula", property_columns: list[str] | None = None) -> DataFrame:
@@ -88,10 +102,20 @@ def canonical_lines(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*[f"`{c}`" for c in df.columns])).alias("t")).mapInPandas(run, "line string")
 
 
+def lines_digest(lines: DataFrame, line: str = "value") -> tuple[int, str]:
+    """(lines, sha256) of a table of lines, whatever its partitions and order: the 256-bit digests of the lines, taken as
+    eight numbers of 32 bits each, are summed, and the sums are hashed with the count."""
+    h = F.sha2(F.col(line), 256)
+    parts = [F.sum(F.conv(F.substring(h, 8 * i + 1, 8), 16, 10).cast("decimal(38,0)")) for i in range(8)]
+    one = lines.agg(F.count("*"), *parts).first()
+    return one[0], hashlib.sha256("|".join(str(x or 0) for x in one).encode()).hexdigest()
+
+
 def content_id(df: DataFrame, order: list[str]) -> str:
-    """``mg_ds_`` and 16 hex digits of a table's content, whatever its partitions: the digests of the rows, summed."""
-    one = df.agg(F.count("*"), F.sum(F.xxhash64(F.to_json(F.struct(*sorted(df.columns)))).cast("decimal(38,0)"))).first()
-    return "mg_ds_" + hashlib.sha256(f"{','.join(order)}|{one[0]}|{one[1]}".encode()).hexdigest()[:16]
+    """``mg_ds_`` and 16 hex digits of a table's content, whatever its partitions."""
+    text = df.select(F.to_json(F.struct(*[f"`{c}`" for c in sorted(df.columns)])).alias("value"))
+    count, digest = lines_digest(text)
+    return "mg_ds_" + hashlib.sha256(f"{','.join(order)}|{count}|{digest}".encode()).hexdigest()[:16]
 
 
 def schema_document(schema: T.StructType, name: str) -> str:

@@ -83,14 +83,20 @@ class ResponseCache:
 
 
 def request(send, method: str, url: str, policy: Policy = Policy(), cache: ResponseCache | None = None, sleep=time.sleep, **options):
-    """The response, after retries of overload and server faults with growing waits or the server's own."""
+    """The response, after retries of overload, server faults and lost connections with growing waits or the server's own."""
     key = ResponseCache.key(method, url, options) if cache is not None and method.upper() == "GET" else None
     if key and (kept := cache.get(key)) is not None:
         return kept
     for attempt in range(policy.retries + 1):
-        status, headers, body = send(method, url, timeout=policy.timeout, **options)
-        if status not in RETRIED or attempt == policy.retries:
-            break
+        try:
+            status, headers, body = send(method, url, timeout=policy.timeout, **options)
+        except (ConnectionError, TimeoutError):
+            if attempt == policy.retries:
+                raise
+            headers = {}
+        else:
+            if status not in RETRIED or attempt == policy.retries:
+                break
         asked = str(headers.get("Retry-After", ""))
         sleep(min(policy.longest_wait, float(asked) if asked.replace(".", "", 1).isdigit() else policy.backoff * 2**attempt))
     if key and status < 400:

@@ -32,7 +32,7 @@ def test_slice_report_and_id(spark):
     d = bulk(spark).filter_elements(include=["Ti", "Al", "N"]).filter_complexity(4, 3)
     s = d.create_slice("v0", target="bulk_modulus")
     r = s.report()
-    assert (r["input_count"], r["output_count"], r["removed_count"], r["graph_export_excluded_count"]) == (4, 4, 0, 0)
+    assert (r["input_count"], r["output_count"], r["removed_count"], r["graph_export_excluded_count"]) == (4, 4, 0, 1)
     assert [x["name"] for x in r["filter_steps"]] == ["filter_elements", "filter_complexity"] and r["columns_used"] == ["elements", "nelements", "nsites"]
     assert r["slice_id"] == bulk(spark).filter_elements(include=["N", "Al", "Ti"]).filter_complexity(4, 3).create_slice("other name", target="bulk_modulus").slice_id
     assert r["slice_id"] != d.create_slice("v0").slice_id and len(r["slice_id"]) == 21
@@ -204,6 +204,41 @@ def test_densities(spark):
     assert row["d"] == pytest.approx(7.8742, abs=1e-3) and not row["c"]["consistent"] and "1/2" in row["c"]["diagnosis"]
     g = {r["material_id"]: r for r in graph.summary(cells(spark)).collect()}
     assert g["none"]["edge_count"] is None and g["rocksalt"]["one_way_edges"] == 0 and g["fe"]["space_group_status"] == "unknown"
+    r = g["rocksalt"]
+    assert (g["none"]["state"], r["state"], r["edges_truncated"]) == ("excluded", "valid", r["edge_count"] > 256) and (len(r["truncated_sources"]) > 0) == ("neighbour lists were cut after a whole shell" in r["warnings"]) and r["node_feature_shape"] == [r["n_sites"], 103]
+    assert len(r["edges"]) == min(256, r["edge_count"]) and [e["edge_no"] for e in r["edges"]] == list(range(len(r["edges"]))) and len(r["nodes"]) == len(r["coordination_numbers"]) == r["n_sites"]
+    few = {r["material_id"]: r for r in graph.summary(cells(spark, {"rocksalt"}), max_edges=3).collect()}["rocksalt"]
+    assert few["edges_truncated"] and len(few["edges"]) == 3 and few["warnings"][-1] == "only the first 3 edges are shown"
+
+
+def test_site_features(spark):
+    f = graph.node_features(cells(spark, {"fe"})).first()["features"]
+    assert len(f) == len(graph.FEATURE_LABELS) == 103 and f[25] == 1.0 and sum(f[:100]) == 1.0 and f[100:] == [1.83, 1.4, 8.0]
+    odd = spark.createDataFrame([("x", ([[1.0, 0.0, 0.0]], ["Zz", "He"], []))], "material_id string, structure struct<lattice: array<array<double>>, species: array<string>, coords: array<array<double>>>")
+    assert [r["features"][100:] for r in graph.node_features(odd).orderBy("idx").collect()] == [[0.0, 0.0, 0.0], [0.0, 0.0, 18.0]]
+    assert [r["radius"] for r in graph.covalent_radius(odd).collect()] == [0.0, 0.0]
+
+
+def test_dataset_exports(spark, tmp_path):
+    d = bulk(spark)
+    e, excluded = d.to_graphs(4.0, 6)
+    assert excluded == 1 and e.select("material_id").distinct().count() == 3
+    assert d.to_graphs(builder=lambda s, key, cutoff, k: s.select(key))[0].count() == 3
+    m = {r["material_id"]: r for r in d.to_materials().collect()}
+    assert len(m) == 4 and {p["name"] for r in m.values() for p in r["properties"]} == set(ds.scalar_columns(d.df)) and all(p["value"] is not None for r in m.values() for p in r["properties"] if p["name"] == "density")
+    assert len(d.to_pandas()) == 4
+    with pytest.raises(ValueError):
+        d.to_pandas(max_rows=3)
+    one = d.export(str(tmp_path / "out"))
+    assert one["count"] == 4 and len(one["sha256"]) == 64 and one == bulk(spark).export(str(tmp_path / "again"))
+    text = spark.createDataFrame([("a", "TiN", '{"lattice": [[1,0,0],[0,1,0],[0,0,1]], "species": ["Ti"], "coords": [[0,0,0]]}'), ("b", "TiN", "no json"), ("c", "TiN", "  "), ("d", "TiN", None)], "material_id string, formula string, structure string")
+    assert [r["n"] for r in ds.MaterialsDataset.of(text).df.selectExpr("size(structure.species) AS n", "material_id").orderBy("material_id").collect()] == [1, None, None, None]
+    flags = spark.createDataFrame([("a", "TiN", True, " hard ", None), ("b", "TiN", False, "", None)], "material_id string, formula string, checked boolean, note string, empty double")
+    got = {r["material_id"]: {p["name"]: p["value_text"] for p in r["properties"]} for r in ds.MaterialsDataset.of(flags).to_materials().collect()}
+    assert got == {"a": {"checked": "True", "note": "hard"}, "b": {"checked": "False"}}
+    mixed = spark.createDataFrame([("a", "TiN", ([[1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]], [{"Ti": 0.5, "V": 0.5}], [[0.0, 0.0, 0.0]]))], "material_id string, formula string, structure struct<lattice: array<array<double>>, species: array<map<string,double>>, coords: array<array<double>>>")
+    with pytest.raises(ValueError):
+        ds.MaterialsDataset.of(mixed).to_graphs()
 
 
 def test_converters(spark):

@@ -59,7 +59,9 @@ def test_import_csv(spark):
     assert set(got) == {"a", "b"} and got["a"]["properties"][0]["value"] == 5.4 and got["b"]["properties"][0]["value_text"] == "n/a" and got["a"]["provenance"]["source_id"] == "y.csv"
     assert rep.status == "degraded" and (rep.row_count, rep.accepted_count, rep.rejected_count) == (8, 2, 6)
     assert rep.issue_counts == {"duplicate_id": 1, "invalid_formula": 1, "invalid_structure": 1, "column_count": 1, "bad_quoting": 1, "missing_identity": 1}
-    assert importer.import_lines(lines(spark, texts), "csv", cols, "y.csv")[1].status == "invalid"
+    with pytest.raises(importer.ImportRejected) as refused:
+        importer.import_lines(lines(spark, texts), "csv", cols, "y.csv")
+    assert refused.value.report.status == "invalid" and refused.value.report.rejected_count == 6
     assert importer.import_lines(lines(spark, texts[:2]), "csv", cols, "y.csv")[1].status == "ready"
     with pytest.raises(ValueError):
         importer.import_lines(lines(spark, texts), "csv", cols, "y.csv", max_rows=3)
@@ -71,6 +73,83 @@ def test_import_jsonl(spark):
     assert {r["material_id"] for r in good.collect()} == {"a", "b"} and rep.issue_counts == {"malformed_jsonl": 2} and rep.row_count == 4
 
 
+def test_import_content(spark):
+    good = b'material_id,formula,density\na,TiN,5.4\nb,AlN,"3.2"\n'
+    one = importer.import_content(spark, "c:/x/up.csv", "csv", good)
+    assert one.report.status == "ready" and one.manifest["filename"] == "up.csv" and len(one.manifest["raw_sha256"]) == 64 and one.dataset_id == "mg_ds_" + one.manifest["normalized_sha256"][:16]
+    assert [p["material_id"] for p in one.preview] == ["a", "b"] and one.preview[0]["provenance"]["checksum"] == one.manifest["raw_sha256"] and one.manifest["created_at"].endswith("Z")
+    bad = good + b"b,AlN,1\n,TiN,2\nc,TiN\n"
+    with pytest.raises(importer.ImportRejected) as refused:
+        importer.import_content(spark, "up.csv", "csv", bad)
+    assert refused.value.report.issue_counts == {"duplicate_id": 1, "missing_identity": 1, "column_count": 1} and [i.row for i in refused.value.report.issues] == [3, 4, 5]
+    kept = importer.import_content(spark, "up.csv", "csv", bad, error_policy="skip_invalid")
+    assert kept.report.status == "degraded" and kept.records.count() == 2
+    with pytest.raises(importer.ImportRejected):
+        importer.import_content(spark, "up.csv", "csv", b"material_id,formula\n,\n", error_policy="skip_invalid")
+    with pytest.raises(ValueError):
+        importer.import_content(spark, "up.csv", "csv", good, max_bytes=10)
+    with pytest.raises(ValueError):
+        importer.import_content(spark, "up.csv", "csv", good, error_policy="other")
+    look = importer.inspect_content(spark, "up.csv", "csv", bad)
+    assert (look.status, look.row_count, look.rejected_count) == ("invalid", 5, 1) and look.checksum == importer.inspect_content(spark, "x", "csv", bad).checksum
+    odd = importer.import_content(spark, "u.jsonl", "jsonl", b'{"material_id": "a", "formula": "TiN", "gap": 1}\n{"material_id": "b", "formula": "TiN", "gap": NaN}\n', error_policy="skip_invalid")
+    assert odd.report.rejected_count == 1
+
+
+def served(pages, calls):
+    def send(method, url, timeout=None, **options):
+        calls.append((method, url, options))
+        return pages[len(calls) - 1]
+
+    return send
+
+
+def test_fetch_loops(spark):
+    from crysmill.sources import fetch
+    from crysmill.sources.transport import ConnectorQuery, Policy
+
+    doc = lambda i: {"material_id": f"mp-{i}", "formula_pretty": "Fe", "density": 1.0 + i, "energy_above_hull": 0.0}
+    calls = []
+    got = fetch.materials_project(spark, ConnectorQuery(elements=("Fe",), properties=("rho",), max_records=3, page_size=2), served([(200, {}, {"data": [doc(0), doc(1)]}), (200, {}, {"data": [doc(2), doc(3)]})], calls))
+    assert sorted(r["material_id"] for r in got.records.collect()) == ["mp-0", "mp-1", "mp-2"] and len(calls) == 2 and calls[1][2]["params"] == {"elements": "Fe", "_skip": 2, "_limit": 2}
+    first = got.records.first()
+    assert [p["name"] for p in first["properties"]] == ["density"] and first["provenance"][0]["source"] == "materials_project" and first["provenance"][0]["source_id"] == first["material_id"]
+    calls = []
+    assert fetch.materials_project(spark, ConnectorQuery(), served([], calls)).records.count() == 0 and calls == []
+    calls = []
+    entry = lambda i: {"entry_id": f"e{i}", "results": {"material": {"chemical_formula_reduced": "NTi", "elements": ["Ti", "N"]}}}
+    pages = [(503, {"Retry-After": "0"}, ""), (200, {}, json.dumps({"data": [entry(0), {}], "pagination": {"next_page_after_value": "e0"}})), (200, {}, {"data": [entry(1)], "pagination": {}})]
+    got = fetch.nomad(spark, ConnectorQuery(elements=("Ti",), max_records=5, page_size=2), served(pages, calls), Policy(backoff=0.0))
+    assert got.records.count() == 2 and got.n_rows == 3 and got.warnings == ["1 malformed rows left out"] and calls[2][2]["json"]["pagination"]["page_after_value"] == "e0"
+    with pytest.raises(ValueError):
+        fetch.nomad(spark, ConnectorQuery(properties=("density",)), None)
+    calls = []
+    got = fetch.optimade(spark, ConnectorQuery(elements=("Na", "Cl"), max_records=3, page_size=2), served([(200, {}, {"data": [nacl(), nacl(id="asm", structure_features=["assemblies"])], "links": {"next": {"href": "http://x/next"}}}), (200, {}, {"data": [nacl(id="2")], "links": {"next": None}})], calls), "oqmd", "http://x/")
+    assert {r["material_id"] for r in got.records.collect()} == {"oqmd:1", "oqmd:2"} and got.warnings == ["asm: assemblies"] and calls[0][2]["params"]["filter"] == 'elements HAS ALL "Na", "Cl"' and calls[1][1] == "http://x/next"
+    with pytest.raises(fetch.FetchError):
+        fetch.optimade(spark, ConnectorQuery(), served([(404, {}, "")], []), "oqmd", "http://x")
+    rows = spark.createDataFrame([(f"J{i}", f, ([[1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]], ["Ti"], [[0.0, 0.0, 0.0]], False), "1", "2", "3") for i, f in enumerate(["TiN", "AlN", "bad!", "Fe"])], "jid string, formula string, atoms struct<lattice_mat: array<array<double>>, elements: array<string>, coords: array<array<double>>, cartesian: boolean>, optb88vdw_total_energy string, bulk_modulus_kv string, shear_modulus_gv string")
+    assert [r["material_id"] for r in fetch.jarvis(rows, ConnectorQuery(elements=("Ti", "Al"), max_records=5)).records.collect()] == ["jarvis:J0", "jarvis:J1"] and fetch.jarvis(rows, ConnectorQuery(max_records=3)).records.count() == 3
+    with pytest.raises(ValueError):
+        fetch.jarvis(rows, ConnectorQuery(source_ids=("J0",)))
+
+
+def test_lost_connections_are_tried_again():
+    from crysmill.sources.transport import Policy, request
+
+    calls = []
+
+    def send(*a, **k):
+        calls.append(a)
+        if len(calls) < 3:
+            raise ConnectionError("gone")
+        return 200, {}, "ok"
+
+    assert request(send, "GET", "u", Policy(retries=2), sleep=lambda s: None)[2] == "ok"
+    with pytest.raises(ConnectionError):
+        calls.clear() or request(send, "GET", "u", Policy(retries=1), sleep=lambda s: None)
+
+
 def bodies(spark, docs):
     return spark.createDataFrame([(json.dumps(d),) for d in docs], "body string")
 
@@ -128,13 +207,36 @@ def test_catalog(spark, tmp_path):
     first = c.materialize("d1")
     assert c.materialize("d1") is first and first.count() == 2 and c.stats()["active_dataset_id"] == "d1"
     c.register("d3", spark.range(1))
-    assert c.list() == ["d1", "d3"]
+    assert c.list() == ["d1", "d3"] and not (tmp_path / "d0").exists() and not (tmp_path / "d2").exists()
+    again = catalog.Catalog(spark, str(tmp_path), 2)
+    assert again.list() == ["d1", "d3"] and again.status("d0") == "evicted" and again.status("x") == "unknown" and again.status("d3") == "present" and again.stats()["normalized_bytes"] > 0
+    assert again.materialize("d1").count() == 2 and catalog.Catalog(spark, str(tmp_path), 2).list() == ["d3", "d1"]
+    assert again.export("d1", str(tmp_path / "out"))["count"] == 2
+    small = catalog.Catalog(spark, str(tmp_path / "small"), 8, 10)
+    with pytest.raises(ValueError):
+        small.register("big", spark.range(9))
     c.delete("d1")
     assert c.stats()["entry_count"] == 1 and c.stats()["active_dataset_id"] is None
     c.clear()
     assert c.list() == []
 
 
+def test_preflight_leader_and_verdict(spark):
+    from crysmill.operators.scorecard import Scorecard
+
+    cell = ([[4.0, 0.0, 0.0], [0.0, 4.0, 0.0], [0.0, 0.0, 4.0]], ["Al"], [[0.0, 0.0, 0.0]])
+    df = spark.createDataFrame([(f"m{i}", cell if i else None, float(i), 0.01 * i) for i in range(5)], "material_id string, structure struct<lattice: array<array<double>>, species: array<string>, coords: array<array<double>>>, density double, hull double")
+    card = Scorecard({"density": "minimize"}, {"hull": {"max": 0.03}})
+    p = catalog.preflight(df, card)
+    assert p["status"] == "degraded" and p["graph"] == {"included_count": 4, "excluded_count": 1, "invalid_count": 0, "validation_state": "valid"} and p["ranking"]["ranked_count"] == 4 and p["default_material_id"] == "m0"
+    assert [c["status"] for c in p["checks"]] == ["pass", "pass", "pass", "warn"] and catalog.preflight(df, card, reference=True)["status"] == "ready"
+    assert catalog.default_leader(Scorecard({"density": "minimize"}, {"hull": {"max": -1.0}}), df) == "m0" and catalog.default_leader(card, df.limit(0)) is None
+    v = spark.createDataFrame([(None, None), (0.3, 0.0), (0.1, 0.2), (float("nan"), 0.01), (0.3, 0.2)], "f double, h double")
+    assert [tuple(r["v"]) for r in v.select(catalog.constraint_verdict(F.col("f"), F.col("h"), 0.2, 0.05).alias("v")).collect()] == [("", "no data"), ("fail", "force"), ("fail", "hull"), ("pass", "pass"), ("fail", "force")]
+    assert catalog.slice_readiness(df.where("density < 3"), df) == {"included_count": 2, "excluded_count": 1}
+    assert {r["state"] for r in catalog.capabilities(spark).collect()} >= {"offered", "not_offered"}
+
+
 def test_stream_first_deliveries(spark, tmp_path):
     df = spark.range(20).selectExpr("id % 5 AS k", "timestamp_seconds(1700000000 + id) AS ts", "id AS n")
     df.coalesce(1).write.parquet(str(tmp_path / "in"))

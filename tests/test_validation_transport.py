@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from crysmill.operators import validation
 from crysmill.plans import curation
@@ -63,3 +64,14 @@ def test_snapshot(spark):
     assert got == [0, 2, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 17, 19]
     m = curation.manifest(s, len(rows))
     assert m["snapshot_count"] == 16 and m["groups"] == {"Al-N": 8, "Ti-N": 8} and m == curation.manifest(s.repartition(3), len(rows))
+
+
+def test_cohort_and_forces(spark):
+    rows = [(i, c, 0.01, 0.1) for i, c in enumerate(["Al-N"] * 8 + ["Ti-N"] * 8 + ["Ti-Al-N"] * 8)]
+    kinds = "row_no int, chemistry string, dft_hull double, max_force double"
+    assert curation.check_cohort(spark.createDataFrame(rows, kinds)).count() == 24
+    for bad in (rows[1:], [*rows, (99, "Al-N", 0.0, 0.0)], [(i, c, 0.2, 0.1) for i, c, _, _ in rows]):
+        with pytest.raises(ValueError):
+            curation.check_cohort(spark.createDataFrame(bad, kinds))
+    f = spark.createDataFrame([([[0.0, 1.0, 2.0]], 1), ([[0.0, float("nan"), 2.0]], 1), ([[0.0, 1.0]], 1), ([[0.0, 1.0, 2.0]], 2), (None, 1), ([None], 1)], "forces array<array<double>>, nsites int")
+    assert [r[0] for r in f.select(curation.valid_forces(F.col("forces"), F.col("nsites"))).collect()] == [True, False, False, False, False, False]
