@@ -49,7 +49,7 @@ def derive(df: DataFrame, k: str = "bulk_modulus", g: str = "shear_modulus", den
     return df.withColumns({"youngs_modulus": e, "poisson_ratio": nu, "pugh_ratio": F.when(ok, gc / kc), "ductility": ductility(nu), "specific_stiffness": F.when(ok & usable, e / rho), "elastic_warnings": warnings})
 
 
-def _first(name: str) -> Column:
+def first_property(name: str) -> Column:
     """The first property of a canonical name in ``properties``, or null."""
     return F.get(F.filter("properties", lambda p: p.isNotNull() & (canonical_name(p["name"]) == name)), 0)
 
@@ -60,7 +60,7 @@ def elastic_frame(materials: DataFrame) -> DataFrame:
     The first property of a name counts. A modulus without a unit is taken as GPa with a warning, one in an unsupported
     unit is missing; the method is kept only if both moduli have the same.
     """
-    p = materials.select("material_id", _first("bulk_modulus").alias("k"), _first("shear_modulus").alias("g"), _first("density").alias("d"))
+    p = materials.select("material_id", first_property("bulk_modulus").alias("k"), first_property("shear_modulus").alias("g"), first_property("density").alias("d"))
 
     def gpa(c: str) -> Column:
         v = F.coalesce(no_nan(F.col(f"{c}.value")), number(F.col(f"{c}.value_text")))

@@ -97,7 +97,8 @@ def p5_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rejects.report(_import_rows(spark, sf_dir), table(spark, sf_dir, "import_report"))
+    r = rejects.report(_import_rows(spark, sf_dir), table(spark, sf_dir, "import_report"))
+    return r.withColumn("issue_counts", F.coalesce(F.array_join("issue_counts", ";"), F.lit("")))
 
 
 def p5_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import cookbook, core_problems, screening
+from . import cookbook, core_problems, oracles, screening
 
 MODULES = [cookbook, screening, core_problems]
 
@@ -18,4 +18,4 @@ def oracle_sql() -> dict:
     out = {}
     for m in MODULES:
         out.update(m.ORACLE)
-    return out
+    return out | oracles.build(screening.EDGES)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.lattice import volume
@@ -14,7 +13,8 @@ from ..operators import elastic, graph, metrics, normalize, simulation
 from ..operators.scorecard import Scorecard, mixed_conventions
 from ..operators.units import property_entries
 from ..runtime import Scratch, shared_dir, table
-from ..sources import connectors, readers
+from . import curation
+from ..sources import catalog, connectors, fetch, readers
 
 QUERIES, ORACLE = {}, {}
 
@@ -168,8 +168,7 @@ def pivot_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT record_no, first(p.value ORDER BY prop_no) AS density FROM (SELECT record_no, prop_no, p FROM ({_ENTRIES}) WHERE p IS NOT NULL AND {_CANON} = 'density') GROUP BY record_no")
 def first_property(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = table(spark, sf_dir, "materials_sample")
-    p = F.get(F.filter("properties", lambda x: x.isNotNull() & (canonical_name(x["name"]) == "density")), 0)
-    return m.select("record_no", p.alias("p")).where("p IS NOT NULL").select("record_no", F.col("p.value").alias("density"))
+    return m.select("record_no", elastic.first_property("density").alias("p")).where("p IS NOT NULL").select("record_no", F.col("p.value").alias("density"))
 
 
 @query("""SELECT record_no, array_to_string(list_filter([CASE WHEN coalesce(trim(material_id) = '', true) THEN 'material_id_empty' END, CASE WHEN coalesce(trim(formula) = '', true) THEN 'formula_empty' END], lambda x: x IS NOT NULL), ';') AS faults FROM materials_sample""")
@@ -181,7 +180,8 @@ def identity_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def record_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "materials_sample")
-    return t.select("record_no", normalize.record_faults().alias("faults"), normalize.structure_faults(F.col("structure")).alias("structure_faults")).where("size(faults) > 0 OR size(structure_faults) > 0")
+    told = t.select("record_no", normalize.record_faults().alias("f"), normalize.structure_faults(F.col("structure")).alias("s")).where("size(f) > 0 OR size(s) > 0")
+    return told.select("record_no", F.array_join("f", ";").alias("faults"), F.coalesce(F.array_join("s", ";"), F.lit("")).alias("structure_faults"))
 
 
 _DET = "abs(l[1][1] * (l[2][2] * l[3][3] - l[2][3] * l[3][2]) - l[1][2] * (l[2][1] * l[3][3] - l[2][3] * l[3][1]) + l[1][3] * (l[2][1] * l[3][2] - l[2][2] * l[3][1]))"
@@ -197,7 +197,7 @@ def cell_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
 def density_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _bulk(spark, sf_dir).where("structure IS NOT NULL")
     c = normalize.density_check(F.col("density"), normalize.cell_density(F.col("structure.lattice"), F.col("structure.species")))
-    return t.select("row_no", c.alias("c")).select("row_no", "c.*")
+    return t.select("row_no", c.alias("c")).select("row_no", F.round("c.ratio", 6).alias("ratio"), "c.consistent", "c.diagnosis")
 
 
 # --- scorecards
@@ -249,8 +249,7 @@ def mixed_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH r AS ({_card_sql('worst')}) SELECT r.row_no, r.score, r.density, r.bulk_modulus, b.energy_above_hull, b.nsites FROM r JOIN lemat_bulk_sample b USING (row_no)")
 def rank_audit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = Scorecard(CARD, LIMITS).rank(_bulk(spark, sf_dir), "row_no")
-    return ranked.join(_bulk(spark, sf_dir).select("row_no", "energy_above_hull", "nsites"), "row_no", "left")
+    return catalog.rank_audit(Scorecard(CARD, LIMITS), _bulk(spark, sf_dir), "row_no")[0]
 
 
 # --- elasticity
@@ -282,7 +281,7 @@ i AS (SELECT a.range AS ia, b.range AS ib, c.range AS ic FROM range(-4, 5) a, ra
 w AS (SELECT record_no, src, dst, ia, ib, ic, l, x[dst + 1][1] + ia - x[src + 1][1] AS d0, x[dst + 1][2] + ib - x[src + 1][2] AS d1, x[dst + 1][3] + ic - x[src + 1][3] AS d2 FROM v, i),
 c AS (SELECT record_no, src, dst, ia, ib, ic, d0 * l[1][1] + d1 * l[2][1] + d2 * l[3][1] AS dx, d0 * l[1][2] + d1 * l[2][2] + d2 * l[3][2] AS dy, d0 * l[1][3] + d1 * l[2][3] + d2 * l[3][3] AS dz FROM w),
 p AS (SELECT record_no, src, dst, ia, ib, ic, sqrt(dx * dx + dy * dy + dz * dz) AS dist FROM c WHERE sqrt(dx * dx + dy * dy + dz * dz) > 1e-5 AND sqrt(dx * dx + dy * dy + dz * dz) <= 4.0e0)"""
-_EDGES = _PAIRS + """, r AS (SELECT *, row_number() OVER (PARTITION BY record_no, src ORDER BY dist, dst, ia, ib, ic) AS rn FROM p),
+EDGES = _PAIRS + """, r AS (SELECT *, row_number() OVER (PARTITION BY record_no, src ORDER BY dist, dst, ia, ib, ic) AS rn FROM p),
 m AS (SELECT *, max(CASE WHEN rn = 8 THEN dist END) OVER (PARTITION BY record_no, src) AS lim FROM r),
 k AS (SELECT record_no, src, dst, ia, ib, ic, dist FROM m WHERE lim IS NULL OR dist <= lim + 1e-5),
 e AS (SELECT record_no, src, dst, ia, ib, ic, min(dist) AS dist FROM (SELECT * FROM k UNION ALL SELECT record_no, dst, src, -ia, -ib, -ic, dist FROM k) GROUP BY ALL)"""
@@ -297,34 +296,40 @@ def neighbour_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.candidates(table(spark, sf_dir, "materials_sample"), "record_no", 4.0).groupBy(F.col("key").alias("record_no")).agg(F.count("*").alias("n_pairs"), F.round(F.min("dist"), 6).alias("shortest"))
 
 
-@query(_EDGES + " SELECT record_no, count(*) AS n_edges, round(max(dist), 6) AS longest FROM e GROUP BY record_no")
+@query(EDGES + " SELECT record_no, count(*) AS n_edges, round(max(dist), 6) AS longest FROM e GROUP BY record_no")
 def neighbour_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _graph(spark, sf_dir).groupBy("record_no").agg(F.count("*").alias("n_edges"), F.round(F.max("dist"), 6).alias("longest"))
 
 
-@query(_EDGES + " SELECT count(*) AS one_way FROM e WHERE NOT EXISTS (SELECT 1 FROM e b WHERE b.record_no = e.record_no AND b.src = e.dst AND b.dst = e.src AND b.ia = -e.ia AND b.ib = -e.ib AND b.ic = -e.ic)")
+@query(EDGES + " SELECT count(*) AS one_way FROM e WHERE NOT EXISTS (SELECT 1 FROM e b WHERE b.record_no = e.record_no AND b.src = e.dst AND b.dst = e.src AND b.ia = -e.ia AND b.ib = -e.ib AND b.ic = -e.ic)")
 def reciprocity_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.one_way(_graph(spark, sf_dir), "record_no").agg(F.count("*").alias("one_way"))
 
 
-@query(_EDGES + ", f AS (SELECT *, min(dist) OVER (PARTITION BY record_no, src) AS d1 FROM e) SELECT record_no, src, count(*) FILTER (dist <= d1 + 0.1e0) AS coordination FROM f GROUP BY record_no, src")
+@query(EDGES + ", f AS (SELECT *, min(dist) OVER (PARTITION BY record_no, src) AS d1 FROM e) SELECT record_no, src, count(*) FILTER (dist <= d1 + 0.1e0) AS coordination FROM f GROUP BY record_no, src")
 def coordination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.coordination(_graph(spark, sf_dir), "record_no")
 
 
-@query(_EDGES + ", g AS (SELECT *, CASE WHEN dist - lag(dist) OVER (PARTITION BY record_no ORDER BY dist) > 0.1e0 THEN 1 ELSE 0 END AS cut FROM e), h AS (SELECT *, sum(cut) OVER (PARTITION BY record_no ORDER BY dist) AS shell_no FROM g) SELECT record_no, CAST(shell_no AS BIGINT) AS shell_no, round(avg(dist), 6) AS mean_distance, count(*) AS n FROM h GROUP BY record_no, shell_no")
+@query(EDGES + ", g AS (SELECT *, CASE WHEN dist - lag(dist) OVER (PARTITION BY record_no ORDER BY dist) > 0.1e0 THEN 1 ELSE 0 END AS cut FROM e), h AS (SELECT *, sum(cut) OVER (PARTITION BY record_no ORDER BY dist) AS shell_no FROM g) SELECT record_no, CAST(shell_no AS BIGINT) AS shell_no, round(avg(dist), 6) AS mean_distance, count(*) AS n FROM h GROUP BY record_no, shell_no")
 def distance_shells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.shells(_graph(spark, sf_dir), "record_no").select("record_no", F.col("shell_no").cast("bigint").alias("shell_no"), F.round("mean_distance", 6).alias("mean_distance"), "n")
 
 
 @query()
 def graph_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.summary(table(spark, sf_dir, "materials_sample").select("record_no", "structure"), "record_no", 4.0, 8)
+    s = graph.summary(table(spark, sf_dir, "materials_sample").select("record_no", "structure"), "record_no", 4.0, 8)
+    same = ("record_no", "n_sites", "edge_count", "added_edges", "zero_distances", "one_way_edges", "displacement_consistent", "edges_truncated", "state")
+    return s.select(*same, F.round("shortest", 6).alias("shortest"), F.round("mean_coordination", 6).alias("mean_coordination"), F.greatest(F.size("edges"), F.lit(0)).cast("bigint").alias("n_shown"), F.size("truncated_sources").cast("bigint").alias("n_truncated"))
 
 
 @query()
 def node_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.nodes(table(spark, sf_dir, "materials_sample"), "record_no").withColumn("one_hot", graph.one_hot(F.col("atomic_number")))
+    m = table(spark, sf_dir, "materials_sample")
+    f = F.col("features")
+    # the whole vector, told by its length, the place of its one and its last three values
+    told = graph.node_features(m, "record_no").select("record_no", "idx", F.size(f).alias("n_features"), F.array_position(F.slice(f, 1, 100), 1.0).cast("int").alias("hot_at"), F.get(f, 100).alias("electronegativity"), F.get(f, 101).alias("atomic_radius"), F.get(f, 102).alias("group"))
+    return graph.nodes(m, "record_no").select("record_no", "idx", "species", "atomic_number").join(told, ["record_no", "idx"])
 
 
 # --- metrics
@@ -365,7 +370,9 @@ def quantile_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.stratified_split(_bulk(spark, sf_dir).select("row_no", "density"), "row_no", "density", 0.2)
+    """Rows of each bin and split; which ones they are is up to the seed."""
+    done = metrics.stratified_split(_bulk(spark, sf_dir).select("row_no", "density"), "row_no", "density", 0.2)
+    return done.groupBy("bin", "split").agg(F.count("*").alias("n"))
 
 
 @query("SELECT 'train' AS split, count(*) AS n FROM shortlist_example WHERE shortlist_no % 2 = 0 UNION ALL SELECT 'test', count(*) FROM shortlist_example WHERE shortlist_no % 2 <> 0")
@@ -376,44 +383,43 @@ def union_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- joins, windows, lookups
-_LAST = "SELECT material_id, arg_max(score, struct_pack(a := scored_at, b := shortlist_no, c := score)) AS score FROM shortlist_example WHERE score IS NOT NULL AND NOT isnan(score) GROUP BY material_id"
+# the lowest energy of each immutable id stands for a hull table of its own
+_HULL = "(SELECT immutable_id, min(energy_above_hull) AS dft_hull FROM lemat_bulk_sample WHERE immutable_id IS NOT NULL AND NOT isnan(energy_above_hull) GROUP BY 1)"
+_OK_CELL = """len(structure.lattice) = 3 AND len(list_filter(structure.lattice, lambda r: coalesce(len(r) = 3 AND len(list_filter(r, lambda x: x IS NULL OR isnan(x))) = 0, false))) = 3 AND abs(structure.lattice[1][1] * (structure.lattice[2][2] * structure.lattice[3][3] - structure.lattice[2][3] * structure.lattice[3][2]) - structure.lattice[1][2] * (structure.lattice[2][1] * structure.lattice[3][3] - structure.lattice[2][3] * structure.lattice[3][1]) + structure.lattice[1][3] * (structure.lattice[2][1] * structure.lattice[3][2] - structure.lattice[2][2] * structure.lattice[3][1])) > 1e-9
+AND len(structure.species) = nsites AND len(structure.coords) = nsites AND len(list_filter(structure.coords, lambda r: coalesce(len(r) = 3 AND len(list_filter(r, lambda x: x IS NULL OR isnan(x))) = 0, false))) = nsites"""
+_CURATED = f"""SELECT b.row_no, b.immutable_id, b.structure_fingerprint, b.nsites, h.dft_hull, CASE WHEN list_contains(elements, 'Ti') AND list_contains(elements, 'Al') THEN 'Ti-Al-N' WHEN list_contains(elements, 'Ti') THEN 'Ti-N' ELSE 'Al-N' END AS chemistry FROM lemat_bulk_sample b JOIN {_HULL} h USING (immutable_id)
+WHERE nelements BETWEEN 2 AND 3 AND nsites <= 16 AND list_contains(elements, 'N') AND (list_contains(elements, 'Ti') OR list_contains(elements, 'Al')) AND trim(structure_fingerprint) <> '' AND {_OK_CELL}"""
+
+
+def _hull(spark, sf_dir) -> DataFrame:
+    t = _bulk(spark, sf_dir).where("immutable_id IS NOT NULL AND NOT isnan(energy_above_hull)")
+    return t.groupBy("immutable_id").agg(F.min("energy_above_hull").alias("dft_hull"))
 
 
-@query(f"SELECT b.row_no, b.material_id, h.score FROM lemat_bulk_sample b JOIN ({_LAST}) h USING (material_id)")
+@query(f"SELECT row_no, immutable_id, dft_hull, chemistry FROM ({_CURATED})")
 def hull_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "shortlist_example").where("score IS NOT NULL AND NOT isnan(score)")
-    last = s.groupBy("material_id").agg(F.max_by("score", F.struct("scored_at", "shortlist_no", "score")).alias("score"))
-    return _bulk(spark, sf_dir).select("row_no", "material_id").join(last, "material_id")
+    return curation.candidates(_bulk(spark, sf_dir), _hull(spark, sf_dir)).select("row_no", "immutable_id", "dft_hull", "chemistry")
 
 
 @query("SELECT structure_fingerprint, min(row_no) AS row_no FROM lemat_bulk_sample WHERE trim(structure_fingerprint) <> '' GROUP BY structure_fingerprint")
 def dedup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _bulk(spark, sf_dir).where(ds.present("structure_fingerprint"))
-    return t.groupBy("structure_fingerprint").agg(F.min("row_no").alias("row_no"))
+    return curation.first_of_each(_bulk(spark, sf_dir).select("structure_fingerprint", "row_no"))
 
 
-@query("""WITH c AS (SELECT row_no, material_id, elements, nsites, energy_above_hull, bulk_modulus, row_number() OVER (PARTITION BY structure_fingerprint ORDER BY row_no) AS f FROM lemat_bulk_sample
-  WHERE nelements BETWEEN 2 AND 3 AND nsites <= 16 AND trim(structure_fingerprint) <> '' AND list_contains(elements, 'N') AND (list_contains(elements, 'Ti') OR list_contains(elements, 'Al'))),
-g AS (SELECT row_no, material_id, CASE WHEN list_contains(elements, 'Ti') AND list_contains(elements, 'Al') THEN 'Ti-Al-N' WHEN list_contains(elements, 'Ti') THEN 'Ti-N' ELSE 'Al-N' END AS chemistry, energy_above_hull, nsites FROM c WHERE f = 1)
-SELECT row_no, material_id, chemistry FROM (SELECT *, row_number() OVER (PARTITION BY chemistry ORDER BY energy_above_hull ASC NULLS LAST, nsites, row_no) AS p FROM g) WHERE p <= 8""")
+@query(f"""WITH f AS (SELECT *, row_number() OVER (PARTITION BY structure_fingerprint ORDER BY row_no) AS p FROM ({_CURATED}))
+SELECT row_no, chemistry, place FROM (SELECT row_no, chemistry, CAST(row_number() OVER (PARTITION BY chemistry ORDER BY dft_hull, nsites, immutable_id, row_no) AS INTEGER) AS place FROM f WHERE p = 1) WHERE place <= 8""")
 def curated_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = lambda x: F.array_contains("elements", x)
-    t = _bulk(spark, sf_dir).where("nelements BETWEEN 2 AND 3 AND nsites <= 16").where(ds.present("structure_fingerprint") & e("N") & (e("Ti") | e("Al")))
-    first = t.groupBy("structure_fingerprint").agg(F.min_by(F.struct("row_no", "material_id", "elements", "energy_above_hull", "nsites"), "row_no").alias("r")).select("r.*")
-    g = first.withColumn("chemistry", F.when(e("Ti") & e("Al"), "Ti-Al-N").when(e("Ti"), "Ti-N").otherwise("Al-N"))
-    p = F.row_number().over(W.partitionBy("chemistry").orderBy(F.asc_nulls_last("energy_above_hull"), "nsites", "row_no"))
-    return g.withColumn("p", p).where("p <= 8").select("row_no", "material_id", "chemistry")
+    return curation.snapshot(_bulk(spark, sf_dir), _hull(spark, sf_dir)).select("row_no", "chemistry", "place")
 
 
 @query("SELECT row_no, material_id FROM lemat_bulk_sample WHERE list_contains(elements, 'Hf')")
 def search_element(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _bulk(spark, sf_dir).where(F.array_contains("elements", "Hf")).select("row_no", "material_id")
+    return catalog.search(_bulk(spark, sf_dir), "Hf").select("row_no", "material_id")
 
 
-@query("SELECT artifact_no, material_id FROM chgnet_reference WHERE material_id = (SELECT min(material_id) FROM chgnet_reference)")
+@query("SELECT artifact_no, material_id FROM chgnet_reference WHERE artifact_no = 7")
 def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "chgnet_reference")
-    return t.where(F.col("material_id") == t.agg(F.min("material_id")).first()[0]).select("artifact_no", "material_id")
+    return catalog.point_lookup(table(spark, sf_dir, "chgnet_reference"), 7, "artifact_no").select("artifact_no", "material_id")
 
 
 @query("SELECT jid FROM jarvis_rows WHERE list_has_any(atoms.elements, ['Ti', 'N'])")
@@ -461,7 +467,7 @@ def optimade_materials(spark: SparkSession, sf_dir: str) -> DataFrame:
     attributes = F.struct(F.col("structure.lattice").alias("lattice_vectors"), F.col("structure.coords").alias("cartesian_site_positions"), F.col("structure.species").alias("species_at_sites"), kinds.alias("species"), F.col("formula").alias("chemical_formula_reduced"), F.lit(3).alias("nperiodic_dimensions"))
     docs = m.select(F.to_json(F.struct(F.col("record_no").cast("string").alias("id"), attributes.alias("attributes"))).alias("body"))
     good, _ = connectors.optimade(docs, "oqmd")
-    return good.select("material_id", "formula", F.get("properties", 0)["value"].alias("density"))
+    return good.select("material_id", "formula", F.round(F.get("properties", 0)["value"], 6).alias("density"))
 
 
 @query()

@@ -148,8 +148,9 @@ def search(df: DataFrame, element: str | None = None) -> DataFrame:
     return df.where(F.array_contains("elements", element)) if element else df
 
 
-def point_lookup(df: DataFrame, material_id: str) -> DataFrame:
-    return df.where(F.col("material_id") == material_id).limit(1)
+def point_lookup(df: DataFrame, wanted, id_key: str = "material_id") -> DataFrame:
+    """One record of an id; the comparison reaches the scan."""
+    return df.where(F.col(id_key) == wanted).limit(1)
 
 
 def workflow(dataset: MaterialsDataset, card: Scorecard, name: str, **pool) -> dict:
