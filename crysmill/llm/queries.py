@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import shared_dir, table, temporary
 from . import entity_match, mixing, packing, spam
+from .sql import P1_GROUPS
 from .splits import SplitTable, material_keys, read_targets
 from .tokens import default_vocabulary
 from .top_groups import top_n
@@ -52,6 +53,14 @@ def p1_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.present().select(F.col("id").alias("row_no"), "split", "batch")
 
 
+def p1_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row over both batches of p1_incremental: rows, groups that the tied rows form, and groups that lie in two splits."""
+    t = table(spark, sf_dir, "lemat_bulk_sample")
+    groups = _split_table(spark, sf_dir).add(material_keys(t)).select(F.col("id").alias("row_no"), "component_id")
+    per = p1_incremental(spark, sf_dir).join(groups, "row_no").groupBy("component_id").agg(F.count("*").alias("n"), (F.min("split") != F.max("split")).alias("parted"))
+    return per.agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_groups"), F.count_if(F.col("parted")).alias("n_parted"))
+
+
 # --- 3: top N items within every group
 def element_set(c) -> F.Column:
     """Distinct symbols, properly written, in alphabetical order, joined by '-'; null where there are none."""
@@ -104,6 +113,16 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(p8_packed(spark, sf_dir))
 
 
+def p8_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(container_kind, n_documents, n_split, over, cut_small): texts packed whole or in a row of pieces, containers above
+    their capacity, and texts cut though they fit one."""
+    packed = p8_packed(spark, sf_dir)
+    boxes = packed.groupBy("container_kind", "container_id").agg(F.sum("n_tokens").alias("t"), F.max("capacity_tokens").alias("cap")).groupBy("container_kind").agg(F.count_if(F.col("t") > F.col("cap")).alias("over"))
+    texts = packed.groupBy("container_kind", "doc_id").agg(F.count("*").alias("pieces"), F.max("piece_no").alias("last"), F.sum("n_tokens").alias("t"), F.max("capacity_tokens").alias("cap"))
+    whole = texts.groupBy("container_kind").agg(F.count("*").alias("n_documents"), F.count_if(F.col("pieces") != F.col("last") + 1).alias("n_broken"), F.count_if((F.col("pieces") > 1) & (F.col("t") <= F.col("cap"))).alias("n_cut_small"))
+    return whole.join(boxes, "container_kind")
+
+
 # --- 9: mixing sources
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), default_vocabulary())
@@ -113,7 +132,17 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(p9_mix(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
-QUERIES = {"p8_packed": p8_packed, "p8_fill": p8_fill, "p9_mix": p9_mix, "p9_shares": p9_shares, "p7_found": p7_found, "p7_matches": p7_matches, "p10_found": p10_found, "p10_pages": p10_pages, "p1_found": p1_found, "p1_splits": p1_splits, "p1_split_shares": p1_split_shares, "p1_incremental": p1_incremental, "p3_found": p3_found, "p3_top": p3_top}
+def p9_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(mix_name, source, drawable, drawn, over_repeated): targets whose source has texts, those drawn from, and documents
+    drawn too often."""
+    targets = table(spark, sf_dir, "mix_targets")
+    drawn = p9_mix(spark, sf_dir).groupBy("mix_name", "source", "doc_id").agg(F.count("*").alias("times")).groupBy("mix_name", "source").agg(F.max("times").alias("most"))
+    texts = table(spark, sf_dir, "documents").where(F.length("text") > 0).groupBy("source").agg(F.lit(True).alias("has"))
+    out = targets.join(texts, "source", "left").join(drawn, ["mix_name", "source"], "left")
+    return out.select("mix_name", "source", F.coalesce("has", F.lit(False)).alias("drawable"), F.col("most").isNotNull().alias("drawn"), F.coalesce(F.col("most") > F.col("max_repeats"), F.lit(False)).alias("over_repeated"))
+
+
+QUERIES = {"p1_integrity": p1_integrity, "p8_accounting": p8_accounting, "p9_accounting": p9_accounting, "p8_packed": p8_packed, "p8_fill": p8_fill, "p9_mix": p9_mix, "p9_shares": p9_shares, "p7_found": p7_found, "p7_matches": p7_matches, "p10_found": p10_found, "p10_pages": p10_pages, "p1_found": p1_found, "p1_splits": p1_splits, "p1_split_shares": p1_split_shares, "p1_incremental": p1_incremental, "p3_found": p3_found, "p3_top": p3_top}
 
 _P3 = """
 WITH sets AS (
@@ -128,6 +157,10 @@ ranked AS (
   JOIN score c USING (material_id) JOIN energy e USING (material_id))
 """
 ORACLE = {
+    "p1_found": P1_GROUPS + " SELECT comp AS first_row_no, id AS row_no FROM cc WHERE comp <> id",
+    "p1_integrity": P1_GROUPS + " SELECT count(*) AS n_rows, count(DISTINCT comp) AS n_groups, CAST(0 AS BIGINT) AS n_parted FROM cc",
+    "p8_accounting": "SELECT container_kind, n AS n_documents, CAST(0 AS BIGINT) AS n_broken, CAST(0 AS BIGINT) AS n_cut_small, CAST(0 AS BIGINT) AS over FROM container_sizes, (SELECT count(*) AS n FROM documents WHERE length(text) > 0)",
+    "p9_accounting": "SELECT mix_name, source, source IN (SELECT source FROM documents WHERE length(text) > 0 AND source IS NOT NULL) AS drawable, source IN (SELECT source FROM documents WHERE length(text) > 0 AND source IS NOT NULL) AS drawn, false AS over_repeated FROM mix_targets",
     "p3_found": _P3 + "SELECT element_set, material_id FROM ranked WHERE place <= 3",
     "p3_top": _P3 + "SELECT element_set, material_id, score, CAST(place AS INTEGER) AS place FROM ranked WHERE place <= 3",
 }
