@@ -180,3 +180,44 @@ UNION ALL SELECT no, CAST(json_extract_string(t, '$.step') AS INTEGER), {one} FR
 UNION ALL SELECT no, CAST(k AS INTEGER), {keyed} FROM (SELECT no, t, unnest(json_keys(t)) AS k FROM t WHERE ty = 'OBJECT' AND st IS NULL) WHERE TRY_CAST(k AS INTEGER) IS NOT NULL""",
         "p2_extras": "SELECT record_no, CAST(k - 1 AS INTEGER) AS child_no, x.key AS key, x.value AS value FROM (SELECT record_no, k, unnest(map_entries(p.extra)) AS x FROM (SELECT record_no, generate_subscripts(properties, 1) AS k, unnest(properties) AS p FROM materials_sample) WHERE p IS NOT NULL)",
     }
+
+
+# --- units
+_SPELLED = "replace(replace(lower(trim({0})), '-', '_'), ' ', '_')"
+_ALIAS = """CASE {0} WHEN 'rho' THEN 'density' WHEN 'mass_density' THEN 'density' WHEN 'formation_energy' THEN 'formation_energy_per_atom' WHEN 'formation_energy_pa' THEN 'formation_energy_per_atom' WHEN 'e_form' THEN 'formation_energy_per_atom' WHEN 'eform' THEN 'formation_energy_per_atom'
+WHEN 'e_above_hull' THEN 'energy_above_hull' WHEN 'e_hull' THEN 'energy_above_hull' WHEN 'ehull' THEN 'energy_above_hull' WHEN 'energy_above_hull_per_atom' THEN 'energy_above_hull' WHEN 'k_vrh' THEN 'bulk_modulus' WHEN 'kvrh' THEN 'bulk_modulus' WHEN 'bulk_modulus_kv' THEN 'bulk_modulus'
+WHEN 'g_vrh' THEN 'shear_modulus' WHEN 'gvrh' THEN 'shear_modulus' WHEN 'shear_modulus_gv' THEN 'shear_modulus' WHEN 'bandgap' THEN 'band_gap' WHEN 'gap' THEN 'band_gap' WHEN 'optb88vdw_bandgap' THEN 'band_gap' WHEN 'young_modulus' THEN 'youngs_modulus' WHEN 'youngs' THEN 'youngs_modulus' WHEN 'e_modulus' THEN 'youngs_modulus'
+WHEN 'poisson' THEN 'poisson_ratio' WHEN 'nu' THEN 'poisson_ratio' WHEN 'homogeneous_poisson' THEN 'poisson_ratio' WHEN 'specific_modulus' THEN 'specific_stiffness' ELSE {0} END"""
+_TAIL = "_(pcf|megabar|kilobar|terapascal|electronvolt|g_cm3|kg_m3|lb_ft3|gpa|mpa|kbar|pa|tpa|mbar|ev_per_atom|mev_per_atom|ry_per_atom|ha_per_atom|kj_mol_per_atom|ev|mev|ry|ha|kj_mol|j_mol|gigapascal|megapascal|hartree|rydberg|pascal)$"
+
+
+def _unit(x: str) -> str:
+    n = f"regexp_replace(regexp_replace(translate(lower({x}), '⁰¹²³⁴⁵⁶⁷⁸⁹⁻−', '0123456789--'), '[·⋅*^\\s]', '', 'g'), '([a-z0-9-])per([a-z])', '\\1/\\2', 'g')"
+    bare = f"regexp_replace({n}, '(/atom|atom-1|_per_atom|_atom)$', '')"
+    return f"""CASE {bare} WHEN 'g/cm3' THEN 'g/cm^3' WHEN 'gcm-3' THEN 'g/cm^3' WHEN 'g/ml' THEN 'g/cm^3' WHEN 'g/cc' THEN 'g/cm^3' WHEN 'kg/l' THEN 'g/cm^3' WHEN 'mg/m3' THEN 'g/cm^3' WHEN 'g_cm3' THEN 'g/cm^3'
+WHEN 'kg/m3' THEN 'kg/m^3' WHEN 'kgm-3' THEN 'kg/m^3' WHEN 'g/l' THEN 'kg/m^3' WHEN 'mg/cm3' THEN 'kg/m^3' WHEN 'kilogram/cubicmetre' THEN 'kg/m^3' WHEN 'kg_m3' THEN 'kg/m^3'
+WHEN 'lb/ft3' THEN 'lb/ft^3' WHEN 'pcf' THEN 'lb/ft^3' WHEN 'lbs/cubicfoot' THEN 'lb/ft^3' WHEN 'lb_ft3' THEN 'lb/ft^3' WHEN 'gpa' THEN 'GPa' WHEN 'gigapascal' THEN 'GPa' WHEN '109pa' THEN 'GPa' WHEN 'kn/mm2' THEN 'GPa'
+WHEN 'mpa' THEN 'MPa' WHEN 'megapascal' THEN 'MPa' WHEN '106pa' THEN 'MPa' WHEN 'n/mm2' THEN 'MPa' WHEN 'kbar' THEN 'kbar' WHEN 'kilobar' THEN 'kbar' WHEN 'pa' THEN 'Pa' WHEN 'pascal' THEN 'Pa' WHEN 'n/m2' THEN 'Pa' WHEN 'nm-2' THEN 'Pa'
+WHEN 'tpa' THEN 'TPa' WHEN 'terapascal' THEN 'TPa' WHEN '1012pa' THEN 'TPa' WHEN 'mbar' THEN 'Mbar' WHEN 'megabar' THEN 'Mbar' WHEN 'ev' THEN 'eV' WHEN 'electronvolt' THEN 'eV' WHEN 'mev' THEN 'meV' WHEN 'milli-ev' THEN 'meV' WHEN '10-3ev' THEN 'meV'
+WHEN 'kj/mol' THEN 'kJ/mol' WHEN 'kjmol-1' THEN 'kJ/mol' WHEN 'kj_mol' THEN 'kJ/mol' WHEN 'j/mol' THEN 'J/mol' WHEN 'jmol-1' THEN 'J/mol' WHEN 'j_mol' THEN 'J/mol' WHEN 'ry' THEN 'Ry' WHEN 'rydberg' THEN 'Ry' WHEN 'ha' THEN 'Hartree' WHEN 'hartree' THEN 'Hartree' WHEN 'eh' THEN 'Hartree' END"""
+
+
+_QUANTITY = "CASE WHEN {0} IN ('g/cm^3', 'kg/m^3', 'lb/ft^3') THEN 'density' WHEN {0} IN ('GPa', 'MPa', 'kbar', 'Pa', 'TPa', 'Mbar') THEN 'pressure' WHEN {0} IN ('eV', 'meV', 'kJ/mol', 'J/mol', 'Ry', 'Hartree') THEN 'energy' END"
+_UNITS = rf"""WITH e AS (SELECT record_no, CAST(generate_subscripts(properties, 1) - 1 AS INTEGER) AS prop_no, unnest(properties) AS p FROM materials_sample),
+n AS (SELECT record_no, prop_no, p.value AS v, p.value_text AS t, p.unit AS u, p.name AS name, {_ALIAS.format(_SPELLED.format('p.name'))} AS whole, regexp_extract(p.name, '^(.*?)\s*[(\[]\s*([^()\[\]]+?)\s*[)\]]\s*$', ['a', 'b']) AS br, regexp_extract(p.name, '^(.*?)\s+/\s+(\S.*)$', ['a', 'b']) AS sl, regexp_extract(lower(p.name), '^(.+?){_TAIL}', ['a', 'b']) AS un FROM e WHERE p IS NOT NULL),
+q AS (SELECT *, CASE WHEN {_SPELLED.format('name')} <> whole THEN NULL WHEN whole IN ('density', 'bulk_modulus', 'shear_modulus', 'youngs_modulus', 'formation_energy_per_atom', 'energy_above_hull', 'band_gap', 'poisson_ratio', 'specific_stiffness') THEN NULL WHEN br.a <> '' THEN br WHEN sl.a <> '' THEN sl WHEN un.a <> '' THEN un END AS part FROM n),
+x AS (SELECT record_no, prop_no, v, u, CASE WHEN part IS NULL THEN whole ELSE {_ALIAS.format(_SPELLED.format('part.a'))} END AS property, part.b AS nu, regexp_replace(translate(regexp_replace(t, '^[^=]*=', ''), '⁰¹²³⁴⁵⁶⁷⁸⁹⁻−', '0123456789--'), '\s*[x×]\s*10\^?([-+]?\d+)', 'e\1') AS t FROM q),
+y AS (SELECT *, regexp_extract(t, '^\s*\[([^\]]+)\]', 1) AS tu, regexp_replace(regexp_replace(regexp_replace(t, '^\s*\[[^\]]+\]', ''), '\(card \d+\)', ''), '^\s*(approx\.|~)?\s*', '') AS b0 FROM x), y1 AS (SELECT *, regexp_replace(b0, '(\d) (\d{{3}})(\D|$)', '\1\2\3') AS body FROM y),
+z AS (SELECT *, regexp_extract(body, '^([-+]?\d[\d,]*\.?\d*(?:[eE][-+]?\d+)?)\s*(?:±\s*[\d.,]+(?:[eE][-+]?\d+)?)?\s*(.*)$', ['a', 'b']) AS m FROM y1),
+w AS (SELECT record_no, prop_no, property, u, nu, CASE WHEN NOT isnan(v) AND NOT isinf(v) THEN v END AS v, TRY_CAST(CASE WHEN regexp_full_match(m.a, '[-+]?\d{{1,3}}(,\d{{3}})+(\.\d*)?([eE][-+]?\d+)?') THEN replace(m.a, ',', '') ELSE replace(m.a, ',', '.') END AS DOUBLE) AS num, CASE WHEN tu <> '' THEN tu ELSE m.b END AS tu FROM z),
+r AS (SELECT record_no, prop_no, property, u, nu, coalesce(v, num) AS recorded_value, {_unit('u')} AS u1, {_unit('tu')} AS u2, {_unit('nu')} AS u3, CASE WHEN property = 'density' THEN 'density' WHEN property IN ('bulk_modulus', 'shear_modulus', 'youngs_modulus') THEN 'pressure' WHEN property IN ('formation_energy_per_atom', 'energy_above_hull', 'band_gap') THEN 'energy' END AS pq FROM w),
+s AS (SELECT *, coalesce(pq, {_QUANTITY.format('u1')}, {_QUANTITY.format('u2')}, {_QUANTITY.format('u3')}) AS quantity FROM r WHERE recorded_value IS NOT NULL),
+f AS (SELECT *, CASE WHEN {_QUANTITY.format('u1')} = quantity THEN u1 END AS f1, CASE WHEN {_QUANTITY.format('u2')} = quantity THEN u2 END AS f2, CASE WHEN {_QUANTITY.format('u3')} = quantity THEN u3 END AS f3, coalesce(trim(u) <> '', false) OR u2 IS NOT NULL OR coalesce(trim(nu) <> '', false) AS given FROM s WHERE quantity IS NOT NULL),
+g AS (SELECT record_no, prop_no, property, quantity, recorded_value, coalesce(f1, f2, f3, CASE WHEN NOT given THEN CASE quantity WHEN 'density' THEN CASE WHEN abs(recorded_value) < 60 THEN 'g/cm^3' ELSE 'kg/m^3' END WHEN 'pressure' THEN CASE WHEN abs(recorded_value) < 2000 THEN 'GPa' WHEN abs(recorded_value) < 10000000 THEN 'MPa' ELSE 'Pa' END ELSE 'eV' END END, 'unknown') AS recorded_unit,
+  CASE WHEN f1 IS NOT NULL THEN 'unit' WHEN f2 IS NOT NULL THEN 'value_text' WHEN f3 IS NOT NULL THEN 'name' WHEN NOT given THEN 'size' END AS unit_from FROM f),
+k AS (SELECT *, CASE recorded_unit WHEN 'g/cm^3' THEN 1.0::DOUBLE WHEN 'kg/m^3' THEN 0.001::DOUBLE WHEN 'lb/ft^3' THEN 0.01601846337396014::DOUBLE WHEN 'GPa' THEN 1.0::DOUBLE WHEN 'MPa' THEN 0.001::DOUBLE WHEN 'Pa' THEN 1e-9::DOUBLE WHEN 'TPa' THEN 1000.0::DOUBLE WHEN 'kbar' THEN 0.1::DOUBLE WHEN 'Mbar' THEN 100.0::DOUBLE
+  WHEN 'eV' THEN 1.0::DOUBLE WHEN 'meV' THEN 0.001::DOUBLE WHEN 'kJ/mol' THEN 1.0::DOUBLE / 96.485332123::DOUBLE WHEN 'J/mol' THEN 1.0::DOUBLE / 96485.332123::DOUBLE WHEN 'Ry' THEN 13.6056980659::DOUBLE WHEN 'Hartree' THEN 27.2113961318::DOUBLE END AS a, CASE quantity WHEN 'density' THEN 'g/cm^3' WHEN 'pressure' THEN 'GPa' ELSE 'eV' END AS common_unit FROM g)"""
+UNITS = {
+    "p6_common": _UNITS + " SELECT record_no, prop_no, property, quantity, recorded_value, recorded_unit, unit_from, recorded_value * a AS common_value, CASE WHEN a IS NOT NULL THEN common_unit END AS common_unit FROM k",
+    "p6_found": _UNITS + " SELECT record_no, prop_no, recorded_unit FROM k WHERE recorded_unit <> common_unit AND recorded_unit <> 'unknown'",
+}
