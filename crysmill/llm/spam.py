@@ -29,6 +29,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import Scratch
+
 URL = re.compile(r"(?:https?://|www\.)\S+|\b[a-z0-9-]{1,63}(?:\.[a-z0-9-]{1,63}){0,8}\.(?:example|test|com|org|net|io|de|fr|es|eu)(?:/[^\s\"'<>)\]|]*)?", re.IGNORECASE)
 MARKDOWN = re.compile(r"\[[^\[\]\n]*\]\(\s*[^()\s]*\s*\)")
 TAG = re.compile(r"(?:^|\s|,)(?:#|tag:)[^\s,]+", re.IGNORECASE)
@@ -107,7 +109,8 @@ def plain_words(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
     lang = _language(F.col(lang_col)) if lang_col in docs.columns else F.lit("")
     slim = docs.select(lang.alias("lang"), F.col(text_col).alias("text")).where(F.length(F.trim("text")) > 0)
     counts = slim.mapInPandas(run, "lang STRING, term STRING, held BIGINT, times BIGINT, near BIGINT").groupBy("lang", "term").agg(*[F.sum(c).alias(c) for c in ("held", "times", "near")])
-    # one row for each language is carried along with each word, so the corpus is counted once
+    # written, as words and languages are both read from it and the corpus is to be counted once
+    counts = Scratch(docs.sparkSession, "words").put(counts)
     home = counts.groupBy("term").agg(F.max_by(F.struct("lang", "held", "times", "near"), F.struct("times", "lang")).alias("w"))
     whole = counts.where("term IS NULL").select("lang", F.col("held").alias("texts"), F.col("times").alias("all_times"))
     words = home.where("term IS NOT NULL").select("term", "w.*").where(F.col("held") >= LEAST_TEXTS).join(F.broadcast(whole), "lang")
