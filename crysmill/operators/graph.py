@@ -76,8 +76,8 @@ def edges(structures: DataFrame, key: str = "material_id", cutoff: float = 5.0,
 
 
 def numbered(e: DataFrame, key: str = "material_id") -> DataFrame:
-    """Adds edge_no from 0 in the order of a structure's edges: source, distance, target, image."""
-    return e.withColumn("edge_no", F.row_number().over(W.partitionBy(key).orderBy("src", "dist", "dst", "ia", "ib", "ic")) - 1)
+    """Adds edge_no from 0 in the order of a structure's edges: source, distance (to 1e-6, so that equal ones are ties), target, image."""
+    return e.withColumn("edge_no", F.row_number().over(W.partitionBy(key).orderBy("src", F.round("dist", 6), "dst", "ia", "ib", "ic")) - 1)
 
 
 def builder_info(cutoff: float = 5.0, k: int = 12) -> dict:

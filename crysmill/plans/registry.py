@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import cookbook, core_problems, oracles, screening
+from . import cookbook, core_problems, inventory, oracles, screening
 
-MODULES = [cookbook, screening, core_problems]
+MODULES = [cookbook, screening, inventory, core_problems]
 
 
 def queries() -> dict:
