@@ -71,8 +71,29 @@ def from_csv(spark: SparkSession, path: str, id_col: str = "material_id", formul
     return long.where("value_text IS NOT NULL").withColumn("value", F.col("value_text").try_cast("double"))
 
 
-def from_parquet(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def csv_structures(spark: SparkSession, path: str, id_col: str = "material_id") -> DataFrame:
+    """(material_id, structure) of a wide CSV's column structure_json; null where there is none, or none that is valid."""
+    from ..operators.normalize import structure_faults
+
+    df = spark.read.csv(path, header=True, escape='"', multiLine=True)
+    if "structure_json" not in df.columns:
+        return df.select(F.col(id_col).alias("material_id"), F.lit(None).cast(STRUCTURE).alias("structure"))
+    s = F.from_json("structure_json", STRUCTURE)
+    return df.select(F.col(id_col).alias("material_id"), F.when(F.coalesce(F.size(structure_faults(s)) == 0, F.lit(False)), s).alias("structure"))
+
+
+def from_parquet(spark: SparkSession, path: str, source_dataset: str, subset: str | None = None):
+    """A dataset with strict guardrails of a bulk source's files; the subset is named after the file unless it is given."""
+    from ..operators.dataset import MaterialsDataset
+
+    return MaterialsDataset.bulk(spark.read.parquet(path), source_dataset, subset or path.rstrip("/").rsplit("/", 1)[-1].split(".")[0])
+
+
+def from_bulk_records(spark: SparkSession, records: list[dict], schema, source_dataset: str, subset: str | None = None):
+    """As ``from_parquet``, of records at hand."""
+    from ..operators.dataset import MaterialsDataset
+
+    return MaterialsDataset.bulk(spark.createDataFrame(records, schema), source_dataset, subset or "local_records")
 
 
 def bulk_scan(spark: SparkSession, paths: list[str], columns: list[str], predicate) -> DataFrame:

@@ -274,3 +274,22 @@ def test_simulation(spark):
     assert simulation.job_faults("emt", 0.0, 0, 1) == ["fmax", "max_steps"]
     with pytest.raises(ValueError):
         simulation.run_job(df, "vasp")
+
+
+def test_relax_by_a_given_calculator(spark):
+    kinds = "material_id string, structure struct<lattice: array<array<double>>, species: array<string>, coords: array<array<double>>>"
+    cell = [[4.0, 0.0, 0.0], [0.0, 4.0, 0.0], [0.0, 0.0, 4.0]]
+    df = spark.createDataFrame([("a", (cell, ["Al"], [[0.1, 0.0, 0.0]])), ("b", (cell, ["Fe"], [[0.0, 0.0, 0.0]])), ("c", None)], kinds)
+
+    def calculator(lattice, species, coords, fmax, max_steps):
+        if species == ["Fe"]:
+            raise RuntimeError("diverged")
+        return True, 3, -1.5, fmax / 2, lattice, [[0.0, 0.0, 0.0]]
+
+    out = {r["material_id"]: r for r in simulation.relax(df, calculator=calculator).collect()}
+    assert (out["a"]["status"], out["a"]["steps"], out["a"]["energy"], out["a"]["coords"]) == ("completed", 3, -1.5, [[0.0, 0.0, 0.0]])
+    assert (out["b"]["status"], out["b"]["error"]) == ("failed", "RuntimeError: diverged") and out["c"]["error"] == "no structure"
+    own = {r["material_id"]: r["error"] for r in simulation.relax(df).collect()}
+    assert own["b"] == "unsupported: Fe" and own["c"] == "no structure"
+    with pytest.raises(ValueError):
+        simulation.relax(df, fmax=0.0)

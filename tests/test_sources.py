@@ -73,6 +73,19 @@ def test_import_jsonl(spark):
     assert {r["material_id"] for r in good.collect()} == {"a", "b"} and rep.issue_counts == {"malformed_jsonl": 2} and rep.row_count == 4
 
 
+def test_bulk_files_and_csv_structures(spark, tmp_path):
+    kinds = "material_id string, formula string, structure_fingerprint string"
+    rows = [{"material_id": "a", "formula": "TiN", "structure_fingerprint": "f1"}, {"material_id": "b", "formula": "AlN", "structure_fingerprint": "f2"}]
+    spark.createDataFrame(rows, kinds).write.parquet(str(tmp_path / "compatible_pbe.parquet"))
+    d = readers.from_parquet(spark, str(tmp_path / "compatible_pbe.parquet"), "bulk")
+    assert (d.source_subset, d.strict, d.basis, d.df.count()) == ("compatible_pbe", True, "structure_fingerprint", 2)
+    assert readers.from_parquet(spark, str(tmp_path / "compatible_pbe.parquet"), "bulk", "own").source_subset == "own"
+    assert readers.from_bulk_records(spark, rows, kinds, "bulk").source_subset == "local_records"
+    cell = '{""lattice"": [[1,0,0],[0,1,0],[0,0,1]], ""species"": [""Ti""], ""coords"": [[0,0,0]]}'
+    (tmp_path / "w.csv").write_text(f'material_id,formula,structure_json\na,Ti,"{cell}"\nb,Ti,\nc,Ti,junk\n')
+    assert {r["material_id"]: r["structure"] is not None for r in readers.csv_structures(spark, str(tmp_path / "w.csv")).collect()} == {"a": True, "b": False, "c": False}
+
+
 def test_import_content(spark):
     good = b'material_id,formula,density\na,TiN,5.4\nb,AlN,"3.2"\n'
     one = importer.import_content(spark, "c:/x/up.csv", "csv", good)
