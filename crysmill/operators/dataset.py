@@ -127,11 +127,13 @@ class MaterialsDataset:
     leave_out: tuple[str, ...] = ()
     steps: tuple[dict, ...] = ()
     predicates: tuple[Column, ...] = ()
+    delivered: DataFrame | None = None
+    bounds: tuple[Column, ...] = ()
 
     @classmethod
     def of(cls, df: DataFrame, source_dataset: str = "records", source_subset: str | None = None, **kw) -> MaterialsDataset:
         """A dataset without strict guardrails."""
-        return cls(normalized(df), source_dataset, source_subset, **kw)
+        return cls(normalized(df), source_dataset, source_subset, delivered=df, **kw)
 
     @classmethod
     def bulk(cls, df: DataFrame, source_dataset: str, source_subset: str | None = None, **kw) -> MaterialsDataset:
@@ -144,7 +146,7 @@ class MaterialsDataset:
         full = n.agg(*[F.coalesce(F.bool_and(present(c)), F.lit(False)).alias(c) for c in ("immutable_id", "structure_fingerprint")]).first()
         named = any(w in (source_subset or "").lower() for w in ("unique", "dedup"))
         basis = "immutable_id" if full[0] and named else "structure_fingerprint" if full[1] else "unknown"
-        return cls(n, source_dataset, source_subset, True, basis, {c: u for c, u in UNITS.items() if c in n.columns}, **kw)
+        return cls(n, source_dataset, source_subset, True, basis, {c: u for c, u in UNITS.items() if c in n.columns}, delivered=df, **kw)
 
     @classmethod
     def from_records(cls, spark: SparkSession, records: list[dict], schema, **kw) -> MaterialsDataset:
@@ -152,11 +154,14 @@ class MaterialsDataset:
 
     @property
     def df(self) -> DataFrame:
-        return self.root.where(reduce(lambda a, b: a & b, self.predicates)) if self.predicates else self.root
+        """The rows that pass all steps. Bounds on delivered counts are put in front of the filling-in of missing ones, as
+        plain comparisons that reach the scan."""
+        root = normalized(self.delivered.where(reduce(lambda a, b: a & b, self.bounds))) if self.bounds else self.root
+        return root.where(reduce(lambda a, b: a & b, self.predicates)) if self.predicates else root
 
-    def _with(self, predicate: Column, name: str, arguments: dict, columns: list[str]) -> MaterialsDataset:
+    def _with(self, predicate: Column, name: str, arguments: dict, columns: list[str], bounds: tuple[Column, ...] = ()) -> MaterialsDataset:
         step = {"name": name, "arguments": arguments, "columns_used": columns}
-        return replace(self, steps=(*self.steps, step), predicates=(*self.predicates, F.coalesce(predicate, F.lit(False))))
+        return replace(self, steps=(*self.steps, step), predicates=(*self.predicates, F.coalesce(predicate, F.lit(False))), bounds=(*self.bounds, *bounds))
 
     def filter_elements(self, include: list[str] | None = None, exclude: list[str] | None = None) -> MaterialsDataset:
         inc, exc = ({e.strip() for e in x or [] if e.strip()} for x in (include, exclude))
@@ -171,7 +176,9 @@ class MaterialsDataset:
         """Bounds on sites and elements; a missing count fails its bound."""
         bounds = {"nsites": max_nsites, "nelements": max_nelements}
         test = reduce(lambda a, b: a & b, [F.col(c) <= b for c, b in bounds.items() if b is not None], F.lit(True))
-        return self._with(test, "filter_complexity", {f"max_{c}": b for c, b in bounds.items()}, [c for c, b in bounds.items() if b is not None])
+        there = self.delivered.columns if self.delivered is not None else []
+        plain = tuple(F.col(c).isNull() | (F.col(c) <= b) for c, b in bounds.items() if b is not None and c in there)
+        return self._with(test, "filter_complexity", {f"max_{c}": b for c, b in bounds.items()}, [c for c, b in bounds.items() if b is not None], plain)
 
     def candidate_pool(self, include=None, exclude=None, max_nsites=None, max_nelements=None) -> MaterialsDataset:
         out = self
