@@ -19,7 +19,6 @@ from bisect import bisect_right
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..runtime import Scratch
@@ -141,9 +140,9 @@ def placed(tokens: DataFrame, scratch: Scratch, seed: int) -> DataFrame:
     """(no, ahead): the tokens that come before each text by language, source and hash."""
     slim = tokens.select("no", "n", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), hash_order(F.col("doc_id"), F.col("no"), seed=seed).alias("_o"))
     inside = running_total(slim, ["lang", "source"], "_o", "n", "inside")
-    # groups are sources by language; what lies before a group is a running total over their few rows
-    whole = slim.groupBy("lang", "source").agg(F.sum("n").alias("t"))
-    before = whole.withColumn("before", F.coalesce(F.sum("t").over(W.orderBy("lang", "source").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    # the groups, sources by language, are laid one behind the other in hash order
+    whole = scratch.put(slim.groupBy("lang", "source").agg(F.sum("n").alias("t")).withColumn("_o", hash_order("lang", "source", seed=seed)))
+    before = running_total(whole, [], "_o", "t", "before")
     return inside.join(before.select("lang", "source", "before"), ["lang", "source"]).select("no", (F.col("inside") + F.col("before")).alias("ahead"))
 
 
