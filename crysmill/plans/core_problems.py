@@ -62,7 +62,9 @@ def p4_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drift.consistent(table(spark, sf_dir, "lemat_raw_lines"))
+    """The consistent table, its lists as text and its structures without blanks."""
+    t = drift.consistent(table(spark, sf_dir, "lemat_raw_lines"))
+    return t.withColumns({"elements": F.array_join("elements", ","), "structure": F.regexp_replace("structure", r"\s", "")})
 
 
 def p4_versions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -221,3 +221,32 @@ UNITS = {
     "p6_common": _UNITS + " SELECT record_no, prop_no, property, quantity, recorded_value, recorded_unit, unit_from, recorded_value * a AS common_value, CASE WHEN a IS NOT NULL THEN common_unit END AS common_unit FROM k",
     "p6_found": _UNITS + " SELECT record_no, prop_no, recorded_unit FROM k WHERE recorded_unit <> common_unit AND recorded_unit <> 'unknown'",
 }
+
+
+# --- one table of drifting files
+_PLAIN_TEXT = "CASE WHEN lower(trim({0})) NOT IN ('', 'n/a', 'na', 'null', 'none', 'nan') THEN {0} END"
+_DRIFTED = {"material_id": "s", "formula": "f", "elements": "a", "nelements": "i", "nsites": "i", "structure": "j", "immutable_id": "s", "structure_fingerprint": "s", "functional": "s", "density": "d", "bulk_modulus": "d", "energy_above_hull": "d", "energy_per_site": "d", "max_force": "d", "last_modified": "s"}
+
+
+def _drifted(column: str, kind: str) -> str:
+    """Value of a column from its JSON value ``v_<column>``."""
+    v = f"v_{column}"
+    inner = f"CASE json_type({v}) WHEN 'OBJECT' THEN coalesce({v}->>'$.value', {v}->>'$.name', CAST({v} AS VARCHAR)) WHEN 'ARRAY' THEN CAST({v} AS VARCHAR) WHEN 'NULL' THEN NULL ELSE {v}->>'$' END"
+    text = _PLAIN_TEXT.format(f"({inner})")
+    joined = f"array_to_string(CAST({v} AS VARCHAR[]), '')"
+    if kind == "a":
+        return f"CASE WHEN json_type({v}) = 'ARRAY' THEN array_to_string(CAST({v} AS VARCHAR[]), ',') WHEN json_type({v}) <> 'OBJECT' THEN array_to_string(regexp_split_to_array({text}, '\\s*[-,;\\s]\\s*'), ',') END"
+    if kind == "f":
+        pairs = f"array_to_string(list_transform(json_keys({v}), lambda k: k || ({v}->>('$.' || k))), '')"
+        return f"CASE json_type({v}) WHEN 'ARRAY' THEN {joined} WHEN 'OBJECT' THEN {pairs} ELSE {text} END"
+    if kind == "s":
+        return f"CASE WHEN json_type({v}) = 'ARRAY' THEN {joined} ELSE {text} END"
+    if kind == "j":
+        return f"regexp_replace(CASE WHEN json_type({v}) <> 'NULL' THEN CASE WHEN json_type({v}) = 'VARCHAR' THEN {v}->>'$' ELSE CAST({v} AS VARCHAR) END END, '\\s', '', 'g')"
+    return f"CAST(TRY_CAST({text} AS DOUBLE) AS {'INTEGER' if kind == 'i' else 'DOUBLE'})"
+
+
+_ROUTE = f"{_FIELDS}, h AS (SELECT file_no, field, first(key ORDER BY CASE WHEN key = field THEN 0 ELSE 1 END, key) AS key FROM g GROUP BY 1, 2), d AS (SELECT file_no, line_no, feed, CASE WHEN json_valid(payload) AND json_type(payload) = 'OBJECT' THEN CAST(payload AS JSON) END AS j FROM lemat_raw_lines)"
+DRIFT = {
+    "p4_table": f"{_ROUTE}, v AS (SELECT d.file_no, line_no, feed, " + ", ".join(f"json_extract(j, '$.\"' || (SELECT key FROM h WHERE h.file_no = d.file_no AND h.field = '{c}') || '\"') AS v_{c}" for c in _DRIFTED) + " FROM d) SELECT file_no, line_no, feed, " + ", ".join(f"{_drifted(c, k)} AS {c}" for c, k in _DRIFTED.items()) + " FROM v",
+}

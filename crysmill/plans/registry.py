@@ -18,4 +18,4 @@ def oracle_sql() -> dict:
     out = {}
     for m in MODULES:
         out.update(m.ORACLE)
-    return out | oracles.build(screening.EDGES) | oracles.UNITS
+    return out | oracles.build(screening.EDGES) | oracles.UNITS | oracles.DRIFT
