@@ -246,7 +246,15 @@ def _drifted(column: str, kind: str) -> str:
     return f"CAST(TRY_CAST({text} AS DOUBLE) AS {'INTEGER' if kind == 'i' else 'DOUBLE'})"
 
 
+def _lost(column: str, kind: str) -> str:
+    v = f"v_{column}"
+    inner = f"CASE json_type({v}) WHEN 'OBJECT' THEN coalesce({v}->>'$.value', {v}->>'$.name', CAST({v} AS VARCHAR)) WHEN 'ARRAY' THEN CAST({v} AS VARCHAR) WHEN 'NULL' THEN NULL ELSE {v}->>'$' END"
+    return f"SELECT file_no, '{column}' AS field_name, count(*) AS n_failed FROM v WHERE {_PLAIN_TEXT.format(f'({inner})')} IS NOT NULL AND ({_drifted(column, kind)}) IS NULL GROUP BY 1"
+
+
 _ROUTE = f"{_FIELDS}, h AS (SELECT file_no, field, first(key ORDER BY CASE WHEN key = field THEN 0 ELSE 1 END, key) AS key FROM g GROUP BY 1, 2), d AS (SELECT file_no, line_no, feed, CASE WHEN json_valid(payload) AND json_type(payload) = 'OBJECT' THEN CAST(payload AS JSON) END AS j FROM lemat_raw_lines)"
+_VALUES = f"{_ROUTE}, v AS (SELECT d.file_no, line_no, feed, " + ", ".join(f"json_extract(j, '$.\"' || (SELECT key FROM h WHERE h.file_no = d.file_no AND h.field = '{c}') || '\"') AS v_{c}" for c in _DRIFTED) + " FROM d)"
 DRIFT = {
-    "p4_table": f"{_ROUTE}, v AS (SELECT d.file_no, line_no, feed, " + ", ".join(f"json_extract(j, '$.\"' || (SELECT key FROM h WHERE h.file_no = d.file_no AND h.field = '{c}') || '\"') AS v_{c}" for c in _DRIFTED) + " FROM d) SELECT file_no, line_no, feed, " + ", ".join(f"{_drifted(c, k)} AS {c}" for c, k in _DRIFTED.items()) + " FROM v",
+    "p4_odd_values": _VALUES + ", lost AS (" + " UNION ALL ".join(_lost(c, k) for c, k in _DRIFTED.items()) + "), n AS (SELECT e.file_no, g.field AS field_name, count(*) AS n_values, count(*) FILTER (e.ty <> g.ty) AS n_odd_type FROM e JOIN g ON e.file_no = g.file_no AND e.key = g.key GROUP BY 1, 2) SELECT n.file_no, n.field_name, n_values, n_odd_type, coalesce(n_failed, 0) AS n_failed FROM n LEFT JOIN lost ON n.file_no = lost.file_no AND n.field_name = lost.field_name WHERE n_odd_type > 0 OR n_failed > 0",
+    "p4_table": _VALUES + " SELECT file_no, line_no, feed, " + ", ".join(f"{_drifted(c, k)} AS {c}" for c, k in _DRIFTED.items()) + " FROM v",
 }
