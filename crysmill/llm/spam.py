@@ -57,6 +57,14 @@ END = re.compile(r"[.!?:…。！？][\"'»”)\]]*\s*$")
 NUMBER = re.compile(r"(?<![\w.])[-+]?\d[\d.,]{0,40}(?:[eE][-+]?\d+)?(?![\w])")
 
 
+class Words:
+    """Frequent words of a corpus, and the plain ones among them."""
+
+    def __init__(self, words: dict[str, bool]):
+        self.frequent = frozenset(words)
+        self.plain = frozenset(w for w, even in words.items() if even)
+
+
 class Page(NamedTuple):
     spam: bool
     kind: str
@@ -76,7 +84,7 @@ def word_gaps(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, in
     """(terms, texts that hold each, occurrences, near repeats, all occurrences) of a batch of texts."""
     words, owner = [], []
     for i, t in enumerate(texts):
-        w = [x.lower() for x in WORD.findall(t)] if isinstance(t, str) else []
+        w = WORD.findall(t.lower()) if isinstance(t, str) else []
         words += w
         owner.append(np.full(len(w), i))
     if not words:
@@ -124,21 +132,22 @@ def recurrence(terms: list[str], window: int = WINDOW) -> tuple[float, float, fl
     n = len(terms)
     if n < 2:
         return 0.0, 0.0, 0.0
-    codes = np.unique(np.asarray(terms, dtype=object).astype(str), return_inverse=True)[1]
+    number: dict[str, int] = {}
+    codes = np.fromiter((number.setdefault(t, len(number)) for t in terms), np.int64, n)
     order = np.argsort(codes, kind="stable")
     same = codes[order][1:] == codes[order][:-1]
     gaps = (order[1:] - order[:-1])[same]
-    back = float((gaps <= window).sum()) / n
+    back = np.count_nonzero(gaps <= window) / n
     even = 1.0 / (1.0 + float(np.std(gaps) / np.mean(gaps))) if len(gaps) else 0.0
     p = np.bincount(codes) / n
     chance = float((p * p).sum())
-    lags = [float((codes[k:] == codes[:-k]).mean()) for k in range(1, min(window, n - 1) + 1)]
+    lags = [np.count_nonzero(codes[k:] == codes[:-k]) / (n - k) for k in range(1, min(window, n - 1) + 1)]
     peak = max(lags)
     return back, even, max(0.0, (peak - chance) / (1 - chance)) if chance < 1 else 1.0
 
 
 def _words(text: str) -> list[str]:
-    return [w.lower() for w in WORD.findall(text)]
+    return WORD.findall(text.lower())
 
 
 def _without_anchors(span: str) -> tuple[str, int]:
@@ -156,27 +165,26 @@ def _without_anchors(span: str) -> tuple[str, int]:
         links += 1
 
 
-def spans(text: str, plain: dict[str, bool] = {}):  # noqa: B006
-    """(kind, span, its words, things in it) for each line or sentence: prose, foreign, data, link, tag, list or other."""
+def spans(text: str, corpus: Words):
+    """(kind, span, its words, how many of them are plain, things in it) for each line or sentence: prose, foreign, data, link, tag, list or other."""
     code = False
     for line in text.split("\n"):
         if line.lstrip().startswith("```"):
             code = not code
-            yield "data", line, [], 1
+            yield "data", line, [], 0, 1
             continue
         if not line.strip():
             continue
         if code:
-            yield "data", line, [], 1
+            yield "data", line, [], 0, 1
             continue
         cited = REFERENCE.match(line) is not None
         for piece in SENTENCE.split(line):
             if piece.strip():
-                kind, words, things = _kind(piece, plain, cited)
-                yield kind, piece, words, things
+                yield _kind(piece, corpus, cited)
 
 
-def _kind(span: str, plain: dict[str, bool], cited: bool) -> tuple[str, list[str], int]:
+def _kind(span: str, corpus: Words, cited: bool) -> tuple[str, str, list[str], int, int]:
     # every pattern is bounded in length, so a span takes linear time; cheap tests spare most spans the costly ones
     bare, links = span, 0
     if "](" in span or "<a" in span or "<A" in span:
@@ -185,38 +193,38 @@ def _kind(span: str, plain: dict[str, bool], cited: bool) -> tuple[str, list[str
         bare, urls = URL.subn(" ", bare)
         links += urls
     words = _words(bare)
-    known = sum(plain.get(w, False) for w in words)
+    known = sum(map(corpus.plain.__contains__, words))
     share = known / max(1, len(words))
     tags = len(TAG.findall(span)) if "#" in span or ":" in span else 0
     if tags and tags * 2 >= len(span.split()) - 1:
-        return "tag", words, tags
+        return "tag", span, words, known, tags
     if OFFER.search(span) and (span.count(";") >= 2 or span.count("|") >= 2 or re.search(r"\bsku\b", span, re.IGNORECASE)):
-        return "tag", words, 1
+        return "tag", span, words, known, 1
     ended = END.search(span) is not None
     if links > 1 and len(words) <= 4 * links:
-        return "link", words, links
+        return "link", span, words, known, links
     if not links and FIELD.match(span):
-        return "data", words, 1
+        return "data", span, words, known, 1
     items = 0 if ended or links else len(ITEMS.findall(bare)) + 1
     if items < 5 or len(words) > 3 * items:
         items = 0
     if not items and len(words) >= (4 if ended else 5) and known >= 2 and share >= PLAIN_SHARE:
-        return "prose", words, 1
+        return "prose", span, words, known, 1
     if links:
         cited = cited or len(words) >= 4 and (ended or known and links == 1)
-        return ("other", words, 1) if cited else ("link", words, links)
+        return ("other", span, words, known, 1) if cited else ("link", span, words, known, links)
     if any(c in span for c in ">»›/→") and len(CRUMB.findall(span)) >= 2 and not NUMBER.search(span.split("Page")[0]):
-        return "link", words, len(CRUMB.findall(span))
+        return "link", span, words, known, len(CRUMB.findall(span))
     numbers = len(NUMBER.findall(re.sub(r"\d[\d.]*\s*%", " ", bare)))
     if numbers and numbers >= 0.2 * (numbers + len(words)):
-        return "data", words, 1
+        return "data", span, words, known, 1
     if not words:
-        return ("data" if numbers else "other"), words, 1
+        return ("data" if numbers else "other"), span, words, known, 1
     if not items and known and share >= PLAIN_SHARE and (ended or len(words) >= 5):
-        return "prose", words, 1
-    if ended and len(words) >= 5 and 2 * sum(w in plain for w in words) < len(words) <= 10 * sum(len(w) <= 3 for w in words):
-        return "foreign" if 4 * len(set(words)) > 3 * len(words) else "list", words, 1
-    return "list", words, 1
+        return "prose", span, words, known, 1
+    if ended and len(words) >= 5 and 2 * sum(map(corpus.frequent.__contains__, words)) < len(words) <= 10 * sum(len(w) <= 3 for w in words):
+        return "foreign" if 4 * len(set(words)) > 3 * len(words) else "list", span, words, known, 1
+    return "list", span, words, known, 1
 
 
 def _regular(back: float, even: float, peak: float) -> bool:
@@ -233,22 +241,23 @@ def _repeated(terms: list[str], most: float, few: int, window: int) -> bool:
     return back >= 0.6 or back >= 0.5 and (peak >= 0.3 or even >= 0.7)
 
 
-def judge(text: str | None, plain: dict[str, bool] = {}) -> Page:  # noqa: B006
+def judge(text: str | None, words: dict[str, bool] | Words | None = None) -> Page:
     """The verdict on one text, given the frequent words of its corpus and which of them are plain."""
+    corpus = words if isinstance(words, Words) else Words(words or {})
     if not isinstance(text, str) or not text.strip():
         return Page(False, "none", 0.0, 0.0, 0.0, 0.0)
     size: Counter = Counter()
     listed, suspect, content, shapes = [], [], [], []
     run: set[str] = set()
     longest = 0
-    for kind, span, words, things in spans(text, plain):
+    for kind, span, words, known, things in spans(text, corpus):
         shapes += [kind] * min(things, len(span)) if kind in ("link", "tag") else [f"{kind}{len(shapes)}"]
         if kind in ("list", "tag"):
-            for w in TERM.findall(span):
-                w = w.lower()
-                listed.append(w)
-                suspect.append(w)
-                if plain.get(w):
+            terms = TERM.findall(span.lower())
+            listed += terms
+            suspect += terms
+            for w in terms:
+                if w in corpus.plain:
                     run = set()
                 else:
                     run.add(w)
@@ -258,13 +267,13 @@ def judge(text: str | None, plain: dict[str, bool] = {}) -> Page:  # noqa: B006
             content += words
             if kind == "foreign":
                 kind = "prose"
-            elif not END.search(span) or sum(plain.get(w, False) for w in words) < RICH_SHARE * len(words):
+            elif known < RICH_SHARE * len(words) or not END.search(span):
                 kind = "poor"
                 suspect += words
         size[kind] += len(span)
     whole = sum(size.values())
     # links and tags are lists only where one follows the other
-    rows = recurrence(shapes)[0] > 0 or len(shapes) == 1 and recurrence(listed)[0] > 0
+    rows = bool(size["link"] or size["tag"]) and (recurrence(shapes)[0] > 0 or len(shapes) == 1 and recurrence(listed)[0] > 0)
     back, even, peak = recurrence(listed)
     stuffed = len(listed) > 1 and _regular(back, even, peak)
     tags = size["tag"] if rows or stuffed or longest >= NOUN_RUN else 0
@@ -289,11 +298,11 @@ def judge(text: str | None, plain: dict[str, bool] = {}) -> Page:  # noqa: B006
 
 def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(id, is_spam, kind, spam_share, recurrence, regularity, distinct_share) of every document, in Arrow batches."""
-    plain = plain_words(docs, text_col, lang_col)
+    corpus = Words(plain_words(docs, text_col, lang_col))
 
     def run(batches):
         for pdf in batches:
-            pages = [judge(t, plain) for t in pdf["text"]]
+            pages = [judge(t, corpus) for t in pdf["text"]]
             yield pd.DataFrame({"id": pdf["id"], "is_spam": [p.spam for p in pages], "kind": [p.kind for p in pages], "spam_share": [p.share for p in pages], "recurrence": [p.recurrence for p in pages], "regularity": [p.regularity for p in pages], "distinct_share": [p.distinct for p in pages]})
 
     slim = docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text")
