@@ -82,22 +82,23 @@ def _language(c):
 
 def word_gaps(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
     """(terms, texts that hold each, occurrences, near repeats, all occurrences) of a batch of texts."""
-    words, owner = [], []
-    for i, t in enumerate(texts):
+    number: dict[str, int] = {}
+    codes, sizes = [], []
+    for t in texts:
         w = WORD.findall(t.lower()) if isinstance(t, str) else []
-        words += w
-        owner.append(np.full(len(w), i))
-    if not words:
+        codes += [number.setdefault(x, len(number)) for x in w]
+        sizes.append(len(w))
+    if not codes:
         return np.zeros(0, object), *[np.zeros(0, np.int64)] * 3, 0
-    terms, codes = np.unique(np.asarray(words, dtype=object).astype(str), return_inverse=True)
-    owner = np.concatenate(owner)
-    order = np.lexsort((np.arange(len(codes)), owner, codes))
+    terms, codes = np.array(list(number), dtype=object), np.asarray(codes)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.argsort(codes, kind="stable")
     c, o = codes[order], owner[order]
     again = (c[1:] == c[:-1]) & (o[1:] == o[:-1])
     near = again & (order[1:] - order[:-1] <= NEAR)
     n = len(terms)
     held = np.bincount(c, minlength=n) - np.bincount(c[1:][again], minlength=n)
-    return terms.astype(object), held, np.bincount(c, minlength=n), np.bincount(c[1:][near], minlength=n), len(codes)
+    return terms, held, np.bincount(c, minlength=n), np.bincount(c[1:][near], minlength=n), len(codes)
 
 
 def plain_words(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, bool]:
