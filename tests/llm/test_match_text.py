@@ -236,3 +236,16 @@ def test_counted_reads_whole_texts(spark):
     df = docs(spark, [(1, "a b c " * 50_000, "en", "s"), (2, None, "en", "s"), (3, "<|endoftext|>", "en", "s")])
     got = {r["doc_id"]: r["n_tokens"] for r in counted(df, ["doc_id"], "text", default_vocabulary()).collect()}
     assert got[1] >= 150_000 and got[2] == 0 and got[3] > 1
+
+
+def test_shards_hold_equal_tokens(spark):
+    from crysmill.llm.packing import placed
+    from crysmill.runtime import Scratch
+
+    rows = [(i, i % 40, ["en", None, "de"][i % 3], None if i % 5 == 0 else f"s{i % 2}", 1 + i * 7 % 50) for i in range(600)]
+    tokens = spark.createDataFrame(rows, "no bigint, doc_id bigint, lang string, source string, n int")
+    ahead = {r["no"]: r["ahead"] for r in placed(tokens, Scratch(spark, "t"), 1).collect()}
+    at = sorted((ahead[r[0]], r[4]) for r in rows)
+    # every text begins where the one before it ends
+    assert [a for a, _ in at] == [sum(n for _, n in at[:i]) for i in range(len(at))]
+    assert placed(tokens.limit(0), Scratch(spark, "t"), 1).count() == 0
