@@ -293,3 +293,36 @@ def test_relax_by_a_given_calculator(spark):
     assert own["b"] == "unsupported: Fe" and own["c"] == "no structure"
     with pytest.raises(ValueError):
         simulation.relax(df, fmax=0.0)
+
+
+def test_exact_quantiles(spark):
+    import numpy as np
+
+    rnd = np.random.default_rng(3)
+    shares = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    for values in (rnd.normal(size=997).tolist(), [2.0] * 300 + rnd.normal(size=150).round(1).tolist(), [5.0], [1.0, 2.0]):
+        df = spark.createDataFrame([(v, "clash") for v in [*values, None, float("nan")]], "v double, n string")
+        for ranges in (512, 3):
+            got = {r["share"]: r["quantile"] for r in metrics.exact_quantiles(df, "v", shares, ranges).collect()}
+            assert got == pytest.approx({s: float(np.quantile(values, s)) for s in shares})
+    empty = spark.createDataFrame([(None, 1), (float("nan"), 2)], "v double, id int")
+    assert metrics.exact_quantiles(empty, "v", shares).count() == 0
+    assert [r["bin"] for r in metrics.quantile_bins(empty, "v").collect()] == [0, 0] and metrics.quantile_bins(empty.limit(0), "v").count() == 0
+
+
+def test_digest_of_lines(spark):
+    from crysmill.sources.readers import lines_digest
+
+    df = spark.createDataFrame([(str(i % 7),) for i in range(50)], "value string")
+    assert lines_digest(df) == lines_digest(df.repartition(5)) and lines_digest(df)[0] == 50
+    assert lines_digest(df)[1] != lines_digest(df.limit(49))[1] and lines_digest(df.limit(0))[0] == 0
+
+
+def test_constraints_read_properties_and_metadata(spark):
+    kinds = "material_id string, properties array<struct<name: string, value: double, value_text: string, unit: string, source: string, method: string, extra: map<string,string>>>, metadata map<string,string>"
+    p = lambda name, value=None, text=None: (name, value, text, None, "x", "dft", None)
+    rows = [("a", [p("rho", 4.0), p("stable", None, "True")], {"phase": "cubic"}), ("b", [p("density", None, "6.5"), p("density", 1.0)], {"stable": "no", "phase": "cubic"}), ("c", None, None), ("d", [p("density", 3.0)], {"phase": "hex", "stable": "yes"})]
+    df = spark.createDataFrame(rows, kinds)
+    keep = lambda c: sorted(r["material_id"] for r in df.where(Scorecard({"density": "minimize"}, c).passes(df)).collect())
+    assert keep({"density": {"max": 5.0}}) == ["a", "d"] and keep({"phase": {"equals": "cubic"}}) == ["a", "b"] and keep({"stable": {"equals": True}}) == ["a", "d"] and keep({"stable": {"equals": False}}) == ["b"]
+    assert [r["material_id"] for r in Scorecard({"density": "minimize"}).rank(df).collect()] == ["d", "a", "b"]
