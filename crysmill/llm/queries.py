@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import shared_dir, table, temporary
 from . import entity_match, mixing, packing, spam
-from .sql import P1_GROUPS
+from .sql import MATCHED, P1_GROUPS
 from .splits import SplitTable, material_keys, read_targets
 from .tokens import default_vocabulary
 from .top_groups import top_n
@@ -159,6 +159,7 @@ ranked AS (
 ORACLE = {
     "p1_found": P1_GROUPS + " SELECT comp AS first_row_no, id AS row_no FROM cc WHERE comp <> id",
     "p1_integrity": P1_GROUPS + " SELECT count(*) AS n_rows, count(DISTINCT comp) AS n_groups, CAST(0 AS BIGINT) AS n_parted FROM cc",
+    "p7_found": MATCHED + " SELECT mid AS material_id, jid FROM b WHERE place = 1",
     "p8_accounting": "SELECT container_kind, n AS n_documents, CAST(0 AS BIGINT) AS n_broken, CAST(0 AS BIGINT) AS n_cut_small, CAST(0 AS BIGINT) AS over FROM container_sizes, (SELECT count(*) AS n FROM documents WHERE length(text) > 0)",
     "p9_accounting": "SELECT mix_name, source, source IN (SELECT source FROM documents WHERE length(text) > 0 AND source IS NOT NULL) AS drawable, source IN (SELECT source FROM documents WHERE length(text) > 0 AND source IS NOT NULL) AS drawn, false AS over_repeated FROM mix_targets",
     "p3_found": _P3 + "SELECT element_set, material_id FROM ranked WHERE place <= 3",
