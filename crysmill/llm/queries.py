@@ -160,6 +160,9 @@ ORACLE = {
     "p1_found": P1_GROUPS + " SELECT comp AS first_row_no, id AS row_no FROM cc WHERE comp <> id",
     "p1_integrity": P1_GROUPS + " SELECT count(*) AS n_rows, count(DISTINCT comp) AS n_groups, CAST(0 AS BIGINT) AS n_parted FROM cc",
     "p7_found": MATCHED + " SELECT mid AS material_id, jid FROM b WHERE place = 1",
+    "p7_matches": MATCHED + """, t AS (SELECT jid, mid FROM b WHERE place = 1 AND rule = 1), o AS (SELECT jid, mid, rule FROM (SELECT *, row_number() OVER (PARTITION BY jid ORDER BY rule, d, mid) AS q FROM a WHERE rule > 1) WHERE q = 1),
+n AS (SELECT o.rule, count(*) AS n, count(*) FILTER (o.mid = t.mid) AS hits FROM o JOIN t USING (jid) GROUP BY 1), w AS (SELECT rule, (hits + 1) / (n + 2) AS c FROM n UNION ALL SELECT 1, (coalesce(sum(hits), 0) + 1) / (coalesce(sum(n), 0) + 2) FROM n)
+SELECT mid AS material_id, jid, ['trace', 'cell_volume', 'density', 'id_tail', 'density_of_cell', 'cell_of_density', 'bulk_modulus', 'shear_modulus'][b.rule] AS rule, coalesce(c, 0.5::DOUBLE) AS confidence FROM b LEFT JOIN w ON b.rule = w.rule WHERE place = 1""",
     "p8_accounting": "SELECT container_kind, n AS n_documents, CAST(0 AS BIGINT) AS n_broken, CAST(0 AS BIGINT) AS n_cut_small, CAST(0 AS BIGINT) AS over FROM container_sizes, (SELECT count(*) AS n FROM documents WHERE length(text) > 0)",
     "p9_accounting": "SELECT mix_name, source, source IN (SELECT source FROM documents WHERE length(text) > 0 AND source IS NOT NULL) AS drawable, source IN (SELECT source FROM documents WHERE length(text) > 0 AND source IS NOT NULL) AS drawn, false AS over_repeated FROM mix_targets",
     "p3_found": _P3 + "SELECT element_set, material_id FROM ranked WHERE place <= 3",
