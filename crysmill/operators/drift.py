@@ -75,10 +75,22 @@ def _type_of(text: Column) -> Column:
     return F.when(head == '"', "string").when(head == "[", "list").when(head == "{", "object").when(head.isin("t", "f"), "boolean").when(head != "n", "number")
 
 
+def _opened(lines: DataFrame, what: str) -> DataFrame:
+    """One row for each key of each JSON object, with ``what`` of d (the file's columns and doc) and e (key, value)."""
+    doc = lines.select("file_no", "feed", "written_at", F.try_parse_json("payload").alias("doc")).where("doc IS NOT NULL AND schema_of_variant(doc) LIKE 'OBJECT%'")
+    return lines.sparkSession.sql(f"SELECT {what} FROM {{docs}} d, LATERAL variant_explode(d.doc) e", docs=doc)
+
+
+def typed_keys(lines: DataFrame) -> DataFrame:
+    """(file_no, key, type) of every non-null value, without its text."""
+    kind = F.col("kind")
+    name = F.when(kind.startswith("ARRAY"), "list").when(kind.startswith("OBJECT"), "object").when(kind == "BOOLEAN", "boolean").when(kind == "STRING", "string").when(kind != "VOID", "number")
+    return _opened(lines, "d.file_no, e.key, schema_of_variant(e.value) AS kind").select("file_no", "key", name.alias("type")).where("type IS NOT NULL")
+
+
 def entries(lines: DataFrame) -> DataFrame:
     """(file_no, feed, written_at, key, type, value, id) of every non-null value; value and id are JSON text."""
-    doc = lines.select("file_no", "feed", "written_at", F.try_parse_json("payload").alias("doc")).where("doc IS NOT NULL AND schema_of_variant(doc) LIKE 'OBJECT%'")
-    e = lines.sparkSession.sql("SELECT d.file_no, d.feed, d.written_at, e.key, to_json(e.value) AS value, try_variant_get(d.doc, '$.material_id', 'string') AS id FROM {docs} d, LATERAL variant_explode(d.doc) e", docs=doc)
+    e = _opened(lines, "d.file_no, d.feed, d.written_at, e.key, to_json(e.value) AS value, try_variant_get(d.doc, '$.material_id', 'string') AS id")
     return e.withColumn("type", _type_of(F.col("value"))).where("type IS NOT NULL")
 
 
@@ -161,7 +173,7 @@ def mapped_fields(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((file_no, field, key, type), files) with every key led to its field."""
     scratch = Scratch(lines.sparkSession, "drift")
     chain = scratch.put(files(lines))
-    fields = scratch.put(file_fields(entries(lines)))  # one row for each file and key
+    fields = scratch.put(file_fields(typed_keys(lines)))  # one row for each file and key
     # names learned from content are a handful of keys, whatever the input's size
     known = fields.join(learned(lines, fields, chain, scratch), "key", "left").withColumn("column", F.coalesce(by_name(F.col("key")), "learned", by_rule(F.col("key"))))
     first = W.partitionBy("file_no", "column").orderBy(F.desc(F.col("key") == F.col("column")), F.desc(F.col("learned").isNull()), "key")
@@ -267,7 +279,7 @@ def consistent(lines: DataFrame) -> DataFrame:
 def odd_values(lines: DataFrame) -> DataFrame:
     """(file_no, field_name, n_values, n_odd_type, n_failed) where values have another type than their field or were lost by its cast."""
     fields, _ = mapped_fields(lines)
-    counts = entries(lines).groupBy("file_no", "key", "type").agg(F.count("*").alias("n"))
+    counts = typed_keys(lines).groupBy("file_no", "key", "type").agg(F.count("*").alias("n"))
     typed = counts.join(fields.select("file_no", "key", "field", F.col("type").alias("of_most")), ["file_no", "key"])
     per = typed.groupBy("file_no", F.col("field").alias("field_name")).agg(F.sum("n").alias("n_values"), F.sum(F.when(F.col("type") != F.col("of_most"), F.col("n")).otherwise(0)).alias("n_odd_type"))
     lost = routed(lines).select("file_no", F.explode("failed").alias("field_name")).groupBy("file_no", "field_name").agg(F.count("*").alias("n_failed"))
